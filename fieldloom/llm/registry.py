@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import op3, op4
+from fieldloom.llm import op3, op4, op8
 
-MODULES = [op3, op4]
+MODULES = [op3, op4, op8]
 
 
 def queries() -> dict:
