@@ -35,8 +35,7 @@ _FILTER_BITS = 22
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the words of a text column, in lower case."""
     data, offsets = text_buffer(pc.utf8_lower(column))
-    row, word, _ = words(data, offsets, SIGNS)
-    return row, word
+    return words(data, offsets, SIGNS)[:2]
 
 
 def simhash(groups: np.ndarray) -> np.ndarray:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import op2, op3, op4, op5, op6, op7, op8, op9, op10
+from fieldloom.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
-MODULES = [op2, op3, op4, op5, op6, op7, op8, op9, op10]
+MODULES = [op1, op2, op3, op4, op5, op6, op7, op8, op9, op10]
 
 
 def queries() -> dict:

@@ -64,10 +64,19 @@ def slices(offsets: np.ndarray, target: int = SLICE_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, byte position) of each word: a run of bytes outside ``gap``; words end with their row."""
+def words(
+    data: np.ndarray,
+    offsets: np.ndarray,
+    gap: np.ndarray = SPACE,
+    values: np.ndarray = BYTE_VALUE,
+    parting: tuple[np.ndarray, np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first byte, byte after the last) of each word: a run of bytes outside ``gap``.
+
+    Words end with their row, and between a byte of the first and a byte of the second set of ``parting``.
+    """
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~gap[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -76,12 +85,16 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tup
     ends = inside.copy()
     ends[:-1] &= ~inside[1:]
     ends[edge - 1] |= inside[edge - 1]
+    if parting:
+        cut = np.flatnonzero(parting[0][data[:-1]] & parting[1][data[1:]])
+        ends[cut] = True
+        begins[cut + 1] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * powers(_BASE, len(data)), out=total[1:])
+    np.cumsum(values[data] * powers(_BASE, len(data)), out=total[1:])
     value = (total[end] - total[start]) * powers(_INVERSE, len(data))[start]
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, mix(value), start
+    return row, mix(value), start, end
 
 
 def shingles(row: np.ndarray, word: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
