@@ -68,33 +68,44 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return counts, decode_ranks(control, block[at + len(control) :], n)
 
 
+def id_type(tokenizer: str, end_id: int) -> str:
+    size = WordIds.load(tokenizer).tokenizer.get_vocab_size()
+    return "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, ids binary) of every row, each document with the end id."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc_id, ids binary) of every row, each document with the end id; ids take 2 bytes where all fit, else 4."""
+    kind = id_type(tokenizer, end_id)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.load(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [x + end for x in words.ids(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids = words.ids(part.column("text"), end_id, kind)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         tokenise, "doc_id long, ids binary"
     )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for ids in batch.column("ids"):
-            more = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+def _counter(kind: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            column = batch.column("ids")
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            if not len(column) or column.buffers()[2] is None:
+                continue
+            more = np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
             if len(more) > len(total):
                 total = np.r_[total, np.zeros(len(more) - len(total), np.int64)]
             total[: len(more)] += more
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["id", "n"])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["id", "n"])
+
+    return count
 
 
 def write_token_files(
@@ -105,10 +116,10 @@ def write_token_files(
     Files follow the ascending order of ``doc_id`` (null first, equal ids by their token ids). Null or empty text: the
     end id alone. An empty table writes no blocks. The texts are tokenised once; ids are range-partitioned and sorted.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, id_type(tokenizer, end_id)
     token_table(docs, tokenizer, end_id, doc_id, text).write.option("compression", "zstd").parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    counted = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("ids").mapInArrow(_counter(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = counted.orderBy(F.desc("n"), "id").collect()  # at most one row for each id of the vocabulary
     spark.createDataFrame([(i, r.id, r.n) for i, r in enumerate(ranks)], "rank long, id long, n long").coalesce(
         1
@@ -147,7 +158,7 @@ def write_token_files(
         for batch in batches:
             for name, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 names.append(name)
-                held.append(np.frombuffer(ids.as_buffer(), "<u4"))
+                held.append(np.frombuffer(ids.as_buffer(), kind))
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
                     yield flush()

@@ -1,7 +1,9 @@
 """Token ids of whole texts by way of their words, for tokenizers whose words don't depend on each other.
 
-A text is cut at white space, each distinct word goes through the tokenizers library once, and the ids of the text are
-the words' ids in a row. A bounded table of words stays in the Python worker; words beyond it are encoded again.
+Texts are cut at ASCII white space, and after a run of ASCII letters before a sign. Each distinct word of a slice is
+told by a 64-bit hash; a word that isn't in the worker's bounded table goes through the tokenizers library once, and the
+ids of a text are gathered from the table. This holds where the tokenizer drops white space and never lets a piece go
+on from a letter to a sign, which ``WordIds`` checks. A slice with a special token in it isn't cut before signs.
 """
 
 from __future__ import annotations
@@ -9,15 +11,21 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 
-#: Words kept in a worker (about 200 bytes each). More words are encoded again in each batch, with the same result.
-KEPT_WORDS = 600_000
-#: Blank for str.split(), but not for the tokenizer's pattern.
-ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+from fieldloom.llm.scan import BYTE_VALUE, SPACE, U64, slices, text_buffer, words
+
+#: Words kept in a worker, about 40 bytes each. Others are encoded again in each slice, with the same result.
+KEPT_WORDS = 1_500_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.array([b < 128 and chr(b).isprintable() and not chr(b).isalnum() and b != 32 for b in range(256)])
+#: As BYTE_VALUE, but with case kept apart.
+CASED_VALUE = np.random.default_rng(20240102).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
 class WordIds:
-    """ids(texts): for each text its ids as little-endian unsigned 32-bit integers."""
+    """ids(texts): the ids of each text in a row, each text with the end id."""
 
     _loaded: dict[str, WordIds] = {}
 
@@ -28,52 +36,77 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept: dict[str, bytes] = {}
+        whole = self.tokenizer.encode("Ab.c  'd 12", add_special_tokens=False).ids
+        if whole != [i for w in ("Ab", ".c", "'d", "12") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
+            raise ValueError("the words of this tokenizer depend on each other")
+        folds = self.tokenizer.encode("ÀBC", add_special_tokens=False).ids == self.tokenizer.encode("àbc", add_special_tokens=False).ids
+        self.values = BYTE_VALUE if folds else CASED_VALUE
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.names, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
     @classmethod
     def load(cls, path: str) -> WordIds:
-        """The worker's own copy; a path that isn't a local file must have been shipped with the job."""
+        """The worker's own copy."""
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4")
-        counts = np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(words))
-        ends = (np.cumsum(counts) * 4).tolist()
-        data, start, out = ids.tobytes(), 0, {}
-        for word, end in zip(words, ends):
-            out[word] = data[start:end]
-            start = end
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split() for t in texts]
-        odd = [i for i, t in enumerate(texts) if t and any(c in t for c in ODD_BLANKS)]
-        for i in odd:
-            split[i] = []
-        missing = list(set().union(*split) - self.kept.keys()) if split else []
-        table = self.kept
-        if missing:
-            new = self._encode(missing)
-            if len(table) + len(new) <= KEPT_WORDS:
-                table.update(new)
-            else:
-                table = _Both(new, table)
-        join = b"".join
-        out = [join([table[w] for w in words]) for words in split]
-        for i in odd:
-            out[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
-class _Both(dict):
-    """A batch's own words before the kept ones."""
-
-    def __init__(self, own: dict, kept: dict):
-        super().__init__(own)
-        self.kept = kept
-
-    def __missing__(self, word: str) -> bytes:
-        return self.kept[word]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each word): the words as one text; a token belongs to the word it starts in."""
+        ids, sizes = [], []
+        for at in range(0, len(texts), 20_000):
+            part = texts[at : at + 20_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(w) + 1 for w in part])
+            begins[-1] += 1
+            token_starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            ids.append(np.asarray(found.ids, np.uint32))
+            sizes.append(np.diff(np.searchsorted(token_starts, begins)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _look_up(self, names: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, size) of each name; ``spell`` gives the texts of unknown names by their index."""
+        place = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+        known = self.names[place] == names if len(self.names) else np.zeros(len(names), bool)
+        at, size, flat = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), self.flat
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, sizes = self._encode(spell(new))
+            size[new], at[new] = sizes, np.cumsum(sizes) - sizes + len(flat)
+            flat = np.concatenate([flat, ids])
+            if len(self.names) + len(new) <= KEPT_WORDS:
+                self.flat = flat
+                into = np.searchsorted(self.names, names[new])
+                self.names = np.insert(self.names, into, names[new])
+                self.at, self.size = np.insert(self.at, into, at[new]), np.insert(self.size, into, size[new])
+        return flat, at, size
+
+    def ids(self, column: pa.Array, end_id: int, kind: str = "<u4") -> pa.Array:
+        """A binary array: the ids of each text and the end id; null and empty texts have the end id alone."""
+        data, offsets = text_buffer(column)
+        parts = []
+        for a, b in slices(offsets):
+            part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            split = not self.special or not any(s in part.tobytes() for s in self.special)
+            parts.append(self._slice(part, ends, end_id, kind, split))
+        return pa.chunked_array(parts, pa.binary()).combine_chunks() if parts else pa.array([], pa.binary())
+
+    def _slice(self, data: np.ndarray, ends: np.ndarray, end_id: int, kind: str, split: bool) -> pa.Array:
+        row, name, start, stop = words(data, ends, SPACE, self.values, (_LETTER, _SIGN) if split else None)
+        names, first, again = np.unique(name, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        flat, at, size = self._look_up(names, lambda new: [raw[start[i] : stop[i]].decode() for i in first[new]])
+        rows = len(ends) - 1
+        size, at = size[again], at[again]
+        total = int(size.sum())
+        before = np.cumsum(size) - size
+        out = np.empty(total + rows, kind)
+        source = np.repeat(at - before, size) + np.arange(total)
+        out[np.arange(total) + np.repeat(row, size)] = flat[source]
+        per_row = np.bincount(row, size, rows).astype(np.int64) + 1
+        stops = np.cumsum(per_row)
+        out[stops - 1] = end_id
+        width = np.dtype(kind).itemsize
+        return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.r_[0, stops] * width).astype(np.int32)), pa.py_buffer(out)])
