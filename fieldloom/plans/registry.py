@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.plans import vector_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with QUERIES (name -> query) and ORACLES (name -> DuckDB SQL).
-MODULES: list = []
+MODULES = [vector_queries]
 
 
 def queries() -> dict[str, Query]:
