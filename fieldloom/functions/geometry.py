@@ -139,9 +139,11 @@ def buffer_point(x: Column, y: Column, radius: float, quarter: int = 16) -> Colu
 
 def chaikin(ring: Column, rounds: int, ratio: float = 0.25) -> Column:
     """Corner cutting of a closed ring."""
+    def toward(a: Column, b: Column) -> Column:
+        return point(a["x"] * (1 - ratio) + b["x"] * ratio, a["y"] * (1 - ratio) + b["y"] * ratio)
+
     for _ in range(rounds):
-        mix = lambda a, b: point(a["x"] * (1 - ratio) + b["x"] * ratio, a["y"] * (1 - ratio) + b["y"] * ratio)
-        cut = F.flatten(F.transform(edges(ring), lambda e, mix=mix: F.array(mix(e["a"], e["b"]), mix(e["b"], e["a"]))))
+        cut = F.flatten(F.transform(edges(ring), lambda e: F.array(toward(e["a"], e["b"]), toward(e["b"], e["a"]))))
         ring = F.concat(cut, F.slice(cut, 1, 1))
     return ring
 
