@@ -151,7 +151,7 @@ def chaikin(ring: Column, rounds: int, ratio: float = 0.25) -> Column:
 def main_direction(ring: Column) -> Column:
     """First principal axis of the vertices (the closing one included), 0 to 180 degrees."""
     n = F.size(ring)
-    mx, my = (_sum(F.transform(ring, lambda p, c=c: p[c])) / n for c in ("x", "y"))
+    mx, my = _sum(F.transform(ring, lambda p: p["x"])) / n, _sum(F.transform(ring, lambda p: p["y"])) / n
     sxx = _sum(F.transform(ring, lambda p: (p["x"] - mx) ** 2))
     syy = _sum(F.transform(ring, lambda p: (p["y"] - my) ** 2))
     sxy = _sum(F.transform(ring, lambda p: (p["x"] - mx) * (p["y"] - my)))
