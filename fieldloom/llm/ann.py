@@ -25,8 +25,7 @@ from fieldloom.session import cut, shuffle_partitions
 @dataclass(frozen=True)
 class Settings:
     sample: int = 8000  # vectors the partition and the router are fitted on (the only bounded part)
-    part_rows: int = 800  # aimed size of a part; there are 4 to max_parts parts
-    max_parts: int = 256
+    max_parts: int = 256  # there are sqrt(vectors) / 8 parts, 4 at least
     neighbours: int = 10  # edges of a vector in the sample's graph
     hidden: int = 128
     epochs: int = 40
@@ -141,8 +140,7 @@ def _route(router: Router, probes: int):
             if batch.num_rows:
                 parts = router.parts(_matrix(batch.column("vector")).astype(float), probes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("vector"), pa.array(parts.astype(np.int32).tolist(), pa.list_(pa.int32()))],
-                    ["key", "vector", "parts"],
+                    [*batch.columns, pa.array(parts.astype(np.int32).tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "parts"]
                 )
 
     return route
@@ -152,29 +150,31 @@ def _pack(limit: int):
     """Rows of a part, which come together, as blocks of at most ``limit``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, keys, rows, size = None, [], [], 0
+        part, keys, firsts, rows, size = None, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([np.concatenate(keys).astype("<i8").tobytes()]),
+                    pa.array([np.concatenate(firsts).astype("<i8").tobytes()]),
                     pa.array([np.concatenate(rows).astype("<f8").tobytes()]),
                 ],
-                ["part", "keys", "matrix"],
+                ["part", "keys", "firsts", "matrix"],
             )
 
         for batch in batches:
             parts = batch.column("part").to_numpy()
-            key, vector = batch.column("key").to_numpy(), _matrix(batch.column("vector"))
+            key, first, vector = batch.column("key").to_numpy(), batch.column("first").to_numpy(), _matrix(batch.column("vector"))
             edges = np.r_[0, np.flatnonzero(np.diff(parts)) + 1, len(parts)] if len(parts) else []
             for a, b in zip(edges[:-1], edges[1:]):
                 while a < b:
                     if size and (part != parts[a] or size >= limit):
                         yield flush()
-                        keys, rows, size = [], [], 0
+                        keys, firsts, rows, size = [], [], [], 0
                     part, end = parts[a], min(b, a + limit - size)
                     keys.append(key[a:end])
+                    firsts.append(first[a:end])
                     rows.append(vector[a:end])
                     size += end - a
                     a = end
@@ -189,8 +189,8 @@ def _search(k: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, matrix, query_keys, queries in zip(*(batch.column(c) for c in ("keys", "matrix", "query_keys", "queries"))):
-                keys, query_keys = (np.frombuffer(x.as_buffer(), "<i8") for x in (keys, query_keys))
+            for keys, firsts, matrix, query_keys, queries in zip(*(batch.column(c) for c in ("keys", "firsts", "matrix", "query_keys", "queries"))):
+                keys, firsts, query_keys = (np.frombuffer(x.as_buffer(), "<i8") for x in (keys, firsts, query_keys))
                 base = np.frombuffer(matrix.as_buffer(), "<f8").reshape(len(keys), -1)
                 asked = np.frombuffer(queries.as_buffer(), "<f8").reshape(len(query_keys), -1)
                 for a in range(0, len(asked), 256):
@@ -198,15 +198,16 @@ def _search(k: int):
                     n = min(len(keys), k + 8)  # spare ones: the rough sums may differ in their last bits
                     some = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(keys) else np.tile(np.arange(n), (len(rough), 1))
                     exact = np.stack([(base[s] * q).sum(1) for s, q in zip(some, asked[a : a + 256])])
-                    order = np.lexsort((keys[some], -exact))[:, :k]
+                    order = np.lexsort((keys[some], firsts[some], -exact))[:, :k]
                     picked = np.take_along_axis(some, order, 1)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.repeat(query_keys[a : a + 256], order.shape[1])),
                             pa.array(keys[picked].ravel()),
+                            pa.array(firsts[picked].ravel()),
                             pa.array(np.take_along_axis(exact, order, 1).ravel()),
                         ],
-                        ["query_key", "key", "score"],
+                        ["query_key", "key", "first", "score"],
                     )
 
     return search
@@ -220,8 +221,8 @@ def _blocks(routed: DataFrame, limit: int) -> DataFrame:
         routed.withColumn("salt", F.pmod(F.xxhash64("key"), salts[F.col("part")]))
         .repartition(shuffle_partitions(routed.sparkSession), "part", "salt")
         .sortWithinPartitions("part", "key")
-        .select("part", "key", "vector")
-        .mapInArrow(_pack(limit), "part int, keys binary, matrix binary")
+        .select("part", "key", "first", "vector")
+        .mapInArrow(_pack(limit), "part int, keys binary, firsts binary, matrix binary")
     )
 
 
@@ -252,25 +253,24 @@ def nearest(
     base = cut(base.withColumn("key", F.monotonically_increasing_id()))
     total = base.count()
     sample = base.orderBy(F.xxhash64("vector"), "first").limit(settings.sample).select("vector").collect()
-    parts = int(np.clip(-(-total // settings.part_rows), 4, settings.max_parts))
+    parts = int(np.clip(round(total**0.5 / 8), 4, settings.max_parts))
     router = fit_router(np.array([r["vector"] for r in sample]), parts, settings, k)
 
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     asked = cut(asked.join(base.select("vector", "key"), "vector").select("query_id", F.col("key").alias("query_key")))
     queries = base.join(asked.select(F.col("query_key").alias("key")).distinct(), "key", "left_semi")
-    index = base.select("key", "vector").mapInArrow(_route(router, 1), "key long, vector array<double>, parts array<int>")
-    wanted = queries.select("key", "vector").mapInArrow(
-        _route(router, router.probes), "key long, vector array<double>, parts array<int>"
-    )
-    left = _blocks(cut(index.select(F.col("parts")[0].alias("part"), "key", "vector")), settings.block)
-    right = _blocks(cut(wanted.select(F.explode("parts").alias("part"), "key", "vector")), settings.query_block)
+    routed = "key long, first long, vector array<double>, parts array<int>"
+    index = base.select("key", "first", "vector").mapInArrow(_route(router, 1), routed)
+    wanted = queries.select("key", "first", "vector").mapInArrow(_route(router, router.probes), routed)
+    left = _blocks(cut(index.select(F.col("parts")[0].alias("part"), "key", "first", "vector")), settings.block)
+    right = _blocks(cut(wanted.select(F.explode("parts").alias("part"), "key", "first", "vector")), settings.query_block)
     pairs = left.join(right.select("part", F.col("keys").alias("query_keys"), F.col("matrix").alias("queries")), "part")
-    found = pairs.select("keys", "matrix", "query_keys", "queries").mapInArrow(_search(k + 1), "query_key long, key long, score double")
-
-    names = base.select("key", "first", "ids")
-    near = found.join(names, "key")
+    found = pairs.select("keys", "firsts", "matrix", "query_keys", "queries").mapInArrow(
+        _search(k + 1), "query_key long, key long, first long, score double"
+    )
     best = W.partitionBy("query_key").orderBy(F.desc("score"), "first", "key")
-    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query_key", "key", "score")
+    near = near.join(base.select("key", "ids"), "key")
     near = near.select("query_key", "score", F.explode("ids").alias("vec_id"))
     best = W.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
