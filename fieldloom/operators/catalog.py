@@ -149,3 +149,8 @@ def chunk_fixed(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFram
     starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - overlap - 1, F.lit(0)), F.lit(step))
     cut = docs.where("text is not null").select("doc_id", "text", F.posexplode(starts).alias("chunk_no", "at"))
     return cut.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.substring("text", F.col("at") + 1, F.lit(size)).alias("text"))
+
+
+def index_vectors(df: DataFrame, name: str, buckets: int, key: str = "vec_id") -> None:
+    """Store vectors (or chunks) as a table bucketed and sorted by their key: later joins on the key don't shuffle it."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)

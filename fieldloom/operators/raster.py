@@ -301,3 +301,53 @@ def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     y = F.floor((1 - F.ln(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * n)
     keep = lambda v: F.greatest(F.least(v, F.lit(n - 1)), F.lit(0)).cast("long")
     return keep(x), keep(y)
+
+
+def raster_profile(pixels: DataFrame) -> DataFrame:
+    """Per band: min, max, mean, population deviation, with height and width of the whole raster."""
+    size = pixels.agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    stats = raster_statistics(pixels, ["band"]).select("band", "min", "max", "mean", "std")
+    return stats.join(F.broadcast(size))  # one row
+
+
+def window_read(pixels: DataFrame, box: tuple[float, float, float, float], x0: float, y0: float, res: float) -> DataFrame:
+    """Cells whose centres lie in the (half-open) box; row 0 is the lowest."""
+    lo = lambda v, o: F.lit(math.ceil((v - o) / res - 0.5))
+    ax, ay, bx, by = box
+    return pixels.where((F.col("col") >= lo(ax, x0)) & (F.col("col") < lo(bx, x0)) & (F.col("row") >= lo(ay, y0)) & (F.col("row") < lo(by, y0)))
+
+
+def hann_weight(size: int, floor: float = 0.05) -> Column:
+    """Weight of a cell by its place (i, j) in a window: product of two Hann curves, at least ``floor``."""
+    curve = lambda c: 0.5 - 0.5 * F.cos(2 * math.pi * F.col(c) / (size - 1))
+    return F.greatest(curve("i") * curve("j"), F.lit(floor))
+
+
+def reproject_raster(pixels: DataFrame, lon0: float, lat0: float, res: float, height: int, width: int, metres: float) -> DataFrame:
+    """A lon/lat raster on a Mercator grid of ``metres``: nearest value of each target cell, null outside or without data.
+
+    Target row 0 and column 0 begin at the raster's lower-left corner.
+    """
+    from fieldloom.functions.geometry import HALF, from_mercator
+
+    merc = lambda lon, lat: (lon * HALF / 180, math.log(math.tan((90 + lat) * math.pi / 360)) * HALF / math.pi)
+    (ax, ay), (bx, by) = merc(lon0, lat0), merc(lon0 + width * res, lat0 + height * res)
+    rows, cols = math.ceil((by - ay) / metres), math.ceil((bx - ax) / metres)
+    target = pixels.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).alias("t_row"), (F.col("id") % cols).alias("t_col"))
+    lon, lat = from_mercator(ax + (F.col("t_col") + 0.5) * metres, ay + (F.col("t_row") + 0.5) * metres)
+    at = target.select("t_row", "t_col", F.floor((lon - lon0) / res).cast("long").alias("col"), F.floor((lat - lat0) / res).cast("long").alias("row"))
+    return at.join(pixels.select("row", "col", "value"), ["row", "col"], "left").select(F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
+
+
+def boundary_distance(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Mean nearest distance of boundary cells (4-neighbour erosion) each way, the larger and the mean of both."""
+    from fieldloom.operators.vector import nearest_distance
+
+    def points(mask: DataFrame) -> DataFrame:
+        b = boundary(mask, "l1")
+        return b.select((F.col("row") * 1_000_000 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+
+    t, p = points(truth), points(pred)
+    there = nearest_distance(t, p, "id", 4.0).agg(F.avg("distance").alias("to_pred"))
+    back = nearest_distance(p, t, "id", 4.0).agg(F.avg("distance").alias("to_truth"))
+    return there.join(back).select("to_pred", "to_truth", F.greatest("to_pred", "to_truth").alias("hausdorff"), ((F.col("to_pred") + F.col("to_truth")) / 2).alias("mean"))

@@ -275,3 +275,38 @@ query("open_mask")(lambda spark, d: r.open_mask(mask(spark, d), 1))
 query("close_mask")(lambda spark, d: r.close_mask(mask(spark, d), 1))
 query("gaussian_smooth")(lambda spark, d: r.gaussian_smooth(mask(spark, d), 1.5, 0.5, 100, 100))
 query("mask_pipeline")(lambda spark, d: regions.mask_pipeline(mask(spark, d), 100, 100))
+
+
+@query("raster_profile", cte("raster") + LONG + " SELECT band, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, (SELECT max(row) + 1 FROM raster) AS height, (SELECT max(col) + 1 FROM raster) AS width FROM long GROUP BY band")
+def raster_profile(spark, d):
+    p = r.raster_profile(bands(spark, d))
+    return p.select("band", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "height", "width")
+
+
+@query("window_read", cte("raster") + " SELECT row, col, other AS value FROM raster WHERE (col + 0.5) * 0.01 >= 0.2 AND (col + 0.5) * 0.01 < 0.41 AND (row + 0.5) * 0.01 >= 0.1 AND (row + 0.5) * 0.01 < 0.33")
+def window_read(spark, d):
+    return r.window_read(band(spark, d, "other"), (108.2, 34.1, 108.41, 34.33), 108.0, 34.0, 0.01)
+
+
+@query("blend_windows_hann", PROB + """, h AS (SELECT *, greatest((0.5 - 0.5 * cos(2 * pi() * (row - w_row * 16) / 19)) * (0.5 - 0.5 * cos(2 * pi() * (col - w_col * 16) / 19)), 0.05) AS w FROM q)
+SELECT row, col, class::INT AS class, round(sum(prob * w) / sum(w), 6) AS prob FROM h GROUP BY ALL""")
+def blend_windows_hann(spark, d):
+    p = probabilities(spark, d).withColumns({"i": F.col("row") - F.col("w_row") * 16, "j": F.col("col") - F.col("w_col") * 16})
+    return r.blend_windows(p, r.hann_weight(20)).select("row", "col", "class", F.round("prob", 6).alias("prob"))
+
+
+@query("reproject_raster", cte("raster") + """, e AS (SELECT 108.0::DOUBLE * 20037508.342789244 / 180 AS ax, ln(tan((90 + 34.0::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS ay,
+  109.0::DOUBLE * 20037508.342789244 / 180 AS bx, ln(tan((90 + 35.0::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS "by"),
+t AS (SELECT i AS row, j AS col, (ax + (j + 0.5) * 2500) * 180 / 20037508.342789244 AS lon, degrees(2 * atan(exp((ay + (i + 0.5) * 2500) * pi() / 20037508.342789244)) - pi() / 2) AS lat
+  FROM e, range(60) a(i), range(60) b(j) WHERE i < ceil(("by" - ay) / 2500) AND j < ceil((bx - ax) / 2500))
+SELECT t.row, t.col, other AS value FROM t LEFT JOIN raster s ON s.col = floor((lon - 108) / 0.01) AND s.row = floor((lat - 34) / 0.01)""")
+def reproject_raster(spark, d):
+    return r.reproject_raster(band(spark, d, "other"), 108.0, 34.0, 0.01, 100, 100, 2500.0)
+
+
+@query("boundary_distance", cte("mask") + """, b AS (SELECT row, col, 'v' AS k FROM mask m WHERE v = 1 AND EXISTS (SELECT 1 FROM mask n WHERE n.v = 0 AND abs(n.row - m.row) + abs(n.col - m.col) = 1)
+  UNION ALL SELECT row, col, 'w' FROM mask m WHERE w = 1 AND EXISTS (SELECT 1 FROM mask n WHERE n.w = 0 AND abs(n.row - m.row) + abs(n.col - m.col) = 1)),
+m AS (SELECT a.k, a.row, a.col, min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) AS d FROM b a JOIN b ON a.k <> b.k GROUP BY ALL), s AS (SELECT avg(d) FILTER (WHERE k = 'v') AS p, avg(d) FILTER (WHERE k = 'w') AS q FROM m)
+SELECT round(p, 6) AS to_pred, round(q, 6) AS to_truth, round(greatest(p, q), 6) AS hausdorff, round((p + q) / 2, 6) AS mean FROM s""")
+def boundary_distance(spark, d):
+    return r.boundary_distance(mask(spark, d), mask(spark, d, "w")).select(*[F.round(c, 6).alias(c) for c in ("to_pred", "to_truth", "hausdorff", "mean")])

@@ -244,3 +244,42 @@ def stream_health_windows(log: DataFrame, length: str = "10 minutes", late: str
     return log.withWatermark("ts", late).groupBy(F.window("ts", length), "stream_id").agg(
         F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("kind") == "error", 1).otherwise(0)).alias("errors")
     ).select("stream_id", F.col("window.start").alias("start"), "bytes", "errors")
+
+
+def distinct_tracks_stream(df: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """First row of each (camera, track) within the watermark."""
+    return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["camera", "track_id"])
+
+
+def keyframe_stream(frames: DataFrame, above: float = 30.0) -> DataFrame:
+    """``keyframes`` on arriving frames: the state of a camera is its last frame's cells."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, cells = state.get if state.exists else (None, None)
+        known = dict(cells) if cells else {}
+        known = {(r, c): g for (r, c), g in zip([tuple(map(int, k.split(","))) for k in known], known.values())}
+        out = []
+        rows = pd.concat(list(parts)).sort_values("frame")
+        for frame, part in rows.groupby("frame", sort=True):
+            now = {(int(r), int(c)): float(g) for r, c, g in zip(part["row"], part["col"], part["grey"])}
+            both = [abs(g - known[k]) for k, g in now.items() if k in known] if last is not None and frame == last + 1 else []
+            if both and sum(both) / len(both) > above:
+                out.append((key[0], frame, sum(both) / len(both)))
+            last, known = int(frame), now
+        state.update((last, {f"{r},{c}": g for (r, c), g in known.items()}))
+        yield pd.DataFrame(out, columns=["camera", "frame", "change"])
+
+    return frames.groupBy("camera").applyInPandasWithState(
+        run, "camera long, frame long, change double", "last long, cells map<string,double>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def write_by_date(df: DataFrame, path: str, checkpoint: str, column: str = "ts"):
+    """Start a streaming query that appends each batch to Parquet files by date; a repeated batch replaces its own rows."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        dated = batch.withColumn("date", F.to_date(column)).withColumn("batch", F.lit(number))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
+
+    return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -244,3 +244,30 @@ def test_repair_keeps_log_and_quarantine(spark):
     assert [r["name"] for r in log.orderBy("step").collect()] == ["invalid", "holes", "overlaps", "slivers", "multiparts", "copies", "empty"]
     assert bad.isEmpty() and fixed.count() == 8
     assert isinstance(fixed.schema["ring"].dataType, T.ArrayType)
+
+
+def test_keyframe_stream_gives_the_batch_rows(spark, tmp_path):
+    from fieldloom.sources.fixtures import layer
+
+    frames = layer(spark, "/root/testdata/sf0.001", "frames")
+    frames.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
+    q = detections.keyframe_stream(source).writeStream.format("memory").queryName("keys").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["frame"] for r in spark.table("keys").collect()) == sorted(r["frame"] for r in detections.keyframes(frames).collect())
+
+
+def test_stream_to_files_by_date_and_distinct_tracks(spark, tmp_path):
+    d = detections.detections(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    d.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    q = detections.write_by_date(detections.distinct_tracks_stream(source, "30 days"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == d.select("camera", "track_id").distinct().count()
+
+
+def test_vector_index_is_bucketed(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    catalog.index_vectors(df, "vector_index_test", 4)
+    assert spark.table("vector_index_test").count() == 2
+    spark.sql("DROP TABLE vector_index_test")
