@@ -122,8 +122,8 @@ def merge_tile_features(spark, d):
 
 
 
-@query("before_after_stats", BASE + " SELECT 'before' AS state, count(*) AS n, round(sum(a), 2) AS area, 5.0::DOUBLE AS vertices FROM k UNION ALL SELECT 'after', count(*), round(sum(a * 7 / 8), 2), 9.0 FROM k")
+@query("before_after_stats", BASE + " SELECT 'before' AS state, count(*) AS n, round(sum(a), 4) AS area, 5.0::DOUBLE AS vertices FROM k UNION ALL SELECT 'after', count(*), round(sum(a * 7 / 8), 4), 9.0 FROM k")
 def before_after_stats(spark, d):
     r = rings(spark, d).select("fid", "ring")
     s = q.before_after(r, r.select("fid", g.chaikin(F.col("ring"), 1).alias("ring")))
-    return s.select("state", "n", F.round("area", 2).alias("area"), "vertices")
+    return s.select("state", "n", F.round("area", 4).alias("area"), "vertices")
