@@ -9,7 +9,8 @@ their members and verified on the full sets.
 
 Only the classes of linked documents are asked for, so a first round verifies each member of a group against the group's
 hub, and each group of a prefix shingle against the shingle's hub; a second round verifies every remaining pair whose
-sets aren't in one class yet. No link between different classes can be missed, and copies never make pairs.
+sets aren't in one class yet and whose sizes, positions and signatures allow the threshold. No link between different
+classes can be missed, and copies never make pairs.
 
 Shingles travel as packed arrays keyed by ranges of their hash. A set is told by a 64-bit hash of its shingles, a
 shingle by the range number and 32 more bits.
@@ -30,6 +31,8 @@ from fieldloom.session import cut, shuffle_partitions
 
 #: Shingles that a task packs at a time (12 bytes each).
 PACKED = 3_000_000
+#: Columns of a set's signature: the parity of its shared shingles in 256 places.
+SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -180,6 +183,11 @@ def _candidates(percent: int):
         prefix = (size - least + 1) - (size - live)  # what is left of the prefix behind the unshared shingles
         good = (live >= least) & (prefix > 0)
         rows = np.repeat(good, live)
+        place = mix(shingle.astype(U64)) >> U64(56)
+        signature = [
+            np.bitwise_xor.reduceat(np.where(place >> U64(6) == U64(k), U64(1) << (place & U64(63)), U64(0)), starts) if len(starts) else np.zeros(0, U64)
+            for k in range(4)
+        ]
         offsets = np.r_[0, np.cumsum(live[good])].astype(np.int32)
         return pa.table(
             [
@@ -188,22 +196,24 @@ def _candidates(percent: int):
                 pa.array(prefix[good].astype(np.int32)),
                 pa.array((size - live)[good].astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingle[rows])),
+                *(pa.array(x[good].view(np.int64)) for x in signature),
             ],
-            names=["entity", "n", "prefix", "unshared", "shingles"],
+            names=["entity", "n", "prefix", "unshared", "shingles", *SIGNATURE],
         )
 
     return run
 
 
 def candidate_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(entity, n, prefix, unshared, shingles): the different shingle sets that can have a partner."""
+    """(entity, n, prefix, unshared, shingles, signature): the different shingle sets that can have a partner."""
     ranges = shuffle_partitions(docs.sparkSession)
     packed = _packed(docs, size, ranges, doc_id, text)
     shared = packed.groupBy("range").applyInArrow(
         _shared(ranges), "range int, entities binary, shingles binary, df binary, sizes binary"
     )
     return shared.groupBy("range").applyInArrow(
-        _candidates(percent), "entity long, n long, prefix int, unshared int, shingles array<long>"
+        _candidates(percent),
+        "entity long, n long, prefix int, unshared int, shingles array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE),
     )
 
 
@@ -215,22 +225,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("both") * 100 >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b")
 
 
+def _may_reach(percent: int, other: str):
+    """Size and position filter of two sets that meet in a shingle; a pair passes at the first shingle it shares."""
+    n, n2 = F.col("n"), F.col(f"n{other}")
+    sizes = F.least(n, n2) * 100 >= percent * F.greatest(n, n2)
+    return sizes & (F.least(F.col("rest"), F.col(f"rest{other}")) * (100 + percent) >= percent * (n + n2))
+
+
+def _signatures_allow(percent: int):
+    """Places where the signatures of two sets differ, and all unshared shingles, are in one of the sets only."""
+    apart = F.col("unshared") + F.col("unshared2") + sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SIGNATURE)
+    both = F.col("n") + F.col("n2")
+    return (both - apart) * (100 + percent) >= 2 * percent * both
+
+
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that are linked with another one."""
     sets = cut(sets)
     prefix = F.slice("shingles", 1, F.col("prefix"))
-    members = cut(sets.select("entity", "n", "unshared", F.xxhash64("n", prefix).alias("group"), prefix.alias("head")))
+    members = cut(sets.select("entity", "n", "unshared", *SIGNATURE, F.xxhash64("n", prefix).alias("group"), prefix.alias("head")))
     # The hub: the set with the least of its own, the likeliest original.
     hub = F.min_by("entity", F.struct("unshared", "n", "entity")).alias("hub")
     groups = cut(members.groupBy("group").agg(hub, F.min("n").alias("n"), F.min("unshared").alias("unshared"), F.first("head").alias("head")))
     heads = groups.select("group", "hub", "n", "unshared", F.posexplode("head").alias("at", "shingle"))
+    # Shingles that a set has from here on in the global order: no overlap that begins here is larger.
+    heads = heads.withColumn("rest", F.col("n") - F.col("unshared") - F.col("at")).drop("at")
 
     in_group = members.join(groups.select("group", "hub"), "group").where(F.col("entity") != F.col("hub")).select(F.col("hub").alias("a"), F.col("entity").alias("b"))
-    centre = F.min_by(F.struct("hub", "n"), F.struct("unshared", "n", "hub"))
-    centres = heads.groupBy("shingle").agg(centre.alias("c"), F.count("*").alias("m")).where("m > 1").select("shingle", F.col("c.hub").alias("a"), F.col("c.n").alias("an"))
-    near = heads.join(centres, "shingle").where(
-        (F.col("hub") != F.col("a")) & (F.least("n", "an") * 100 >= percent * F.greatest("n", "an"))
-    )
+    centre = F.min_by(F.struct("hub", "n", "rest"), F.struct("unshared", "n", "hub"))
+    centres = heads.groupBy("shingle").agg(centre.alias("c"), F.count("*").alias("m")).where("m > 1")
+    centres = centres.select("shingle", F.col("c.hub").alias("a"), F.col("c.n").alias("n_a"), F.col("c.rest").alias("rest_a"))
+    near = heads.join(centres, "shingle").where((F.col("hub") != F.col("a")) & _may_reach(percent, "_a"))
     first = in_group.unionByName(near.select("a", F.col("hub").alias("b"))).distinct()
     links = cut(_verified(first, sets, percent))
     classes = connected_components(links)
@@ -238,23 +263,25 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     # What may be left: pairs of sets in different classes whose groups meet in a shingle (or are one group).
     labelled = cut(
         members.join(classes.withColumnRenamed("node", "entity"), "entity", "left").select(
-            "entity", "group", F.coalesce("component", "entity").alias("class"), "n"
+            "entity", "group", F.coalesce("component", "entity").alias("class"), "n", "unshared", *SIGNATURE
         )
     )
-    parts = labelled.select("group", "class").distinct()
-    mixed = heads.select("shingle", "group", "n").join(parts, "group")
+    alone = F.count("*") == 1  # a part of one set is known by its signature
+    parts = labelled.groupBy("group", "class").agg(*[F.when(alone, F.first(c)).alias(c) for c in SIGNATURE])
+    mixed = heads.select("shingle", "group", "n", "unshared", "rest").join(parts, "group")
     several = mixed.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("shingle")
     mixed = cut(mixed.join(several, "shingle", "left_semi"))
-    other = mixed.select("shingle", F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("class").alias("class2"))
+    about = ("n", "unshared", *SIGNATURE)
+    other = mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("group", "rest", "class", *about)])
     meet = (
         mixed.join(other, "shingle")
-        .where((F.col("class") < F.col("class2")) & (F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2")))
+        .where((F.col("class") < F.col("class2")) & _may_reach(percent, "2") & F.coalesce(_signatures_allow(percent), F.lit(True)))
         .select("group", "class", "group2", "class2")
         .distinct()
     )
-    one = labelled.select("group", "class", F.col("entity").alias("a"))
-    two = labelled.select(F.col("group").alias("group2"), F.col("class").alias("class2"), F.col("entity").alias("b"))
-    rest = meet.join(one, ["group", "class"]).join(two, ["group2", "class2"]).select("a", "b").distinct()
+    one = labelled.select("group", "class", F.col("entity").alias("a"), *about)
+    two = labelled.select(F.col("entity").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("group", "class", *about)])
+    rest = meet.join(one, ["group", "class"]).join(two, ["group2", "class2"]).where(_signatures_allow(percent)).select("a", "b").distinct()
     more = cut(_verified(rest, sets, percent))
     if more.isEmpty():
         return classes
