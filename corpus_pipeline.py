@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.bpe_automaton import bpe_ids, bpe_texts
+from fieldloom.llm.bpe_automaton import bpe_round_trip
 from fieldloom.llm.decontaminate import without_contaminated
 from fieldloom.llm.line_dedup import keep_bitmaps, with_kept_text
 from fieldloom.llm.ngram_join import ngram_components
@@ -55,10 +55,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as token ids of the byte-level vocabulary, with the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = bpe_ids(docs.select("doc_id", "text"), path).drop("text")
-    decoded = bpe_texts(tokens, path, text="text")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    tokens = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

@@ -14,6 +14,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 #: The published pre-split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries kept in a worker; what is beyond them is computed again with the same result.
-KEPT_UNITS = 400_000
-KEPT_PIECES = 250_000
-KEPT_ARCS = 1_000_000
+KEPT_UNITS = 300_000
+KEPT_PIECES = 150_000
+KEPT_ARCS = 300_000
+#: Texts whose ids are held at a time where they leave as arrays.
+ROWS = 64
 NEVER = 1 << 40
 
 
@@ -148,9 +151,10 @@ class MergeAutomaton:
 class AutomatonTokenizer:
     """Whole texts to ids and back, for byte-level BPE files of the tokenizers library."""
 
-    _loaded: dict[str, AutomatonTokenizer] = {}
+    _loaded: dict[tuple[str, float], AutomatonTokenizer] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: float = 1.0):
+        self.most_units, self.most_pieces = int(KEPT_UNITS * kept), int(KEPT_PIECES * kept)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -160,31 +164,33 @@ class AutomatonTokenizer:
         self._special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self._pattern = regex.compile(PATTERN)
         self._uneven = regex.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
-        self._units: dict[str, tuple[tuple[int, ...], str]] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._units: dict[str, tuple[bytes, str]] = {}  # ids as little-endian 32-bit integers, and as decimal text
+        self._pieces: dict[str, bytes] = {}
 
     @classmethod
-    def load(cls, path: str) -> AutomatonTokenizer:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def load(cls, path: str, kept: float = 1.0) -> AutomatonTokenizer:
+        """The worker's own copy; ``kept`` scales its tables where workers also serve other stages."""
+        if (path, kept) not in cls._loaded:
+            cls._loaded[path, kept] = cls(path, kept)
+        return cls._loaded[path, kept]
 
-    def _unit(self, unit: str) -> tuple[tuple[int, ...], str]:
+    def _unit(self, unit: str) -> tuple[bytes, str]:
         """Ids, and the same as decimal text, of a part of a text that no piece of the pattern crosses."""
-        ids: list[int] = []
+        parts: list[bytes] = []
         for piece in self._pattern.findall(unit):
             got = self._pieces.get(piece)
             if got is None:
-                got = self.automaton.encode(piece.encode())
-                if len(self._pieces) < KEPT_PIECES and len(piece) < 64:
+                got = np.array(self.automaton.encode(piece.encode()), "<u4").tobytes()
+                if len(self._pieces) < self.most_pieces and len(piece) < 64:
                     self._pieces[piece] = got
-            ids += got
-        found = tuple(ids), ",".join(map(str, ids))
-        if len(self._units) < KEPT_UNITS and len(unit) < 64:
+            parts.append(got)
+        ids = b"".join(parts)
+        found = ids, ",".join(map(str, np.frombuffer(ids, "<u4").tolist()))
+        if len(self._units) < self.most_units and len(unit) < 64:
             self._units[unit] = found
         return found
 
-    def _plain(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
         """Units of a text without special tokens. Single blanks inside a text always start a piece."""
         if not text:
             return []
@@ -198,23 +204,23 @@ class AutomatonTokenizer:
             out.append(units.get(word) or make(word))
         return out
 
-    def units(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def units(self, text: str) -> list[tuple[bytes, str]]:
         if self.special and (found := list(self._special.finditer(text))):
             out, at = [], 0
             for m in found:
                 out += self._plain(text[at : m.start()])
-                out.append(((self.special[m[0]],), str(self.special[m[0]])))
+                out.append((np.array([self.special[m[0]]], "<u4").tobytes(), str(self.special[m[0]])))
                 at = m.end()
             return out + self._plain(text[at:])
         return self._plain(text)
 
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.units(text) for i in ids]
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([ids for ids, _ in self.units(text)]), "<u4")
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The labels of the ids' arcs, one after the other."""
         label = self.label
-        return b"".join([label[i] for i in ids])
+        return b"".join([label[i] for i in ids.tolist()])
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,7 +232,7 @@ def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
             counts, encoded, decoded = [], [], []
             for t in batch.column("text"):
                 units = auto.units(t.as_py() or "")
-                ids = [i for u, _ in units for i in u]
+                ids = np.frombuffer(b"".join([u for u, _ in units]), "<u4")
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(",".join([d for _, d in units]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(auto.decode(ids)).hexdigest())
@@ -240,32 +246,27 @@ def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
     )
 
 
-def bpe_ids(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (array<int>); null text gives an empty array."""
+def bpe_round_trip(
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", kept: float = 0.3
+) -> DataFrame:
+    """doc_id, ids (array<int>), text: the ids of every row and the text that they decode to, in one pass.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = AutomatonTokenizer.load(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                column = pa.array([auto.encode(t.as_py() or "") for t in part.column("_text")], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], [*part.schema.names[:-1], ids])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return docs.withColumn("_text", F.col(text)).mapInArrow(encode, schema)
-
-
-def bpe_texts(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``tokens`` with the decoded text of its ids; null ids give null. Bytes that aren't UTF-8 become U+FFFD."""
-    from pyspark.sql import types as T
+    Null text counts as empty: no ids, empty text. All other columns are left out.
+    """
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = AutomatonTokenizer.load(tokenizer)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = AutomatonTokenizer.load(tokenizer, kept)
         for batch in batches:
-            out = [None if x is None else auto.decode(x).decode(errors="replace") for x in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], [*batch.schema.names[:-1], text])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [auto.encode(t.as_py() or "") for t in part.column("text")]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate(ids).astype(np.int32)
+                texts = [auto.decode(x).decode(errors="replace") for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
+                )
 
-    schema = T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())])
-    return tokens.withColumn("_ids", F.col(ids)).mapInArrow(decode, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        run, "doc_id long, ids array<int>, text string"
+    )

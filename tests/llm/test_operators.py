@@ -295,8 +295,9 @@ def test_bpe_is_the_library_and_round_trips(spark):
         text = library.decode(ids, skip_special_tokens=False)
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    back = bpe_automaton.bpe_texts(bpe_automaton.bpe_ids(docs_df(spark, rows).drop("ids"), BYTE_BPE), BYTE_BPE)
-    assert all(r["decoded"] == (r["text"] or "") for r in back.collect())
+    back = bpe_automaton.bpe_round_trip(docs_df(spark, rows), BYTE_BPE).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in back) == sorted((str(i), t or "") for i, t in rows)
+    assert all(r["ids"] == library.encode(r["text"], add_special_tokens=False).ids for r in back)
     assert bpe_automaton.bpe_digests(docs_df(spark, []), BYTE_BPE).count() == 0
 
 
@@ -323,7 +324,7 @@ def test_automaton_follows_merge_order_on_small_alphabets():
                     break
                 k = next(k for k, p in enumerate(zip(parts, parts[1:])) if ranks.get(p) == best)
                 parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            assert auto.encode(text.encode()) == [vocab[p] for p in parts]
+            assert list(auto.encode(text.encode())) == [vocab[p] for p in parts]
 
 
 # 8. Token files.
