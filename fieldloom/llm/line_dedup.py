@@ -146,7 +146,7 @@ def keep_bitmaps(
     """
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
-    lines = _lines(docs, doc_id, text, min_chars)
+    lines = cut(_lines(docs, doc_id, text, min_chars))  # the range sampling reads it a second time
     ranged = cut(
         lines.repartitionByRange(parts, "h1", "h2", F.desc("doc"), "pos").sortWithinPartitions(
             "h1", "h2", F.desc("doc"), "pos"
