@@ -6,8 +6,8 @@ length have similarity 0 and are passed over; the others get a SimHash of their
 radius + 1 blocks, so two fingerprints within the radius agree in a block: items that agree in one are looked up by
 block, kept if within the radius, and verified on the bags themselves.
 
-The radius bounds the search, the verification decides: with 64 bits and radius 15 a window at similarity 0.8 lies
-within the radius with a probability of about 0.98, one at 0.9 or more practically always.
+The radius bounds the search, the verification decides: by a normal approximation, with 64 bits and radius 15 a window
+at similarity 0.8 lies within the radius with a probability of about 0.98, more similar ones more surely.
 """
 
 from __future__ import annotations
