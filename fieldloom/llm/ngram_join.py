@@ -29,8 +29,8 @@ from fieldloom.llm.graph import connected_components
 from fieldloom.llm.scan import U64, distinct, mix, shingles, slices, text_buffer, words
 from fieldloom.session import cut, shuffle_partitions
 
-#: Shingles that a task packs at a time (12 bytes each).
-PACKED = 3_000_000
+#: Shingles that a task packs at a time (20 bytes each, and as much again while they are sorted).
+PACKED = 1_000_000
 #: Columns of a set's signature: the parity of its shared shingles in 256 places.
 SIGNATURE = ("s0", "s1", "s2", "s3")
 
