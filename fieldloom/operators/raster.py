@@ -265,9 +265,15 @@ def sliding_windows(headers: DataFrame, size: int, stride: int, scheme: str) ->
     )
 
 
+def extent(pixels: DataFrame) -> tuple[int, int]:
+    """Height and width of a raster: one past its last row and column."""
+    last = pixels.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()  # one row
+    return (0, 0) if last["row"] is None else (last["row"] + 1, last["col"] + 1)
+
+
 def window_cells(pixels: DataFrame, size: int, stride: int, height: int, width: int) -> DataFrame:
-    """Pixels with each full window (w_row, w_col: its number) that holds them."""
-    rows, cols = (height - size) // stride, (width - size) // stride
+    """Pixels with each window (w_row, w_col: its number) that holds them; the last window reaches or is cut at the edge."""
+    rows, cols = -(-max(height - size, 0) // stride), -(-max(width - size, 0) // stride)
 
     def numbers(c: str, last: int) -> Column:
         lo = F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0)).cast("long")

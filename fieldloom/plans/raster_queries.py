@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fieldloom.operators import raster as r
@@ -107,8 +109,11 @@ f AS (SELECT trow, tcol, floor(x - 0.5)::BIGINT + dc AS col, floor(y - 0.5)::BIG
 w AS (SELECT *, (1 - abs(u - col)) * (1 - abs(v - row)) AS w FROM f)
 SELECT t.trow, t.tcol, round(sum(w * other) / sum(w), 6) AS value FROM t LEFT JOIN (SELECT w.*, other FROM w JOIN raster USING (row, col) WHERE w > 0 AND other IS NOT NULL) z USING (trow, tcol) GROUP BY ALL""")
 def align_raster_pair(spark, d):
-    t = spark.range(400).selectExpr("id div 20 AS trow", "id % 20 AS tcol", "(id % 20 + 0.5D) * 1.7D AS x", "(id div 20 + 0.5D) * 1.7D AS y")
-    return r.bilinear(band(spark, d, "other"), t, 0.0, 0.0, 1.0).select("trow", "tcol", F.round("value", 6).alias("value"))
+    b = band(spark, d, "other")
+    rows, cols = (math.ceil(n / 1.7) for n in r.extent(b))
+    cells = spark.range(rows * cols).selectExpr(f"id div {cols} AS trow", f"id % {cols} AS tcol")
+    t = cells.selectExpr("trow", "tcol", "(tcol + 0.5D) * 1.7D AS x", "(trow + 0.5D) * 1.7D AS y")
+    return r.bilinear(b, t, 0.0, 0.0, 1.0).select("trow", "tcol", F.round("value", 6).alias("value"))
 
 
 @query("mosaic", cte("raster") + " SELECT row, col, coalesce(b1, b2) AS value FROM raster")
@@ -199,11 +204,13 @@ WIN = cte("raster", "mask") + ", p AS (SELECT row, col, v AS value, row * 100 +
 
 @query("cut_samples", WIN + " SELECT w_row, w_col, sum(value)::BIGINT AS total FROM p GROUP BY ALL HAVING sum(value) >= 120 ORDER BY w_row, w_col LIMIT 25")
 def cut_samples(spark, d):
-    return r.cut_samples(mask(spark, d).withColumnRenamed("v", "value"), 20, 16, 100, 100, 120, 25)
+    m = mask(spark, d).withColumnRenamed("v", "value")
+    return r.cut_samples(m, 20, 16, *r.extent(m), 120, 25)
 
 
 def probabilities(spark, d):
-    cells = r.window_cells(mask(spark, d).where("row < 100"), 20, 16, 100, 100).withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    m = mask(spark, d)
+    cells = r.window_cells(m, 20, 16, *r.extent(m)).withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(3))))
     prob = ((F.col("row") * 100 + F.col("col")) * 31 + F.col("class") * 17 + F.col("w_row") * 7 + F.col("w_col") * 3) % 100 / F.lit(100.0)
     return cells.select("w_row", "w_col", "row", "col", "class", prob.alias("prob"))
 
@@ -262,7 +269,8 @@ def keep_largest(spark, d):
 
 @query("fill_mask_holes", LABELS + ", o AS (SELECT DISTINCT root FROM cells JOIN labels USING (id) WHERE row IN (0, 99) OR col IN (0, 99)) SELECT row, col, CASE WHEN v = 1 THEN 1 WHEN root IN (SELECT root FROM o) THEN 0 ELSE 1 END AS v FROM cells JOIN labels USING (id)")
 def fill_mask_holes(spark, d):
-    return regions.fill_mask_holes(mask(spark, d), 100, 100)
+    m = mask(spark, d)
+    return regions.fill_mask_holes(m, *r.extent(m))
 
 
 @query("object_stats", LABELS + ", s AS (SELECT root, count(*) AS n FROM cells JOIN labels USING (id) WHERE v = 1 GROUP BY root) SELECT count(*) AS regions, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean, (SELECT round(avg(v), 6) FROM mask) AS coverage FROM s")
@@ -273,8 +281,8 @@ def object_stats(spark, d):
 query("remove_small")(lambda spark, d: regions.filter_regions(mask(spark, d), 5, 500))
 query("open_mask")(lambda spark, d: r.open_mask(mask(spark, d), 1))
 query("close_mask")(lambda spark, d: r.close_mask(mask(spark, d), 1))
-query("gaussian_smooth")(lambda spark, d: r.gaussian_smooth(mask(spark, d), 1.5, 0.5, 100, 100))
-query("mask_pipeline")(lambda spark, d: regions.mask_pipeline(mask(spark, d), 100, 100))
+query("gaussian_smooth")(lambda spark, d: r.gaussian_smooth(m := mask(spark, d), 1.5, 0.5, *r.extent(m)))
+query("mask_pipeline")(lambda spark, d: regions.mask_pipeline(m := mask(spark, d), *r.extent(m)))
 
 
 @query("raster_profile", cte("raster") + LONG + " SELECT band, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, (SELECT max(row) + 1 FROM raster) AS height, (SELECT max(col) + 1 FROM raster) AS width FROM long GROUP BY band")
@@ -301,7 +309,8 @@ t AS (SELECT i AS row, j AS col, (ax + (j + 0.5) * 2500) * 180 / 20037508.342789
   FROM e, range(60) a(i), range(60) b(j) WHERE i < ceil(("by" - ay) / 2500) AND j < ceil((bx - ax) / 2500))
 SELECT t.row, t.col, other AS value FROM t LEFT JOIN raster s ON s.col = floor((lon - 108) / 0.01) AND s.row = floor((lat - 34) / 0.01)""")
 def reproject_raster(spark, d):
-    return r.reproject_raster(band(spark, d, "other"), 108.0, 34.0, 0.01, 100, 100, 2500.0)
+    b = band(spark, d, "other")
+    return r.reproject_raster(b, 108.0, 34.0, 0.01, *r.extent(b), 2500.0)
 
 
 @query("boundary_distance", cte("mask") + """, b AS (SELECT row, col, 'v' AS k FROM mask m WHERE v = 1 AND EXISTS (SELECT 1 FROM mask n WHERE n.v = 0 AND abs(n.row - m.row) + abs(n.col - m.col) = 1)
