@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.license_texts import EQUIVALENT, KNOWN
+from fieldloom.llm.license_texts import EQUIVALENT, KNOWN, OWN_STATEMENTS, TITLES, WHOLE
 
-#: A line that only states a copyright: left out of the canonical text.
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©)[^\p{L}]"
 SYMBOLS = r"[^\p{L}\p{N}]+"
 SPELLINGS = r"(^| )(" + "|".join(a for a, _ in EQUIVALENT) + ")( |$)"
 
 
+def _spelled(words: str) -> str:
+    """Pattern of words (lower case) with any symbols or line breaks between them."""
+    return SYMBOLS.join(re.findall(r"[^\W_]+", words.lower())).replace("license", "licen[cs]e")
+
+
+#: First words of the known texts: where one begins, a copyright holder's name has ended.
+OPENINGS = "|".join(sorted({_spelled(" ".join(re.findall(r"[^\W_]+", text)[:4])) for name, text in [*KNOWN, *WHOLE] if name[:10] != "LicenseRef"}))
+YEAR = r"[^\p{L}\p{N}\n]*(?:(?:19|20)\d\d(?!\d)|yyyy(?!\p{L})|years?[>\]})])"
+#: Word and sign, the sign, or word or (c) with a year: "copyright holders" and an item (c) state nothing.
+STATED = rf"(?:copyright[\s:]*(?:\(c\)|©)|\(c\)[ \t]*copyright(?!\p{{L}})|©|(?:copyright|\(c\)){YEAR})"
+#: Statements that belong to a whole licence's own text stay in it.
+OWN = rf"(?![^\p{{L}}\p{{N}}]*(?:copyright{SYMBOLS})?(?:{'|'.join(map(_spelled, OWN_STATEMENTS))}))"
+SENTENCE_END = r"(?<![^\p{L}](?:inc|ltd|co|corp|llc|jr|sr|dr|st|al|\p{L}))[.;!?][ \t]+"
+RESERVED = r"(?:all rights reserved[^\p{L}\p{N}\n]*)?"
+#: A copyright statement at the beginning of a line, or behind a title ($1): to the end of its line or sentence, or to
+#: where a known text begins.
+STATEMENT = (
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*((?:(?:{'|'.join(map(_spelled, TITLES))})[^\p{{L}}\p{{N}}©]+?)?)\(?{OWN}{STATED}"
+    rf"[^\n]*?(?:{SENTENCE_END}{RESERVED}|(?<![\p{{L}}\p{{N}}])(?=(?:{OPENINGS})(?![\p{{L}}\p{{N}}]))|$)"
+)
+
 #: Known texts may be this many (about 10 MB); they travel with the plan.
 MAX_KNOWN = 100_000
 
@@ -20,11 +41,11 @@ MAX_KNOWN = 100_000
 def canonical_lines(text: Column) -> Column:
     """Lines in lower case, symbols as single spaces, equivalent spellings made the same.
 
-    Lines that only state a copyright and lines without letters or digits are left out.
+    Copyright statements (STATEMENT) and lines without letters or digits are left out; what follows a statement stays.
     """
 
     def plain(line: Column) -> Column:
-        return F.when(line.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(F.trim(F.regexp_replace(line, SYMBOLS, " ")))
+        return F.trim(F.regexp_replace(line, SYMBOLS, " "))
 
     def same(line: Column) -> Column:
         out = F.concat(F.lit(" "), line, F.lit(" "))
@@ -33,7 +54,9 @@ def canonical_lines(text: Column) -> Column:
                 out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {equal} "))
         return F.when(line.rlike(SPELLINGS), F.trim(out)).otherwise(line)
 
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    stated = low.contains("copyright") | low.contains("(c)") | low.contains("©")
+    lines = F.split(F.when(stated, F.regexp_replace(low, STATEMENT, "$1")).otherwise(low), "\n", -1)
     return F.transform(F.filter(F.transform(lines, plain), lambda x: x != ""), same)
 
 
@@ -42,8 +65,8 @@ def canonical_digest(lines: Column) -> Column:
 
 
 def known_digests(spark) -> DataFrame:
-    """(license, digest) of the texts in ``license_texts.KNOWN``: one row a text."""
-    known = spark.createDataFrame(KNOWN, "license string, text string")
+    """(license, digest) of the texts in ``license_texts``: one row a text."""
+    known = spark.createDataFrame([*KNOWN, *WHOLE], "license string, text string")
     return known.select("license", canonical_digest(canonical_lines(F.col("text"))).alias("digest")).distinct()
 
 

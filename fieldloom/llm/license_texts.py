@@ -1,5 +1,7 @@
 """Known licence texts and notices. Public licence texts, as their publishers word them."""
 
+from fieldloom.llm.license_whole import APACHE_2, GPL_3
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -97,6 +99,49 @@ KNOWN = [
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
 
+#: Titles that publishers and package tools put before the text.
+TITLES = [
+    "The MIT License (MIT)", "The MIT License", "MIT License", "ISC License (ISC)", "The ISC License", "ISC License", "BSD Zero Clause License",
+    "Zero-Clause BSD", "BSD 2-Clause License", "The 2-Clause BSD License", "BSD 3-Clause License", "The 3-Clause BSD License", "zlib License", "The zlib License",
+]
+
+RESERVED = "All rights reserved.\n"
+BSD_2_BULLETS, BSD_3_BULLET = BSD_2.replace("1. ", "* ").replace("2. ", "* "), BSD_3.replace("3. ", "* ")
+
+
+def _titled(name: str, text: str, *titles: str) -> list[tuple[str, str]]:
+    return [(name, "\n".join(filter(None, (title, text)))) for title in ("", *titles)]
+
+
+#: (licence, text): whole licences as they are published, under their titles and with what stands above them.
+WHOLE = [
+    *_titled("MIT", MIT, "The MIT License (MIT)"),
+    *_titled("ISC", ISC, "ISC License (ISC)", "The ISC License"),
+    *_titled("0BSD", ZERO_BSD, "BSD Zero Clause License", "Zero-Clause BSD"),
+    *[
+        known
+        for top in ("", RESERVED)
+        for two, three in ((BSD_2, BSD_3), (BSD_2_BULLETS, BSD_3_BULLET))
+        for known in (
+            *_titled("BSD-2-Clause", top + two + "\n" + BSD_DISCLAIMER, "BSD 2-Clause License", "The 2-Clause BSD License"),
+            *_titled("BSD-3-Clause", top + two + "\n" + three + "\n" + BSD_DISCLAIMER, "BSD 3-Clause License", "The 3-Clause BSD License"),
+        )
+    ],
+    *_titled("Zlib", ZLIB, "zlib License", "The zlib License"),
+    ("Apache-2.0", APACHE_2),
+    ("Apache-2.0", APACHE_2.replace("Copyright [yyyy] [name of copyright owner]", "")),  # with the holder's statement there
+    ("Apache-2.0", APACHE_2.partition("APPENDIX:")[0]),
+    *[("GPL-3.0", x.replace("https:", scheme)) for scheme in ("https:", "http:") for x in (GPL_3, GPL_3.partition("How to Apply These Terms")[0])],
+]
+
+#: Copyright statements inside these texts, behind the word.
+OWN_STATEMENTS = [
+    "(C) <year> <name of author>",
+    "[yyyy] [name of copyright owner]",
+    "(C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted",
+    "(C) 2007 Free Software Foundation, Inc. <http://fsf.org/> Everyone is permitted",
+]
+
 #: (spelling, equivalent): words that licence matching treats as the same.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),

@@ -1,9 +1,12 @@
 """Query op9: known licences of all documents, by canonical digests of whole texts and of whole lines."""
 
-from fieldloom.llm.license_scan import COPYRIGHT_LINE, SPELLINGS, SYMBOLS, known_digests, scan_licenses
+from fieldloom.llm.license_scan import SPELLINGS, SYMBOLS, known_digests, scan_licenses
 from fieldloom.llm.license_texts import EQUIVALENT, KNOWN
 from fieldloom.session import table
 
+#: The oracle's own rule; it knows the texts in KNOWN only. The tables hold no copyright statements or whole licences.
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©)[^\p{L}]"
+
 
 def op9_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"), known_digests(spark))
