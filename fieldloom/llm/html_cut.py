@@ -48,6 +48,8 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 #: Evidence of markup in log odds, and the largest weight of text features; markup wins over text and smoothness.
 CONTENT_EVIDENCE, BOILER_EVIDENCE, TEXT_LIMIT = 7.0, 14.0, 3.0
+#: Evidence of boilerplate words on a wrapper, and the least share of the page's text that makes one.
+WRAPPER_EVIDENCE, WRAPPER_SHARE = 1.0, 1 / 3
 #: Smoothness of neighbours on the page and of siblings further apart, divided by their distance in the tree.
 ADJACENT, SIBLING = 1.0, 0.6
 
@@ -60,6 +62,15 @@ class Block:
     link_chars: int
     content: bool
     boiler: bool
+    wrapped: bool = False  # boilerplate words stand on a wrapper only
+
+
+@dataclass(slots=True)
+class Node:
+    tag: str
+    content: bool  # by its own tag or words
+    named: bool  # by its own words boilerplate
+    chars: int = 0  # text of the whole element outside boilerplate tags
 
 
 def _words_of(attributes: str) -> set[str]:
@@ -69,19 +80,43 @@ def _words_of(attributes: str) -> set[str]:
     return found
 
 
+def wrappers(nodes: list[Node], blocks: list[Block]) -> set[int]:
+    """Elements with boilerplate words that hold the page's main part, so that the words can't tell of all their text.
+
+    The main part is the content element with most text (the first one on ties) and those in it that hold most of its
+    text, or any element with the share where the page marks no content.
+    """
+    whole = 0
+    leads: dict[int, tuple[int, ...]] = {}
+    for b in blocks:
+        if not any(nodes[k].tag in BOILER_TAGS for k in b.path):
+            whole += len(b.text)
+            for at, k in enumerate(b.path):
+                nodes[k].chars += len(b.text)
+                if nodes[k].content:
+                    leads[k] = b.path[: at + 1]
+    lead = max(leads, key=lambda k: (nodes[k].chars, -k), default=None)
+    if lead is None:
+        return {k for k, n in enumerate(nodes) if n.named and n.chars and n.chars >= WRAPPER_SHARE * whole}
+    main = {k for k, path in leads.items() if lead in path and 2 * nodes[k].chars > nodes[lead].chars}
+    around = {k for lone in main for k in leads[lone] if nodes[k].named}
+    return {k for k in around if nodes[k].chars >= WRAPPER_SHARE * whole or k in main and nodes[k].tag in CONTENT_TAGS}
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page in page order; unclosed and badly nested tags are closed as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, node, in content, in boilerplate, skipped
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, node, in content, skipped
+    nodes: list[Node] = []
     text: list[str] = []
-    state = {"link": 0, "chars": 0, "nodes": 0}
+    state = {"link": 0, "chars": 0}
 
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                top = stack[-1] if stack else ("", 0, False, False, False)
-                out.append(Block(joined, tuple(s[1] for s in stack), top[0], min(state["chars"], len(joined)), top[2], top[3]))
+                top = stack[-1] if stack else ("", 0, False, False)
+                out.append(Block(joined, tuple(s[1] for s in stack), top[0], min(state["chars"], len(joined)), top[2], False))
             text.clear()
         state["chars"] = 0
 
@@ -93,7 +128,7 @@ def blocks_of(page: str | None) -> list[Block]:
     while at < len(page):
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not (stack and stack[-1][4]):
+        if end > at and not (stack and stack[-1][3]):
             text.append(page[at:end])
             if state["link"]:
                 state["chars"] += end - at
@@ -141,15 +176,18 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "hr" or m[3].endswith("/") and tag in SKIPPED:
             continue
         words = _words_of(m[3]) if m[3] and tag not in ("html", "body") else set()
-        _, _, content, boiler, skipped = stack[-1] if stack else ("", 0, False, False, False)
-        state["nodes"] += 1
-        boiler = boiler or tag in BOILER_TAGS or bool(words & BOILER_WORDS)
-        content = content or tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
-        stack.append((tag, state["nodes"], content, boiler, skipped or tag in SKIPPED))
+        _, _, inside, skipped = stack[-1] if stack else ("", 0, False, False)
+        content = tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
+        stack.append((tag, len(nodes), inside or content, skipped or tag in SKIPPED))
+        nodes.append(Node(tag, content, bool(words & BOILER_WORDS)))
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = stop.start() if stop else len(page)
     flush()
+    wide = wrappers(nodes, out)
+    for b in out:
+        b.boiler = any(nodes[k].tag in BOILER_TAGS or nodes[k].named and k not in wide for k in b.path)
+        b.wrapped = any(k in wide for k in b.path)
     return out
 
 
@@ -287,7 +325,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     if not blocks:
         return ""
     score = np.clip(features(blocks) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
-    score += np.array([CONTENT_EVIDENCE * b.content - BOILER_EVIDENCE * b.boiler for b in blocks])
+    score += np.array([CONTENT_EVIDENCE * b.content - BOILER_EVIDENCE * b.boiler - WRAPPER_EVIDENCE * b.wrapped for b in blocks])
     if any(b.content and not b.boiler for b in blocks):  # the page marks its content: the rest is not
         score -= np.array([0.0 if b.content else CONTENT_EVIDENCE for b in blocks])
     keep = minimum_cut(np.logaddexp(0, score), np.logaddexp(0, -score), ties(blocks))
