@@ -107,9 +107,13 @@ class Items:
             out.anchors[size] = (values, np.array([n for _, n in pairs]), np.packbits(seen).tobytes())
         return out
 
-    def search(self, row: np.ndarray, word: np.ndarray, threshold: float) -> dict[tuple[int, int], tuple[float, int, int]]:
-        """(row, item number) -> (similarity, word position in the row, Hamming distance) of the best window."""
+    def search(self, row: np.ndarray, word: np.ndarray, threshold: float) -> dict[tuple[int, int], tuple[float, int, int, int]]:
+        """(row, item number) -> (similarity, word position in the row, Hamming distance, words) of the best window.
+
+        A row shorter than an item is its one window for it.
+        """
         starts: dict[int, list[np.ndarray]] = {}
+        short: dict[int, set[int]] = {}  # item length -> shorter documents that may come up to the threshold as a whole
         first = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else np.zeros(1, np.int64)
         for size, (values, lengths, packed) in self.anchors.items():
             seen = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
@@ -125,9 +129,13 @@ class Items:
                     own = np.repeat(row[p], length - size + 1)
                     window = window[(window >= first[own]) & (window + length <= first[own + 1])]
                     starts.setdefault(int(length), []).append(np.unique(window))
+                    docs = np.unique(row[p])
+                    n = first[docs + 1] - first[docs]
+                    near = (n < length) & (n - size + 1 >= threshold * (length - size + 1))
+                    short.setdefault(int(length), set()).update(docs[near].tolist())
                 lo = lo + 1
                 at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         for length, parts in starts.items():
             numbers, tables, prints = self.by_length[length]
             windows = np.unique(np.concatenate(parts))
@@ -151,10 +159,19 @@ class Items:
                     score = similarity(own_bag, self.bags[numbers[i]])
                     if score >= threshold:
                         doc = int(row[some[w]])
-                        new = (score, int(some[w] - first[doc]), int(d))
+                        new = (score, int(some[w] - first[doc]), int(d), int(length))
                         known = best.get((doc, int(numbers[i])))
                         if known is None or (-new[0], new[1]) < (-known[0], known[1]):
                             best[doc, int(numbers[i])] = new
+        for length, docs in short.items():
+            numbers, _, prints = self.by_length[length]
+            for doc in docs:
+                own = word[first[doc] : first[doc + 1]]
+                apart, own_bag = np.bitwise_count(simhash(own[None])[0] ^ prints), bag(own)
+                for i in np.flatnonzero(apart <= RADIUS).tolist():
+                    score = similarity(own_bag, self.bags[numbers[i]])
+                    if score >= threshold:
+                        best[doc, int(numbers[i])] = (score, 0, int(apart[i]), len(own))
         return best
 
 
@@ -169,13 +186,13 @@ def _item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Item
         yield Items.of([(r.item_id, r.text) for r in rows])
 
 
-def _scan(column: pa.Array, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(row, item number, similarity, position, distance) of a batch's texts, slice by slice."""
+def _scan(column: pa.Array, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(row, item number, similarity, position, distance, words) of a batch's texts, slice by slice."""
     _, offsets = text_buffer(column)
     for a, b in slices(offsets):
         row, word = text_words(column.slice(a, b - a))
-        for (doc, item), (score, at, apart) in items.search(row, word, threshold).items():
-            yield a + doc, item, score, at, apart
+        for (doc, item), (score, at, apart, words) in items.search(row, word, threshold).items():
+            yield a + doc, item, score, at, apart, words
 
 
 def contaminated_windows(
@@ -191,9 +208,8 @@ def contaminated_windows(
     schema = "doc_id long, item_id long, similarity double, position int, n_words int, distance int"
     out = None
     for items in _item_blocks(benchmark, "item_id", "text"):
-        lengths = {int(n): length for length, (numbers, _, _) in items.by_length.items() for n in numbers}
 
-        def search(batches: Iterator[pa.RecordBatch], items: Items = items, lengths: dict = lengths) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names = batch.column("doc_id")
                 found = list(_scan(batch.column("text"), items, threshold))
@@ -204,7 +220,7 @@ def contaminated_windows(
                             pa.array([items.ids[f[1]] for f in found], pa.int64()),
                             pa.array([f[2] for f in found]),
                             pa.array([f[3] for f in found], pa.int32()),
-                            pa.array([lengths[f[1]] for f in found], pa.int32()),
+                            pa.array([f[5] for f in found], pa.int32()),
                             pa.array([f[4] for f in found], pa.int32()),
                         ],
                         ["doc_id", "item_id", "similarity", "position", "n_words", "distance"],
