@@ -1,11 +1,15 @@
 """Byte-pair encoding by a deterministic automaton over tokens, compiled from the merges.
 
 The automaton starts with one state and an arc for each byte. Each merge ``u v -> w`` in rank order adds its gadget:
-where a path ``p -u-> q -v-> r`` exists, ``p`` gets the arc ``w`` to ``r``, and the arcs ``u`` lead to a copy of ``q``
-without the arc ``v``. A sequence of tokens is the correct encoding of its string exactly if the automaton reads it.
+where a path ``p -u-> q -v-> r`` exists, ``p`` gets the arc ``w`` to ``r``, and the arcs ``u`` lead to a new state, the
+copy of ``q`` without the arc ``v``. A sequence of tokens is the correct encoding of its string exactly if the automaton
+reads it, and every beginning of a string has exactly one such sequence.
 
-All arcs of one label end in the same state, so a state is a chain of gadgets: its parent and the arc that the gadget
-took away. Rows of the transition table are filled from these chains when they are first asked for and then kept.
+All arcs of one label end in the same state. The transition table is kept by rows: the row of a state maps tokens to the
+next state, or to CLOSED. Entries follow from the gadgets, and are filled in when they are first asked for.
+
+Texts are cut into units where the pre-split pattern always begins a new piece. Each distinct unit of a slice is told by
+a 64-bit hash and encoded once; ids, decimal digits and labels of whole slices are gathered by numpy.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.scan import CASED_VALUE, gather, hashes, slices, text_buffer
+from fieldloom.llm.word_ids import KeptIds
+
 #: The published pre-split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries kept in a worker; what is beyond them is computed again with the same result.
-KEPT_UNITS = 300_000
-KEPT_PIECES = 150_000
-KEPT_ARCS = 300_000
-#: Texts whose ids are held at a time where they leave as arrays.
-ROWS = 64
+#: Bounds of a worker's tables. What is beyond them is computed again, with the same result.
+KEPT_UNITS = 1_000_000
+KEPT_ARCS = 400_000
 NEVER = 1 << 40
+CLOSED = -1
+ROOT = 0
 
 
 def byte_letters() -> list[str]:
@@ -43,21 +49,22 @@ def byte_letters() -> list[str]:
 
 
 class MergeAutomaton:
-    """States and arcs built by successive merge gadgets.
+    """States, arcs and the transition table, built by successive merge gadgets.
 
-    ``state_after[t]`` is the state in which every arc ``t`` ends (None: no arc has that label). ``parent`` and
-    ``removed`` hold the gadget chain of each state, ``made`` the rank at which a token's arcs appeared.
+    A state other than ROOT was made by a gadget of its owner ``u`` at rank ``since``; it lacks the arcs that this and
+    the earlier gadgets of ``u`` took away, and those that the state ``base[u]`` lacked, where the arcs ``u`` led first.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
         letters = byte_letters()
-        self.state_after: dict[int, int] = {vocab[x]: 0 for x in letters if x in vocab}
+        self.owner, self.since = [-1], [-1]  # of each state
+        self.base: dict[int, int] = {}
+        self.state_after: dict[int, int] = {vocab[x]: ROOT for x in letters if x in vocab}
+        self.left: dict[int, int] = {}
         self.made = dict.fromkeys(self.state_after, -1)
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.parent, self.removed = [-1], [-1]
-        self._gone: dict[tuple[int, int], int] = {}  # (u, v) -> rank of the gadget that took v away after u
-        self._arcs: dict[int, int] = {}
+        self.taken: dict[tuple[int, int], int] = {}  # (u, v) -> rank of the gadget that took the arc v away after u
+        self.rows: dict[int, dict[int, int]] = {}
+        self.filled = 0
         for rank, (left, right) in enumerate(merges):
             self._gadget(rank, vocab[left], vocab[right], vocab[left + right])
         of = {x: b for b, x in enumerate(letters)}
@@ -67,179 +74,220 @@ class MergeAutomaton:
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         q = self.state_after.get(u)
-        if q is None or v not in self.state_after or w in self.state_after or not self._open(u, v):
+        if q is None or v not in self.state_after or w in self.state_after or not self._has_arc(q, v):
             return  # no path reads u v: the merge never applies
-        r = self.state_after[v]
-        self.parent.append(q)
-        self.removed.append(v)
-        self.state_after[u] = len(self.parent) - 1
-        self.state_after[w] = r
-        self.parts[w], self.made[w] = (u, v), rank
-        self._gone[u, v] = rank
-
-    def _open(self, t: int, x: int) -> bool:
-        """Whether the state after ``t`` has an arc ``x``.
-
-        The chain of that state is: gadgets of ``t``, then those its right part had when ``t`` was made, and so on. A
-        gadget that took arc ``y`` also bars the tokens made with it or later that begin with ``y``: no path reads them
-        (``y y -> w`` bars ``w`` after a single ``y`` at once).
+        self.state_after[w], self.left[w], self.made[w] = self.state_after[v], u, rank
+        self.base.setdefault(u, q)
+        self.taken[u, v] = rank
+        self.state_after[u] = len(self.owner)
+        self.owner.append(u)
+        self.since.append(rank)
+
+    def _has_arc(self, state: int, token: int) -> bool:
+        """Whether a state has an arc, told from the gadgets.
+
+        When ``w`` was made of ``u v``, the states with an arc ``u`` got one ``w``. So a state has the arc ``w`` if it
+        is older than ``w`` and has the arc ``u``, or if it is younger and its gadgets didn't take ``w`` away.
         """
-        before_t = NEVER
-        while True:
-            y, before = x, NEVER
+        while state != ROOT:
+            u, since = self.owner[state], self.since[state]
+            x, until = token, NEVER
             while True:
-                rank = self._gone.get((t, y), NEVER)
-                if rank < before_t and rank <= before and rank != NEVER:
+                if self.taken.get((u, x), NEVER) <= min(since, until):
                     return False
-                if y not in self.parts:
+                if x not in self.left:
                     break
-                before = self.made[y]
-                y = self.parts[y][0]
-            if t not in self.parts:
-                return True
-            before_t = self.made[t]
-            t = self.parts[t][1]
-
-    def step(self, last: int, x: int) -> bool:
-        """The transition table: is there an arc ``x`` in the state after token ``last``?"""
-        key = last << 20 | x
-        found = self._arcs.get(key)
-        if found is None:
-            found = self._open(last, x)
-            if len(self._arcs) < KEPT_ARCS:
-                self._arcs[key] = found
-        return found
+                x, until = self.left[x], self.made[x]
+            state = self.base[u]
+        return True
+
+    def step(self, state: int, token: int) -> int:
+        """The transition table: the state that the arc leads to, or CLOSED."""
+        row = self.rows.get(state)
+        if row is None:
+            row = self.rows[state] = {}
+        following = row.get(token)
+        if following is None:
+            if self.filled >= KEPT_ARCS:
+                self.rows, self.filled = {state: row}, len(row)
+            following = row[token] = self.state_after[token] if self._has_arc(state, token) else CLOSED
+            self.filled += 1
+        return following
 
     def encode(self, piece: bytes) -> list[int]:
-        """The one path that reads the piece. A position is tried once: its state doesn't depend on how it was reached."""
+        """The one path that reads the piece, the longest arcs tried first; a position is tried once."""
         whole = self.by_label.get(piece)
         if whole is not None:
             return [whole]
         n, failed = len(piece), set()
         path: list[int] = []
-        ends = [0]
-        choices = [self._choices(piece, 0)]
-        while True:
-            at = ends[-1]
-            if at == n:
-                return path
-            for token, end in choices[-1]:
-                if end not in failed and (not path or self.step(path[-1], token)):
+        at, state, choices = 0, ROOT, self._labels(piece, 0)
+        behind: list[tuple[int, int, list[tuple[int, int]]]] = []
+        while at < n:
+            while choices:
+                token, end = choices.pop()
+                if end not in failed and (following := self.step(state, token)) != CLOSED:
+                    behind.append((at, state, choices))
                     path.append(token)
-                    ends.append(end)
-                    choices.append(self._choices(piece, end))
+                    at, state, choices = end, following, self._labels(piece, end)
                     break
             else:
                 failed.add(at)
                 if not path:
                     raise ValueError("the vocabulary lacks bytes of this text")
                 path.pop()
-                ends.pop()
-                choices.pop()
+                at, state, choices = behind.pop()
+        return path
 
-    def _choices(self, piece: bytes, at: int) -> Iterator[tuple[int, int]]:
-        """Tokens that start at a position, the longest first."""
+    def _labels(self, piece: bytes, at: int) -> list[tuple[int, int]]:
+        """(token, end) of the labels that the piece has at a position, the longest last."""
         found, end, prefixes, by_label = [], at + 1, self.prefixes, self.by_label
         while end <= len(piece) and (x := piece[at:end]) in prefixes:
             token = by_label.get(x)
             if token is not None:
                 found.append((token, end))
             end += 1
-        return iter(found[::-1])
+        return found
+
+
+_CLASS = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 else 0 for b in range(128)] + [0] * 128, np.uint8)
+_BREAK = np.zeros(256, bool)
+_BREAK[[9, 10, 11, 12, 13]] = True
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """True where a unit begins: at rows' beginnings, and at some of the places where a piece of PATTERN surely begins.
+
+    These are the last white space before a character that is surely none; that character too if no blank stands before
+    it; a break behind a visible ASCII character; and changes between ASCII letters, digits and signs, but not behind
+    an apostrophe.
+    """
+    n = len(data)
+    starts = np.zeros(n, bool)
+    if not n:
+        return starts
+    kind, after = _CLASS[data], np.r_[data[1:], np.uint8(0)]
+    # White space beyond ASCII: U+0085, U+00A0, U+1680, U+180E, U+2000 to U+205F, U+3000.
+    odd = (data == 0xC2) & ((after == 0x85) | (after == 0xA0)) | (data == 0xE1) & ((after == 0x9A) | (after == 0xA0))
+    odd |= (data == 0xE2) & ((after == 0x80) | (after == 0x81)) | (data == 0xE3) & (after == 0x80)
+    solid = ((data >= 0xC2) & ~odd) | (kind > 0)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    last = ((data[:-1] == 0x20) | _BREAK[data[:-1]]) & solid[1:] & ~edge[1:-1]  # white space that ends its run
+    starts[:-1] = last
+    starts[1:] |= last & (data[:-1] != 0x20) | (kind[:-1] > 0) & _BREAK[data[1:]]
+    starts[1:] |= (kind[:-1] != kind[1:]) & (kind[:-1] > 0) & (kind[1:] > 0) & (data[:-1] != 0x27)
+    starts |= edge[:-1]
+    return starts
 
 
 class AutomatonTokenizer:
     """Whole texts to ids and back, for byte-level BPE files of the tokenizers library."""
 
-    _loaded: dict[tuple[str, float], AutomatonTokenizer] = {}
+    _loaded: dict[tuple[str, int], AutomatonTokenizer] = {}
 
-    def __init__(self, path: str, kept: float = 1.0):
-        self.most_units, self.most_pieces = int(KEPT_UNITS * kept), int(KEPT_PIECES * kept)
+    def __init__(self, path: str, kept: int = KEPT_UNITS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.automaton = MergeAutomaton(spec["model"]["vocab"], merges)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.label = dict(self.automaton.label) | {i: t.encode() for t, i in self.special.items()}
-        self._special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
+        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        label = self.automaton.label | {i: t for t, i in self.special.items()}
+        self._special = regex.compile(b"|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self._pattern = regex.compile(PATTERN)
-        self._uneven = regex.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
-        self._units: dict[str, tuple[bytes, str]] = {}  # ids as little-endian 32-bit integers, and as decimal text
-        self._pieces: dict[str, bytes] = {}
+        self._kept = KeptIds(kept)
+        most = max(label) + 1
+        self.labels, self.label_at, self.label_size = _rows([label.get(i, b"") for i in range(most)])
+        self.digits, self.digits_at, self.digits_size = _rows([b"%d," % i for i in range(most)])
 
     @classmethod
-    def load(cls, path: str, kept: float = 1.0) -> AutomatonTokenizer:
-        """The worker's own copy; ``kept`` scales its tables where workers also serve other stages."""
+    def load(cls, path: str, kept: int = KEPT_UNITS) -> AutomatonTokenizer:
+        """The worker's own copy; ``kept`` bounds its table where workers also serve other stages."""
         if (path, kept) not in cls._loaded:
             cls._loaded[path, kept] = cls(path, kept)
         return cls._loaded[path, kept]
 
-    def _unit(self, unit: str) -> tuple[bytes, str]:
-        """Ids, and the same as decimal text, of a part of a text that no piece of the pattern crosses."""
-        parts: list[bytes] = []
-        for piece in self._pattern.findall(unit):
-            got = self._pieces.get(piece)
-            if got is None:
-                got = np.array(self.automaton.encode(piece.encode()), "<u4").tobytes()
-                if len(self._pieces) < self.most_pieces and len(piece) < 64:
-                    self._pieces[piece] = got
-            parts.append(got)
-        ids = b"".join(parts)
-        found = ids, ",".join(map(str, np.frombuffer(ids, "<u4").tolist()))
-        if len(self._units) < self.most_units and len(unit) < 64:
-            self._units[unit] = found
-        return found
-
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        """Units of a text without special tokens. Single blanks inside a text always start a piece."""
-        if not text:
-            return []
-        if self._uneven.search(text):
-            return [self._unit(text)]
-        first, *rest = text.split(" ")
-        units, make = self._units, self._unit
-        out = [units.get(first) or make(first)]
-        for word in rest:
-            word = " " + word
-            out.append(units.get(word) or make(word))
-        return out
-
-    def units(self, text: str) -> list[tuple[bytes, str]]:
-        if self.special and (found := list(self._special.finditer(text))):
-            out, at = [], 0
-            for m in found:
-                out += self._plain(text[at : m.start()])
-                out.append((np.array([self.special[m[0]]], "<u4").tobytes(), str(self.special[m[0]])))
-                at = m.end()
-            return out + self._plain(text[at:])
-        return self._plain(text)
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each unit)."""
+        ids: list[int] = []
+        sizes = np.zeros(len(units), np.int64)
+        pieces, encode = self._pattern.findall, self.automaton.encode
+        for k, unit in enumerate(units):
+            before = len(ids)
+            if unit in self.special:
+                ids.append(self.special[unit])
+            else:
+                for piece in pieces(unit.decode()):
+                    ids += encode(piece.encode())
+            sizes[k] = len(ids) - before
+        return np.array(ids, np.uint32), sizes
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row's begin and end) of a slice of texts."""
+        starts = unit_starts(data, offsets)
+        raw = data.tobytes()
+        for m in self._special.finditer(raw) if self.special and any(t in raw for t in self.special) else ():
+            row = int(np.searchsorted(offsets, m.start(), "right")) - 1
+            a, b = int(offsets[row]), int(offsets[row + 1])
+            if m.end() > b:
+                continue  # it lies across two texts
+            parts = [k for s in self._special.finditer(raw[a:b]) for k in (a + s.start(), a + s.end()) if k < b]
+            starts[a:b] = False
+            starts[[a, *parts]] = True
+        start = np.flatnonzero(starts)
+        stop = np.r_[start[1:], len(data)] if len(start) else start
+        names, first, again = np.unique(hashes(data, start, stop, CASED_VALUE), return_index=True, return_inverse=True)
+        flat, at, size = self._kept.find(names, lambda new: self._encode_units([raw[start[i] : stop[i]] for i in first[new]]))
+        ends = np.r_[0, np.cumsum(size[again])]
+        return gather(flat, at[again], size[again]), ends[np.searchsorted(start, offsets)]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([ids for ids, _ in self.units(text)]), "<u4")
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_rows(data, np.array([0, len(data)]))[0]
+
+    def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all rows, where each row's begin and end): the labels of the ids' arcs, one after the other."""
+        size = self.label_size[ids]
+        return gather(self.labels, self.label_at[ids], size), np.r_[0, np.cumsum(size)][ends]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The labels of the ids' arcs, one after the other."""
-        label = self.label
-        return b"".join([label[i] for i in ids.tolist()])
+        return self.decode_rows(ids, np.array([0, len(ids)]))[0].tobytes()
+
+    def decimal_rows(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all rows, where each row's begin and end): decimal ids, each with a comma behind it."""
+        size = self.digits_size[ids]
+        return gather(self.digits, self.digits_at[ids], size), np.r_[0, np.cumsum(size)][ends]
+
+
+def _rows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(p) for p in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+
+def _digests(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> pa.Array:
+    raw = memoryview(data)
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(begins.tolist(), stops.tolist())], pa.string())
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row. Null text counts as empty: no ids, empty text."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, row by row: equal or null ids change nothing.
+
+    Null text counts as empty: no ids, empty text. A text is held by one task as a whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = AutomatonTokenizer.load(tokenizer)
         for batch in batches:
-            counts, encoded, decoded = [], [], []
-            for t in batch.column("text"):
-                units = auto.units(t.as_py() or "")
-                ids = np.frombuffer(b"".join([u for u, _ in units]), "<u4")
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join([d for _, d in units]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(auto.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            data, offsets = text_buffer(batch.column("text"))
+            for a, b in slices(offsets):
+                ids, ends = auto.encode_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                digits, at = auto.decimal_rows(ids, ends)
+                encoded = _digests(digits, at[:-1], np.maximum(at[1:] - 1, at[:-1]))  # without the last comma
+                decoded, at = auto.decode_rows(ids, ends)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(ends)), encoded, _digests(decoded, at[:-1], at[1:])],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -247,24 +295,27 @@ def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
 
 
 def bpe_round_trip(
-    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", kept: float = 0.3
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", kept: int = KEPT_UNITS // 3
 ) -> DataFrame:
     """doc_id, ids (array<int>), text: the ids of every row and the text that they decode to, in one pass.
 
-    Null text counts as empty: no ids, empty text. All other columns are left out.
+    Null text counts as empty: no ids, empty text. Equal or null ids change nothing; all other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = AutomatonTokenizer.load(tokenizer, kept)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [auto.encode(t.as_py() or "") for t in part.column("text")]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32)
-                texts = [auto.decode(x).decode(errors="replace") for x in ids]
+            data, offsets = text_buffer(batch.column("text"))
+            for a, b in slices(offsets):
+                ids, ends = auto.encode_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                decoded, at = auto.decode_rows(ids, ends)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
+                    [
+                        batch.column("doc_id").slice(a, b - a),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                        pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(decoded)]),
+                    ],
+                    ["doc_id", "ids", "text"],
                 )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(

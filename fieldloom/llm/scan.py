@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: One fixed random 64-bit value for each byte, upper-case ASCII folded to lower case.
 BYTE_VALUE = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] * U64(2) + U64(1)
+#: As BYTE_VALUE, but with case kept apart.
+CASED_VALUE = np.random.default_rng(20240102).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
@@ -64,6 +66,21 @@ def slices(offsets: np.ndarray, target: int = SLICE_BYTES) -> Iterator[tuple[int
         first = last
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """64-bit hashes of the byte ranges ``data[start:end]``."""
+    if not len(start):
+        return np.zeros(0, U64)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(values[data] * powers(_BASE, len(data)), out=total[1:])
+    return mix((total[end] - total[start]) * powers(_INVERSE, len(data))[start])
+
+
+def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges ``flat[at:at + size]``, one after the other."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(at - before, size) + np.arange(int(size.sum()))]
+
+
 def words(
     data: np.ndarray,
     offsets: np.ndarray,
@@ -90,11 +107,8 @@ def words(
         ends[cut] = True
         begins[cut + 1] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * powers(_BASE, len(data)), out=total[1:])
-    value = (total[end] - total[start]) * powers(_INVERSE, len(data))[start]
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, mix(value), start, end
+    return row, hashes(data, start, end, values), start, end
 
 
 def shingles(row: np.ndarray, word: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -13,15 +13,57 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from fieldloom.llm.scan import BYTE_VALUE, SPACE, U64, slices, text_buffer, words
+from fieldloom.llm.scan import BYTE_VALUE, CASED_VALUE, SPACE, U64, gather, slices, text_buffer, words
 
 #: Words kept in a worker, about 40 bytes each. Others are encoded again in each slice, with the same result.
 KEPT_WORDS = 1_500_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.array([b < 128 and chr(b).isprintable() and not chr(b).isalnum() and b != 32 for b in range(256)])
-#: As BYTE_VALUE, but with case kept apart.
-CASED_VALUE = np.random.default_rng(20240102).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+
+
+class KeptIds:
+    """A worker's bounded table from 64-bit hashes of words to ids.
+
+    When it is full, what was asked for again since it last filled stays; the rest makes room for newer words.
+    """
+
+    def __init__(self, most: int, longest: int = 64):
+        self.most, self.longest = most, longest
+        self._keep(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _keep(self, names: np.ndarray, at: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.names, self.at, self.size, self.flat = names, at, size, flat
+        self.asked = np.zeros(len(names), bool)
+
+    def find(self, names: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, size) of ascending names; ``encode`` takes the indexes of unknown ones.
+
+        It gives their ids in a row and the number of ids of each.
+        """
+        place = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+        known = self.names[place] == names if len(self.names) else np.zeros(len(names), bool)
+        at, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        self.asked[place[known]] = True
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return self.flat, at, size
+        ids, sizes = encode(new)
+        size[new], at[new] = sizes, np.cumsum(sizes) - sizes + len(self.flat)
+        flat = np.concatenate([self.flat, ids])
+        new = new[sizes <= self.longest]
+        if len(self.names) + len(new) > self.most:
+            stay = self.asked if 2 * self.asked.sum() <= self.most else np.zeros(len(self.names), bool)
+            sizes = self.size[stay]
+            self._keep(self.names[stay], np.cumsum(sizes) - sizes, sizes, gather(self.flat, self.at[stay], sizes))
+        if len(self.names) + len(new) <= self.most:
+            into, first = np.searchsorted(self.names, names[new]), len(self.flat)
+            self.flat = np.concatenate([self.flat, gather(flat, at[new], size[new])])
+            starts = first + np.cumsum(size[new]) - size[new]
+            self.at, self.size = np.insert(self.at, into, starts), np.insert(self.size, into, size[new])
+            self.asked, self.names = np.insert(self.asked, into, False), np.insert(self.names, into, names[new])
+        return flat, at, size
 
 
 class WordIds:
@@ -42,8 +84,7 @@ class WordIds:
         folds = self.tokenizer.encode("ÀBC", add_special_tokens=False).ids == self.tokenizer.encode("àbc", add_special_tokens=False).ids
         self.values = BYTE_VALUE if folds else CASED_VALUE
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.names, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.kept = KeptIds(KEPT_WORDS)
 
     @classmethod
     def load(cls, path: str) -> WordIds:
@@ -65,24 +106,6 @@ class WordIds:
             sizes.append(np.diff(np.searchsorted(token_starts, begins)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _look_up(self, names: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start, size) of each name; ``spell`` gives the texts of unknown names by their index."""
-        place = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
-        known = self.names[place] == names if len(self.names) else np.zeros(len(names), bool)
-        at, size, flat = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), self.flat
-        at[known], size[known] = self.at[place[known]], self.size[place[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            ids, sizes = self._encode(spell(new))
-            size[new], at[new] = sizes, np.cumsum(sizes) - sizes + len(flat)
-            flat = np.concatenate([flat, ids])
-            if len(self.names) + len(new) <= KEPT_WORDS:
-                self.flat = flat
-                into = np.searchsorted(self.names, names[new])
-                self.names = np.insert(self.names, into, names[new])
-                self.at, self.size = np.insert(self.at, into, at[new]), np.insert(self.size, into, size[new])
-        return flat, at, size
-
     def ids(self, column: pa.Array, end_id: int, kind: str = "<u4") -> pa.Array:
         """A binary array: the ids of each text and the end id; null and empty texts have the end id alone."""
         data, offsets = text_buffer(column)
@@ -97,14 +120,12 @@ class WordIds:
         row, name, start, stop = words(data, ends, SPACE, self.values, (_LETTER, _SIGN) if split else None)
         names, first, again = np.unique(name, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        flat, at, size = self._look_up(names, lambda new: [raw[start[i] : stop[i]].decode() for i in first[new]])
+        flat, at, size = self.kept.find(names, lambda new: self._encode([raw[start[i] : stop[i]].decode() for i in first[new]]))
         rows = len(ends) - 1
         size, at = size[again], at[again]
         total = int(size.sum())
-        before = np.cumsum(size) - size
         out = np.empty(total + rows, kind)
-        source = np.repeat(at - before, size) + np.arange(total)
-        out[np.arange(total) + np.repeat(row, size)] = flat[source]
+        out[np.arange(total) + np.repeat(row, size)] = gather(flat, at, size)
         per_row = np.bincount(row, size, rows).astype(np.int64) + 1
         stops = np.cumsum(per_row)
         out[stops - 1] = end_id
