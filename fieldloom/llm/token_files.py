@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.llm.word_ids import WordIds
-from fieldloom.session import shared_dir, shuffle_partitions
+from fieldloom.session import remove, shared_dir, shuffle_partitions
 
 HEADER = struct.Struct("<4sIII")
 MAGIC = b"RKVB"
@@ -74,7 +74,10 @@ def id_type(tokenizer: str, end_id: int) -> str:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, ids binary) of every row, each document with the end id; ids take 2 bytes where all fit, else 4."""
+    """(doc_id, ids binary) of every row, each document with the end id; ids take 2 bytes where all fit, else 4.
+
+    Null and empty texts have the end id alone; equal or null ids change nothing.
+    """
     kind = id_type(tokenizer, end_id)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,7 @@ def write_token_files(
 ) -> None:
     """Tokenise every text, rank the ids by their frequency in the corpus and write ``path``/blocks and ``path``/ranks.
 
-    Files follow the ascending order of ``doc_id`` (null first, equal ids by their token ids). Null or empty text: the
+    Files follow the ascending order of ``doc_id`` (null first, equal ids by a digest of their token ids). Null or empty text: the
     end id alone. An empty table writes no blocks. The texts are tokenised once; ids are range-partitioned and sorted.
     """
     spark, kind = docs.sparkSession, id_type(tokenizer, end_id)
@@ -165,10 +168,13 @@ def write_token_files(
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange(shuffle_partitions(spark), "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(
+    # Equal ids are told apart by a digest, so that the range sampling brings no token arrays to the driver.
+    keyed = tokens.withColumn("digest", F.xxhash64("ids"))
+    ordered = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    ordered.select("doc_id", "ids").mapInArrow(
         blocks, "file int, block int, start long, n_ids long, doc_ids array<long>, data binary"
     ).write.option("compression", "none").parquet(f"{path}/blocks")
+    remove(spark, f"{path}/tokens")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
