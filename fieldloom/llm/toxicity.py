@@ -1,68 +1,81 @@
-"""Toxicity by compression distance with two zstandard dictionaries.
-
-Both dictionaries end in the same ordinary vocabulary of the labelled rows and a fixed preamble; the toxic one has the
-toxic vocabulary in front. Windows of words, each behind the preamble, are compressed with either: the preamble makes
-every window compressible, so that a window's length tells what the dictionary saves. The bytes that the toxic
-dictionary saves are turned into a likelihood ratio for each window, and a logistic regression over a document's windows
-gives its calibrated score.
-
-The toxic vocabulary: beginnings of words that stand beside many different words in toxic texts and hardly in ordinary
-ones. Counting neighbours instead of occurrences keeps copied passages from looking typical.
+"""Toxicity by compression distance with two trained zstandard dictionaries.
+
+One dictionary is trained on ordinary sample texts, the other on the passages of toxic sample texts that ordinary texts
+hardly have: the runs of character grams that are found in many different contexts and mostly in toxic texts. (Counting
+contexts instead of occurrences keeps copies from looking typical.) A window is a word with a fixed preamble behind it,
+compressed with either; the toxic side knows both dictionaries, so that the difference in length is what the toxic one
+saves. The preamble makes the shortest window compressible. Saved bytes are turned into likelihood ratios, and a logistic
+regression over a document's windows, fitted on a part of the sample that trained no dictionary, gives its calibrated score.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-WORD = re.compile(r"[^\W\d_]+")
-WINDOW_WORDS = 16
-LOW, HIGH = -8, 14  # saved bytes are clipped to this range
+from fieldloom.llm.scan import CASED_VALUE, SPACE, hashes, mix, slices, text_buffer, words
+from fieldloom.llm.word_ids import KeptIds
+
+LONGEST = 64  # bytes of a window; longer words are cut
+LOW, HIGH = -6, 14  # saved bytes are clipped to this range
 BINS = HIGH - LOW + 1
 PREAMBLE = bytes(range(128, 256))
+GRAM, CONTEXT = 6, 8  # bytes
+KEPT_WINDOWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the fit. Only the fit is bounded; every document is scored over its whole text."""
+    """Bounds of the fit's sample and sizes of its dictionaries. Every document is scored over its whole text."""
 
-    rows: int = 6000  # labelled documents to fit on, those with the smallest hash
-    stems: int = 2000  # word beginnings
-    toxic_words: int = 3000  # words that the toxic vocabulary is drawn from
-    ordinary_words: int = 3000  # ordinary vocabulary
-    z: float = 6.0  # least deviation of a beginning's share of toxic neighbours, in standard errors
-    share: float = 0.6  # least share of toxic neighbours
-    neighbours: int = 3  # least number of toxic neighbours
+    toxic_rows: int = 2000  # labelled documents to fit on, those with the smallest hash
+    ordinary_rows: int = 4000
+    row_bytes: int = 3000  # times the rows of a class: the bytes of their texts
+    toxic_bytes: int = 8192  # of dictionary
+    ordinary_bytes: int = 32768
+    z: float = 6.0  # least deviation of a gram's share of toxic contexts, in standard errors
+    share: float = 0.6  # least share of toxic contexts
+    contexts: int = 3  # least number of toxic contexts
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
+    toxic: bytes  # contents of the trained dictionaries
     ordinary: bytes
     ratio: np.ndarray  # log likelihood ratio by saved bytes
     weights: np.ndarray | None  # None: a constant score
     prior: float
 
 
-def windows(text: str | None) -> list[bytes]:
-    words = (text or "").lower().split()
-    return [PREAMBLE + f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode() for i in range(0, len(words), WINDOW_WORDS)]
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return text_buffer(pc.utf8_lower(column))
+
+
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, byte after the last) of the words of texts, longer ones in pieces of LONGEST bytes."""
+    row, _, start, stop = words(data, offsets, SPACE, CASED_VALUE)
+    pieces = np.maximum(-(-(stop - start) // LONGEST), 1)
+    step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    row, start, stop = np.repeat(row, pieces), np.repeat(start, pieces) + LONGEST * step, np.repeat(stop, pieces)
+    return row, start, np.minimum(stop, start + LONGEST)
 
 
 class Saver:
-    """Counts of windows by the bytes that the toxic dictionary saves."""
+    """Counts of windows by the bytes that the toxic dictionary saves; a worker's bounded table remembers windows."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         import zstandard as z
 
         settings = z.ZstdCompressionParameters(
-            strategy=z.STRATEGY_GREEDY, min_match=6, hash_log=16, chain_log=16, search_log=5, window_log=17,
+            strategy=z.STRATEGY_GREEDY, min_match=5, hash_log=16, chain_log=16, search_log=5, window_log=17,
             write_checksum=0, write_content_size=0, write_dict_id=0,
         )
 
@@ -71,37 +84,36 @@ class Saver:
             known.precompute_compress(compression_params=settings)
             return z.ZstdCompressor(compression_params=settings, dict_data=known).compress
 
-        self.toxic, self.ordinary = compressor(toxic + ordinary), compressor(ordinary)
+        self.toxic, self.ordinary = compressor(toxic + ordinary + PREAMBLE), compressor(ordinary + PREAMBLE)
+        self.kept = KeptIds(KEPT_WINDOWS)
 
-    def counts(self, text: str | None) -> np.ndarray:
+    def _saved(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         toxic, ordinary = self.toxic, self.ordinary
-        saved = [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
-        return np.bincount(np.clip(np.array(saved, np.int64), LOW, HIGH) - LOW, minlength=BINS)
-
-
-def beginnings(words: list[tuple[str, int]]) -> list[str]:
-    """The longest beginning that nine tenths of the sightings share, for each group of words with four letters alike."""
-    groups: dict[str, list[tuple[str, int]]] = {}
-    for word, n in words:
-        groups.setdefault(word[:4], []).append((word, n))
-    out = []
-    for start, group in groups.items():
-        whole = sum(n for _, n in group)
-        while True:
-            following: dict[str, int] = {}
-            for word, n in group:
-                if word.startswith(start) and len(word) > len(start):
-                    following[word[len(start)]] = following.get(word[len(start)], 0) + n
-            letter = max(following, key=lambda c: (following[c], c), default=None)
-            if letter is None or following[letter] < 0.9 * whole:
-                break
-            start += letter
-        out.append(start)
-    return out
+        saved = [len(ordinary(w)) - len(toxic(w)) for w in (b" %b %b" % (x, PREAMBLE) for x in found)]
+        return (np.clip(np.array(saved, np.int64), LOW, HIGH) - LOW).astype(np.uint32), np.ones(len(found), np.int64)
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """One row of counts for each text; none for null and blank texts."""
+        data, offsets = lowered(column)
+        out = []
+        for a, b in slices(offsets):
+            part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            row, start, stop = windows(part, ends)
+            raw = part.tobytes()
+            names, first, again = np.unique(hashes(part, start, stop, CASED_VALUE), return_index=True, return_inverse=True)
+            flat, at, _ = self.kept.find(names, lambda new: self._saved([raw[start[i] : stop[i]] for i in first[new]]))
+            rows = b - a
+            bins = flat[at][again] if len(row) else np.zeros(0, np.int64)
+            out.append(np.bincount(row * BINS + bins, minlength=rows * BINS).reshape(rows, BINS))
+        return np.concatenate(out) if out else np.zeros((0, BINS), np.int64)
 
 
 def features(counts: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Of documents (rows of window counts): what a weight vector is applied to."""
+    """Of documents (rows of window counts), what a weight vector is applied to.
+
+    The constant, the sum of the windows' ratios as such and by the root of their number, the sum of the three largest
+    ones, the largest one, and the logarithm of the number of windows.
+    """
     counts = counts.astype(float)
     n = counts.sum(1)
     total = counts @ ratio
@@ -120,98 +132,137 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0)
     return w
 
 
-def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, stem, neighbour hash, word) of each sample text, distinct within the text's batch."""
-    for batch in batches:
-        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            words = WORD.findall((text or "").lower())
-            seen = {(w, b) for w, b in zip(words, [""] + words)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([toxic] * len(seen), pa.int32()), pa.array([w for w, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string())],
-                ["toxic", "word", "before"],
-            )
+def telling_passages(texts: list[bytes], toxic: list[int], limits: Limits) -> list[bytes]:
+    """The runs of toxic texts that are covered by grams with mostly toxic contexts (the bytes before the gram)."""
+    data = np.frombuffer(b"".join(bytes(CONTEXT) + t for t in texts), np.uint8)
+    if len(data) < GRAM + CONTEXT:
+        return []
+    label = np.repeat(np.array(toxic, bool), [len(t) + CONTEXT for t in texts])[CONTEXT : 1 - GRAM]
+    part = np.zeros(len(label), np.uint8)  # grams are counted an eighth at a time
+    for k in range(GRAM):
+        part += data[CONTEXT + k : CONTEXT + k + len(label)] * np.uint8(2 * k + 1)
+    part >>= np.uint8(5)
+
+    def packed(at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            out |= data[at + k].astype(np.uint64) << np.uint64(8 * k)
+        return out
+
+    counted = []
+    for k in range(8):
+        at = np.flatnonzero(part == k)
+        gram = packed(at + CONTEXT, GRAM)
+        _, once = np.unique(mix(mix(gram) ^ packed(at, CONTEXT)), return_index=True)
+        grams, back = np.unique(gram[once], return_inverse=True)
+        counted.append((grams, np.bincount(back, label[at[once]], len(grams)), np.bincount(back, minlength=len(grams))))
+    share = sum(a.sum() for _, a, _ in counted) / max(sum(n.sum() for _, _, n in counted), 1)
+    spread = max(share * (1 - share), 1e-9)
+    covered = np.zeros(len(data) + 1, bool)
+    for k, (grams, a, n) in enumerate(counted):
+        mostly = (a >= limits.contexts) & (a >= limits.share * n) & (a - n * share >= limits.z * np.sqrt(n * spread))
+        at = np.flatnonzero((part == k) & label)
+        hit = at[np.isin(packed(at + CONTEXT, GRAM), grams[mostly])] + CONTEXT
+        for j in range(GRAM):
+            covered[hit + j] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, covered].astype(np.int8)))
+    return [data[a:b].tobytes() for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+
+
+def train(samples: list[bytes], size: int, k: int) -> bytes:
+    """Content of a dictionary of at most ``size`` bytes trained by zstandard.
+
+    Too few samples for its trainer are a dictionary as they are, the last ``size`` bytes of them.
+    """
+    import zstandard as z
+
+    try:
+        whole = z.train_dictionary(size, samples, k=k, d=6).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
+    # The entropy tables end with three repeat offsets; what follows them is the content.
+    start = whole.find(b"".join(x.to_bytes(4, "little") for x in (1, 4, 8)))
+    return whole[start + 12 :]
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
-    """(text, toxic) of at most ``limits.rows`` labelled documents outside the held-out third."""
-    chosen = (
+def fit_sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> tuple[list[tuple[str, int]], float]:
+    """((text, toxic) of the bounded sample outside the held-out third, share of toxic ones among all labels there)."""
+    known = (
         labels.where("doc_id is not null and toxic in (0, 1)")
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limits.rows)
     )
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most limits.rows ids
+    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    bounds = ((1, limits.toxic_rows), (0, limits.ordinary_rows))
+    some = [known.where(F.col("toxic") == y).orderBy(*order).limit(n) for y, n in bounds]
+    chosen = some[0].unionByName(some[1])
+    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most toxic_rows + ordinary_rows ids
+    by_hash = W.partitionBy("toxic").orderBy(*order, F.xxhash64("text"))
+    rows = rows.select("doc_id", "toxic", "text", F.row_number().over(by_hash).alias("n"), F.sum(F.octet_length("text")).over(by_hash).alias("bytes"))
+    most = F.when(F.col("toxic") == 1, limits.toxic_rows).otherwise(limits.ordinary_rows)
+    kept = rows.where((F.col("n") <= most) & (F.col("bytes") <= most * limits.row_bytes)).select("toxic", "n", "text").collect()
+    return [(r.text, r.toxic) for r in sorted(kept, key=lambda r: (r.n, r.toxic))], prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
-    """Fit dictionaries and calibration on the sample; what reaches the driver is bounded by ``limits``."""
-    from fieldloom.session import cut
-
-    sample = cut(fit_sample(docs, labels, limits))
-    sightings = cut(sample.mapInArrow(_sightings, "toxic int, word string, before string").distinct())
-    kinds = sightings.select("toxic", "before", "word", F.explode(F.array_distinct(F.array(F.left("word", F.lit(4)), F.left("word", F.lit(5)), "word"))).alias("stem")).where("length(stem) >= 4")
-    stems = kinds.select("toxic", "stem", "before", "word").distinct().groupBy("stem").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    share = sightings.agg(F.avg("toxic")).first()[0] or 0.0
-    found = (
-        stems.where((F.col("a") >= limits.neighbours) & (F.col("a") >= limits.share * F.col("n")))
-        .withColumn("z", (F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9)))
-        .where(F.col("z") >= limits.z)
-        .orderBy(F.desc("z"), "stem")
-        .limit(limits.stems)
-        .collect()
-    )
-    names = [r.stem for r in found]
-    prior = sample.agg(F.avg("toxic")).first()[0]
-    if not names or prior in (0.0, 1.0):
-        return Model(b"", b"", np.zeros(BINS), None, prior or 0.0)
-    typical = F.col("word").isin(names) | F.left("word", F.lit(4)).isin(names) | F.left("word", F.lit(5)).isin(names)
-    counts = sightings.groupBy("toxic", "word").agg(F.count("*").alias("n"))
-    bad = counts.where(typical & (F.col("toxic") == 1)).orderBy(F.desc("n"), "word").limit(limits.toxic_words).collect()
-    plain = counts.where(~typical & (F.col("toxic") == 0)).orderBy(F.desc("n"), "word").limit(limits.ordinary_words).collect()
-    toxic = (" " + " ".join(reversed(beginnings([(r.word, r.n) for r in bad]))) + " ").encode()
-    ordinary = (" " + " ".join(r.word for r in reversed(plain)) + " ").encode() + PREAMBLE
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        saver = Saver(toxic, ordinary)
-        for batch in batches:
-            rows = [saver.counts(t.as_py()).tolist() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["toxic", "counts"])
-
-    rows = sample.mapInArrow(measure, "toxic int, counts array<long>").orderBy("toxic", "counts").collect()  # limits.rows
-    x, y = np.array([r.counts for r in rows], float), np.array([r.toxic for r in rows], float)
+    """Dictionaries and calibration from the bounded sample, which is all that reaches the driver."""
+    sample, prior = fit_sample(docs, labels, limits)
+    constant = Model(b"", b"", np.zeros(BINS), None, prior)
+    if len({y for _, y in sample}) < 2:
+        return constant
+    own = [(t, y) for k, (t, y) in enumerate(sample) if k % 8 < 6]
+    rest = [(t, y) for k, (t, y) in enumerate(sample) if k % 8 >= 6]
+    if any(len({y for _, y in half}) < 2 for half in (own, rest)):
+        own = rest = sample
+    distinct = sorted(set(own))
+    texts = [b" %b " % b" ".join(t.lower().encode().split()) for t, _ in distinct]
+    toxic = train(telling_passages(texts, [y for _, y in distinct], limits), limits.toxic_bytes, 16)
+    if not toxic:
+        return constant
+    plain = [t[i : i + 128] for t, (_, y) in zip(texts, distinct) if not y for i in range(0, len(t), 128)]
+    ordinary = train(plain, limits.ordinary_bytes, 64)
+    x, y = Saver(toxic, ordinary).counts(pa.array([t for t, _ in rest])), np.array([y for _, y in rest])
     odds = [(x[y == v].sum(0) + 1) / (x[y == v].sum() + BINS) for v in (0, 1)]
     ratio = np.log(odds[1] / odds[0])
-    return Model(toxic, ordinary, ratio, logistic(features(x, ratio), y), prior)
+    weights = logistic(features(x, ratio), y)
+    weights[0] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))  # the classes' shares in the sample are set
+    return Model(toxic, ordinary, ratio, weights, prior)
 
 
-def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1) of each whole text; null and empty texts have no windows."""
-    from pyspark.sql import types as T
+def score_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``score`` (0 to 1) of each whole text; null and blank texts have no windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         saver = Saver(model.toxic, model.ordinary) if model.weights is not None else None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             if saver is None:
-                score = np.full(batch.num_rows, model.prior)
+                found = np.full(batch.num_rows, model.prior)
             else:
-                counts = np.array([saver.counts(t.as_py()) for t in batch.column("_text")])
-                score = 1 / (1 + np.exp(-np.clip(features(counts, model.ratio) @ model.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
+                found = 1 / (1 + np.exp(-np.clip(features(saver.counts(batch.column(text)), model.ratio) @ model.weights, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, score])
+
+    if score in docs.columns:
+        raise ValueError(f"the table has a column {score}: name another one for the score")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.withColumn("_text", F.col(text)).mapInArrow(run, schema)
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold; columns stay as they are."""
+    score = "score"
+    while score in docs.columns:
+        score = f"_{score}"
+    return score_toxicity(docs, model, text, score).where(F.col(score) < threshold).drop(score)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, limits: Limits = Limits()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Held out: crc32 of the id as text leaves 1 when divided by 3 (null ids: no). Labels outside 0 and 1 and null ids
-    are not learnt from; several labels of one id count as the largest. Without toxic and ordinary labelled rows the
-    score is the share of toxic ones (0 without any). Equal texts get equal scores.
+    are not learnt from; several labels of one id count as the largest. Without toxic and ordinary labelled rows, or
+    without passages that tell them apart, the score is the share of toxic ones (0 without any). Equal texts get equal
+    scores; an empty table gives no rows.
     """
     slim = docs.select("doc_id", "text")
     scored = score_toxicity(slim, fit(slim, labels, limits))

@@ -215,10 +215,39 @@ def test_toxicity_learns_words_and_scores_as_a_plain_loop(spark):
     held = [(r[3], int(r[0] % 4 == 0)) for r in out if r[1] and r[0] < 900]
     assert sum(a == b for a, b in held) / len(held) > 0.97
     model = toxicity.fit(df, label_df)
-    saver = toxicity.Saver(model.toxic, model.ordinary)
-    plain = {t: 1 / (1 + np.exp(-toxicity.features(saver.counts(t)[None], model.ratio) @ model.weights))[0] for _, t in rows}
+    assert model.toxic and model.ordinary
+    plain = {t: plain_score(t, model) for _, t in rows}
     texts = {i: t for i, t in rows}
     assert all(r[2] == pytest.approx(plain[texts[r[0]]], abs=1e-9) for r in out)
+    clash = df.withColumn("score", F.lit(1)).withColumn("_text", F.lit("x"))
+    kept = toxicity.without_toxic(clash, model, 0.7)
+    assert kept.columns == clash.columns and kept.count() == sum(r[2] < 0.7 for r in out)
+    assert toxicity.toxicity(docs_df(spark, []), label_df).count() == 0
+
+
+def plain_score(text, model):
+    """Compress each word with either dictionary, one after the other, and apply the model's weights by hand."""
+    import math
+
+    import zstandard as z
+
+    settings = z.ZstdCompressionParameters(
+        strategy=z.STRATEGY_GREEDY, min_match=5, hash_log=16, chain_log=16, search_log=5, window_log=17, write_checksum=0, write_content_size=0, write_dict_id=0
+    )
+    tail = bytes(range(128, 256))
+    sides = [
+        z.ZstdCompressor(compression_params=settings, dict_data=z.ZstdCompressionDict(x + tail, dict_type=z.DICT_TYPE_RAWCONTENT))
+        for x in (model.ordinary, model.toxic + model.ordinary)
+    ]
+    ratios = []
+    for word in re.split("[ \t\n\x0b\x0c\r]+", (text or "").lower()):
+        raw = word.encode()
+        for k in range(0, len(raw), 64):
+            ordinary, toxic = (len(c.compress(b" " + raw[k : k + 64] + b" " + tail)) for c in sides)
+            ratios.append(model.ratio[min(max(ordinary - toxic, -6), 14) + 6])
+    top = sorted(ratios, reverse=True)[:3]
+    x = [1, sum(ratios) / 5, sum(ratios) / max(len(ratios), 1) ** 0.5, sum(top), top[0] if top else 0, math.log1p(len(ratios))]
+    return 1 / (1 + math.exp(-min(max(sum(a * b for a, b in zip(x, model.weights)), -30), 30)))
 
 
 def test_toxicity_without_labels(spark):
