@@ -16,7 +16,7 @@ from fieldloom.llm.bpe_automaton import bpe_round_trip
 from fieldloom.llm.decontaminate import without_contaminated
 from fieldloom.llm.line_dedup import keep_bitmaps, with_kept_text
 from fieldloom.llm.ngram_join import ngram_components
-from fieldloom.llm.toxicity import fit, score_toxicity
+from fieldloom.llm.toxicity import fit, without_toxic
 from fieldloom.session import shared_dir, table
 
 TOXIC_FROM = 0.7
@@ -25,8 +25,7 @@ TOXIC_FROM = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, model)
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    return without_toxic(docs, model, TOXIC_FROM)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
