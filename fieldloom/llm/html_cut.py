@@ -2,8 +2,10 @@
 
 A page becomes a row of blocks. A classifier gives each block a cost of being boilerplate and a cost of being content
 (the terminal capacities); blocks that are neighbours on the page or close in the DOM tree are tied by smoothness
-edges. The maximum flow separates content from boilerplate. The text part of the classifier is a logistic regression
-fitted on a bounded sample of pages whose own semantic markup labels their blocks; markup adds fixed evidence.
+edges. The maximum flow separates content from boilerplate. The classifier is a logistic regression over features of
+text and markup, fitted on a bounded sample of pages whose own semantic markup labels their blocks. Each block is learnt
+from twice, with its markup and without, so that both kinds of features get weights of one scale: text, neighbours and
+markup decide together, and text and neighbours alone where a page marks nothing.
 """
 
 from __future__ import annotations
@@ -46,12 +48,10 @@ TOKEN = re.compile(
 CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
 
-#: Evidence of markup in log odds, and the largest weight of text features; markup wins over text and smoothness.
-CONTENT_EVIDENCE, BOILER_EVIDENCE, TEXT_LIMIT = 7.0, 14.0, 3.0
-#: Evidence of boilerplate words on a wrapper, and the least share of the page's text that makes one.
-WRAPPER_EVIDENCE, WRAPPER_SHARE = 1.0, 1 / 3
+#: The least share of the page's text that makes an element with boilerplate marks a wrapper of the main part.
+WRAPPER_SHARE = 1 / 3
 #: Smoothness of neighbours on the page and of siblings further apart, divided by their distance in the tree.
-ADJACENT, SIBLING = 1.0, 0.6
+ADJACENT, SIBLING = 3.0, 2.0
 
 
 @dataclass(slots=True)
@@ -62,7 +62,8 @@ class Block:
     link_chars: int
     content: bool
     boiler: bool
-    wrapped: bool = False  # boilerplate words stand on a wrapper only
+    wrapped: bool = False  # boilerplate marks stand on a wrapper only
+    outside: bool = False  # the page marks its content, and not here
 
 
 @dataclass(slots=True)
@@ -81,26 +82,37 @@ def _words_of(attributes: str) -> set[str]:
 
 
 def wrappers(nodes: list[Node], blocks: list[Block]) -> set[int]:
-    """Elements with boilerplate words that hold the page's main part, so that the words can't tell of all their text.
+    """Elements with boilerplate marks that hold the page's main part, so that the marks can't tell of all their text.
 
     The main part is the content element with most text (the first one on ties) and those in it that hold most of its
-    text, or any element with the share where the page marks no content.
+    text, or any element with the share where the page marks no content. Boilerplate tags around the main part are
+    wrappers where it is most of the page's text.
     """
-    whole = 0
+    whole = everything = 0
     leads: dict[int, tuple[int, ...]] = {}
     for b in blocks:
-        if not any(nodes[k].tag in BOILER_TAGS for k in b.path):
-            whole += len(b.text)
-            for at, k in enumerate(b.path):
+        plain = True  # no boilerplate tag from here on inwards
+        for at in range(len(b.path) - 1, -1, -1):
+            k = b.path[at]
+            if plain and nodes[k].tag in BOILER_TAGS:
+                plain = False
+            if plain:
                 nodes[k].chars += len(b.text)
                 if nodes[k].content:
                     leads[k] = b.path[: at + 1]
+        whole += len(b.text) * plain
+        everything += len(b.text)
     lead = max(leads, key=lambda k: (nodes[k].chars, -k), default=None)
     if lead is None:
         return {k for k, n in enumerate(nodes) if n.named and n.chars and n.chars >= WRAPPER_SHARE * whole}
+    around = {k for k in leads[lead] if nodes[k].tag in BOILER_TAGS} if 2 * nodes[lead].chars > everything else set()
+    if not around and any(nodes[k].tag in BOILER_TAGS for k in leads[lead]):
+        free = {k: p for k, p in leads.items() if not any(nodes[j].tag in BOILER_TAGS for j in p)}
+        lead = max(free, key=lambda k: (nodes[k].chars, -k), default=lead)
     main = {k for k, path in leads.items() if lead in path and 2 * nodes[k].chars > nodes[lead].chars}
-    around = {k for lone in main for k in leads[lone] if nodes[k].named}
-    return {k for k in around if nodes[k].chars >= WRAPPER_SHARE * whole or k in main and nodes[k].tag in CONTENT_TAGS}
+    named = {k for lone in main for k in leads[lone] if nodes[k].named}
+    least = WRAPPER_SHARE * (everything if around else whole)
+    return around | {k for k in named if nodes[k].chars >= least or k in main and nodes[k].tag in CONTENT_TAGS or around & set(leads[lead])}
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -186,13 +198,17 @@ def blocks_of(page: str | None) -> list[Block]:
     flush()
     wide = wrappers(nodes, out)
     for b in out:
-        b.boiler = any(nodes[k].tag in BOILER_TAGS or nodes[k].named and k not in wide for k in b.path)
+        b.boiler = any((nodes[k].tag in BOILER_TAGS or nodes[k].named) and k not in wide for k in b.path)
         b.wrapped = any(k in wide for k in b.path)
+        b.content = b.content and not b.boiler
+    if any(b.content for b in out):
+        for b in out:
+            b.outside = not b.content
     return out
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """Text features of each block, without its markup evidence."""
+    """Features of each block: TEXT_FEATURES of its text and place, then those of its markup."""
     rows = []
     for i, b in enumerate(blocks):
         n, words = len(b.text), b.text.count(" ") + 1
@@ -209,25 +225,41 @@ def features(blocks: list[Block]) -> np.ndarray:
                 float(b.tag[:1] == "h" and b.tag[1:].isdigit()),
                 float(i == 0),
                 float(i == len(blocks) - 1),
+                float(b.content),
+                float(b.boiler),
+                float(b.wrapped),
+                float(b.outside),
             )
         )
-    return np.array(rows).reshape(-1, 10)
+    return np.array(rows).reshape(-1, len(PLAIN_WEIGHTS))
 
 
+TEXT_FEATURES = 10
+#: Markup is trusted more than the look of the sample's texts, which other sites need not share.
+TEXT_RIDGE, MARK_RIDGE, UNMARKED = 20.0, 0.05, 0.2
 #: Weights where no page of the sample carries semantic markup: long, punctuated, unlinked paragraphs are content.
-PLAIN_WEIGHTS = np.array([-2.5, 1.8, -4.0, 1.0, 1.0, 1.5, -1.5, 0.8, -0.5, -1.0])
+PLAIN_WEIGHTS = np.array([-2.5, 1.8, -4.0, 1.0, 1.0, 1.5, -1.5, 0.8, -0.5, -1.0, 4.0, -6.0, 0.0, -4.0])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - ridge * w)
     return w
 
 
+def fit_blocks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights from labelled blocks: each as it is, and with UNMARKED weight without its markup."""
+    unmarked = x.copy()
+    unmarked[:, TEXT_FEATURES:] = 0
+    weight = np.repeat([1.0, UNMARKED], len(x))
+    ridge = np.where(np.arange(x.shape[1]) < TEXT_FEATURES, TEXT_RIDGE, MARK_RIDGE)
+    return fit(np.concatenate([x, unmarked]), np.concatenate([y, y]), weight, ridge)
+
+
 def minimum_cut(to_source: np.ndarray, to_sink: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
     """True for the nodes on the source side of a minimum cut (blocking flows on level graphs).
 
@@ -324,16 +356,13 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    score = np.clip(features(blocks) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
-    score += np.array([CONTENT_EVIDENCE * b.content - BOILER_EVIDENCE * b.boiler - WRAPPER_EVIDENCE * b.wrapped for b in blocks])
-    if any(b.content and not b.boiler for b in blocks):  # the page marks its content: the rest is not
-        score -= np.array([0.0 if b.content else CONTENT_EVIDENCE for b in blocks])
+    score = features(blocks) @ weights
     keep = minimum_cut(np.logaddexp(0, score), np.logaddexp(0, -score), ties(blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def fit_weights(pages: DataFrame, page_id: str, markup: str, sample_pages: int) -> np.ndarray:
-    """Fit the text classifier on at most ``sample_pages`` pages (smallest hash of id and markup)."""
+    """Fit the classifier on at most ``sample_pages`` pages (smallest hash of id and markup)."""
     sample = pages.select(F.col(page_id).alias("page_id"), F.col(markup).alias("html")).orderBy(
         F.xxhash64("page_id", "html"), "page_id"
     ).limit(sample_pages)
@@ -345,20 +374,20 @@ def fit_weights(pages: DataFrame, page_id: str, markup: str, sample_pages: int)
                 if not any(b.content for b in blocks):
                     continue
                 x = features(blocks)
-                y = [float(b.content and not b.boiler) for b in blocks]
+                y = [float(b.content) for b in blocks]
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y)], ["x", "y"])
 
     rows = sample.mapInArrow(labelled, "x array<double>, y double").collect()  # blocks of the bounded sample
     y = np.array([r.y for r in rows])
     if not len(y) or y.min() == y.max():
         return PLAIN_WEIGHTS
-    return fit(np.array([r.x for r in rows]), y)
+    return fit_blocks(np.array([r.x for r in rows]), y)
 
 
 def extract_main_text(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", sample_pages: int = 400
 ) -> DataFrame:
-    """page_id, url, text, n_chars of every row.
+    """page_id, url, text, n_chars of every row, null and repeated ids as they are.
 
     Null, empty or textless markup gives an empty text. Head, scripts, styles, form controls and comments are no
     blocks. White space inside a block, line breaks included, becomes one space. Rows don't depend on each other apart
