@@ -34,8 +34,8 @@ STATEMENT = (
     rf"[^\n]*?(?:{SENTENCE_END}{RESERVED}|(?<![\p{{L}}\p{{N}}])(?=(?:{OPENINGS})(?![\p{{L}}\p{{N}}]))|$)"
 )
 
-#: Known texts may be this many (about 10 MB); they travel with the plan.
-MAX_KNOWN = 100_000
+#: Up to so many known digests (about 10 MB) are broadcast; a longer list is joined by a shuffle.
+BROADCAST_KNOWN = 100_000
 
 
 def canonical_lines(text: Column) -> Column:
@@ -76,25 +76,25 @@ def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", tex
     ``license``: the known licence whose canonical text is the whole canonical text (smallest name if several), or
     null. ``notices``: the known licences of single lines that are a known text by themselves, distinct, sorted, joined
     by commas; ``n_notices``: such lines. Null, empty and blank texts have the digest of the empty text and no match.
-    Repeated rows and ids are scanned row by row. ``known`` is a curated list: more than MAX_KNOWN texts are an error.
+    Repeated rows and ids are scanned row by row; equal texts have equal notices, so notices are found once a text.
+    Both are equi-joins on digests, with lists of known texts of any length.
     """
-    entries = known.groupBy("digest").agg(F.min("license").alias("license")).limit(MAX_KNOWN + 1).collect()
-    if len(entries) > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} known texts")
-    names = {r["digest"]: r["license"] for r in entries}
-    table = docs.sparkSession.createDataFrame(sorted(names.items()), "digest string, license string")
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
-    digests = F.array(*[F.lit(x) for x in sorted(names)])
-    lines = docs.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
-    scanned = lines.select(
-        "doc_id",
-        canonical_digest(F.col("lines")).alias("text_digest"),
-        F.filter(F.transform("lines", lambda x: F.sha2(x, 256)), lambda d: F.array_contains(digests, d)).alias("hits"),
+    names = known.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    if names.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN:
+        names = F.broadcast(names)
+    body = F.coalesce(F.col(text), F.lit("")).alias("body")
+    key = F.sha2("body", 256).alias("key")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), body).select(
+        "doc_id", key, canonical_digest(canonical_lines(F.col("body"))).alias("text_digest")
     )
-    return scanned.join(F.broadcast(table), scanned["text_digest"] == table["digest"], "left").select(
-        "doc_id",
-        "text_digest",
-        "license",
-        F.array_join(F.sort_array(F.array_distinct(F.transform("hits", lambda d: lookup[d]))), ",").alias("notices"),
-        F.size("hits").cast("long").alias("n_notices"),
+    lines = docs.select(body).select(key, F.posexplode(F.transform(canonical_lines(F.col("body")), lambda x: F.sha2(x, 256))).alias("pos", "digest"))
+    hits = lines.join(names, "digest").select("key", "pos", "license").distinct()
+    found = hits.groupBy("key").agg(
+        F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"), F.countDistinct("pos").alias("n_notices")
+    )
+    whole = names.select(F.col("digest").alias("text_digest"), "license")
+    return (
+        texts.join(whole, "text_digest", "left")
+        .join(found, "key", "left")
+        .select("doc_id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
     )
