@@ -236,7 +236,7 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 TEXT_FEATURES = 10
 #: Markup is trusted more than the look of the sample's texts, which other sites need not share.
-TEXT_RIDGE, MARK_RIDGE, UNMARKED = 20.0, 0.05, 0.2
+TEXT_RIDGE, MARK_RIDGE, UNMARKED = 3e-3, 1e-5, 0.2  # ridges are for each block
 #: Weights where no page of the sample carries semantic markup: long, punctuated, unlinked paragraphs are content.
 PLAIN_WEIGHTS = np.array([-2.5, 1.8, -4.0, 1.0, 1.0, 1.5, -1.5, 0.8, -0.5, -1.0, 4.0, -6.0, 0.0, -4.0])
 
@@ -256,7 +256,7 @@ def fit_blocks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     unmarked = x.copy()
     unmarked[:, TEXT_FEATURES:] = 0
     weight = np.repeat([1.0, UNMARKED], len(x))
-    ridge = np.where(np.arange(x.shape[1]) < TEXT_FEATURES, TEXT_RIDGE, MARK_RIDGE)
+    ridge = len(x) * np.where(np.arange(x.shape[1]) < TEXT_FEATURES, TEXT_RIDGE, MARK_RIDGE)
     return fit(np.concatenate([x, unmarked]), np.concatenate([y, y]), weight, ridge)
 
 
