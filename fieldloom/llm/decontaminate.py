@@ -2,16 +2,18 @@
 
 Each benchmark item is a bag of five-word shingles. A document window of the item's length is contaminated if the
 weighted Jaccard similarity of the two bags reaches the threshold. Windows that share no shingle with any item of their
-length have similarity 0 and are passed over; the others get a SimHash of their words. Fingerprints are cut into
-radius + 1 blocks, so two fingerprints within the radius agree in a block: items that agree in one are looked up by
-block, kept if within the radius, and verified on the bags themselves.
+length have similarity 0 and are passed over; the others get a 128-bit SimHash of their shingles. Fingerprints are cut into
+eight blocks of 16 bits: of two fingerprints within 31 bits one block differs in 3 bits at most. The index holds every
+item under all values within 2 bits of its blocks, and a window asks for all values within 1 bit of its own, so that no
+item within the radius is missed. What is found and is within the radius is verified on the bags themselves.
 
-The radius bounds the search, the verification decides: by a normal approximation, with 64 bits and radius 15 a window
-at similarity 0.8 lies within the radius with a probability of about 0.98, more similar ones more surely.
+The radius bounds the search, the verification decides. Bags at similarity 0.8 are 19 bits apart on average, with a
+deviation of 4; a test holds the share of similar windows within the radius above 0.99.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,17 +23,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.scan import U64, shingles, slices, text_buffer, words
+from fieldloom.llm.scan import U64, gather, mix, shingles, slices, text_buffer, words
 
 #: Everything of ASCII but letters and digits separates words.
 SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SHINGLE = 5
-BITS, RADIUS = 64, 15
-#: Items searched at once; a larger benchmark is searched in blocks of about so many.
-BLOCK_ITEMS = 2048
+BITS, BLOCK_BITS, RADIUS = 128, 16, 31
+BLOCKS = BITS // BLOCK_BITS
+#: Items in one index, about 8 KB an item in a task, and indexes that one pass over the documents searches.
+INDEX_ITEMS, PASS_INDEXES = 4096, 8
 _FILTER_BITS = 22
 
 
+def nearby(bits: int) -> np.ndarray:
+    """All block masks with at most ``bits`` bits set."""
+    some = [sum(1 << k for k in c) for n in range(bits + 1) for c in itertools.combinations(range(BLOCK_BITS), n)]
+    return np.array(some, np.uint16)
+
+
+#: Two fingerprints within the radius have a block within RADIUS // BLOCKS bits: these are shared out.
+ASKED, HELD = nearby(1), nearby(RADIUS // BLOCKS - 1)
+
+
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the words of a text column, in lower case."""
     data, offsets = text_buffer(pc.utf8_lower(column))
@@ -39,22 +52,48 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def simhash(groups: np.ndarray) -> np.ndarray:
-    """Fingerprints of rows of word hashes: the sign of the sum of their bits."""
-    bits = np.unpackbits(np.ascontiguousarray(groups).view(np.uint8).reshape(*groups.shape, 8), axis=2)
-    ones = bits.sum(axis=1, dtype=np.int32)
-    return np.packbits(ones * 2 > groups.shape[1], axis=1).view(">u8").reshape(-1).astype(U64)
+    """Fingerprints, two 64-bit integers each, of rows of hashes: the majority of their bits."""
+    wide = np.stack([groups, mix(groups ^ U64(0x2545F4914F6CDD1D))], axis=2)
+    ones = np.unpackbits(wide.view(np.uint8).reshape(*groups.shape, BITS // 8), axis=2).sum(axis=1, dtype=np.int32)
+    return np.packbits(ones * 2 > groups.shape[1], axis=1).view(U64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+class BlockIndex:
+    """Multi-index of fingerprints: for each block the values within reach of an item, ascending, and their items."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.tables = []
+        for values in prints.view(np.uint16).reshape(-1, BLOCKS).T:
+            near = (values[:, None] ^ HELD).ravel()
+            order = np.argsort(near, kind="stable")
+            self.tables.append((near[order], order // len(HELD)))
+
+    def within(self, asked: np.ndarray) -> np.ndarray:
+        """(row, item, Hamming distance) of all pairs within the radius, ordered."""
+        pairs = []
+        for (keys, items), values in zip(self.tables, asked.view(np.uint16).reshape(-1, BLOCKS).T):
+            near = (values[:, None] ^ ASKED).ravel()
+            lo, hi = np.searchsorted(keys, near, "left"), np.searchsorted(keys, near, "right")
+            row = np.repeat(np.arange(len(near)) // len(ASKED), hi - lo)
+            pairs.append(row * len(self.prints) + gather(items, lo, hi - lo))
+        row, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
+        distance = apart(asked[row], self.prints[item])
+        return np.stack([row, item, distance], axis=1)[distance <= RADIUS]
 
 
-def blocks(fingerprints: np.ndarray) -> list[np.ndarray]:
-    """The RADIUS + 1 blocks of each fingerprint."""
-    edges = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    return [(fingerprints >> U64(lo)) & U64((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:])]
+def sequence(word: np.ndarray) -> np.ndarray:
+    """The shingles of a word sequence, one after the other."""
+    return shingles(np.zeros(len(word), np.int64), word, SHINGLE)[1]
 
 
 def bag(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a word sequence and their counts."""
-    _, value = shingles(np.zeros(len(word), np.int64), word, SHINGLE)
-    return np.unique(value, return_counts=True)
+    return np.unique(sequence(word), return_counts=True)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -70,8 +109,10 @@ class Items:
 
     ids: list = field(default_factory=list)
     bags: list = field(default_factory=list)
-    #: length in words -> (item numbers, block tables: block value -> item numbers, fingerprints)
+    #: length in words -> (item numbers, fingerprints)
     by_length: dict = field(default_factory=dict)
+    #: length in words -> block index, built by the task that needs it
+    indexes: dict = field(default_factory=dict)
     #: shingle length -> (sorted shingles, length of their item), one row for each pair
     anchors: dict = field(default_factory=dict)
 
@@ -89,16 +130,9 @@ class Items:
             out.bags.append(bag(own))
             lengths.setdefault(len(own), []).append(n)
             found.setdefault(min(SHINGLE, len(own)), []).extend((int(v), len(own)) for v in out.bags[n][0])
-            out.by_length.setdefault(len(own), []).append(own)
+            out.by_length.setdefault(len(own), []).append(sequence(own))
         for length, numbers in lengths.items():
-            prints = simhash(np.stack(out.by_length[length]))
-            tables = []
-            for values in blocks(prints):
-                table: dict[int, list[int]] = {}
-                for at, v in enumerate(values.tolist()):
-                    table.setdefault(v, []).append(at)
-                tables.append({v: np.array(x) for v, x in table.items()})
-            out.by_length[length] = (np.array(numbers), tables, prints)
+            out.by_length[length] = (np.array(numbers), simhash(np.stack(out.by_length[length])))
         for size, pairs in found.items():
             pairs = sorted(set(pairs))
             values = np.array([v for v, _ in pairs], U64)
@@ -113,11 +147,14 @@ class Items:
         A row shorter than an item is its one window for it.
         """
         starts: dict[int, list[np.ndarray]] = {}
+        following: dict[int, np.ndarray] = {}  # shingle length -> the shingle that begins at a word
         short: dict[int, set[int]] = {}  # item length -> shorter documents that may come up to the threshold as a whole
         first = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else np.zeros(1, np.int64)
         for size, (values, lengths, packed) in self.anchors.items():
             seen = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
             at, value = shingles(row, word, size, short=False)
+            following[size] = np.zeros(len(word), U64)
+            following[size][at] = value
             maybe = seen[value >> U64(64 - _FILTER_BITS)]
             at, value = at[maybe], value[maybe]
             lo, hi = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
@@ -137,23 +174,18 @@ class Items:
                 at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         for length, parts in starts.items():
-            numbers, tables, prints = self.by_length[length]
+            numbers, prints = self.by_length[length]
+            if length not in self.indexes:
+                self.indexes[length] = BlockIndex(prints)
             windows = np.unique(np.concatenate(parts))
-            step = max(1, (1 << 24) // (64 * length))
+            step = max(1, (1 << 24) // (BITS * length))
+            size = min(SHINGLE, length)
+            places = np.arange(length - size + 1)
             for k in range(0, len(windows), step):
                 some = windows[k : k + step]
-                found = simhash(word[some[:, None] + np.arange(length)])
-                hits: set[tuple[int, int]] = set()
-                for table, values in zip(tables, blocks(found)):
-                    for w, v in enumerate(values.tolist()):
-                        if v in table:
-                            hits.update((w, int(i)) for i in table[v])
-                if not hits:
-                    continue
-                pairs = np.array(sorted(hits))
-                apart = np.bitwise_count(found[pairs[:, 0]] ^ prints[pairs[:, 1]])
+                found = self.indexes[length].within(simhash(following[size][some[:, None] + places]))
                 own_bag, last = None, -1
-                for (w, i), d in zip(pairs[apart <= RADIUS].tolist(), apart[apart <= RADIUS].tolist()):
+                for w, i, d in found.tolist():
                     if w != last:
                         own_bag, last = bag(word[some[w] : some[w] + length]), w
                     score = similarity(own_bag, self.bags[numbers[i]])
@@ -164,35 +196,37 @@ class Items:
                         if known is None or (-new[0], new[1]) < (-known[0], known[1]):
                             best[doc, int(numbers[i])] = new
         for length, docs in short.items():
-            numbers, _, prints = self.by_length[length]
+            numbers, prints = self.by_length[length]
             for doc in docs:
                 own = word[first[doc] : first[doc + 1]]
-                apart, own_bag = np.bitwise_count(simhash(own[None])[0] ^ prints), bag(own)
-                for i in np.flatnonzero(apart <= RADIUS).tolist():
+                distance, own_bag = apart(simhash(sequence(own)[None]), prints), bag(own)
+                for i in np.flatnonzero(distance <= RADIUS).tolist():
                     score = similarity(own_bag, self.bags[numbers[i]])
                     if score >= threshold:
-                        best[doc, int(numbers[i])] = (score, 0, int(apart[i]), len(own))
+                        best[doc, int(numbers[i])] = (score, 0, int(distance[i]), len(own))
         return best
 
 
-def _item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
-    """The benchmark in blocks of about BLOCK_ITEMS items; only one block is on the driver at a time."""
+def _passes(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[Items]]:
+    """The benchmark in lists of at most PASS_INDEXES indexes of about INDEX_ITEMS items; the driver holds one list."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where(
         "item_id is not null and text is not null"
     )
-    count = -(-items.count() // BLOCK_ITEMS)
+    count = -(-items.count() // (INDEX_ITEMS * PASS_INDEXES))
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()
-        yield Items.of([(r.item_id, r.text) for r in rows])
+        found = [(r.item_id, r.text) for r in rows]
+        yield [Items.of(found[a : a + INDEX_ITEMS]) for a in range(0, len(found), INDEX_ITEMS)]
 
 
-def _scan(column: pa.Array, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
-    """(row, item number, similarity, position, distance, words) of a batch's texts, slice by slice."""
+def _scan(column: pa.Array, indexes: list[Items], threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(row, item id, similarity, position, distance, words) of a batch's texts, slice by slice."""
     _, offsets = text_buffer(column)
     for a, b in slices(offsets):
         row, word = text_words(column.slice(a, b - a))
-        for (doc, item), (score, at, apart, words) in items.search(row, word, threshold).items():
-            yield a + doc, item, score, at, apart, words
+        for items in indexes:
+            for (doc, item), (score, at, distance, words) in items.search(row, word, threshold).items():
+                yield a + doc, items.ids[item], score, at, distance, words
 
 
 def contaminated_windows(
@@ -202,22 +236,23 @@ def contaminated_windows(
 
     Best: the highest similarity, then the first position (in words, from 0). Null ids, null or wordless texts and
     wordless items take no part; rows with the same id count as one document; repeated items each give rows, the same
-    item id once. The document table is read once for each block of items and never shuffled.
+    item id once. Documents are read once for each 32,768 items and never shuffled; a text is held by one task as a whole.
+    An empty table on either side gives no rows.
     """
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, similarity double, position int, n_words int, distance int"
     out = None
-    for items in _item_blocks(benchmark, "item_id", "text"):
+    for indexes in _passes(benchmark, "item_id", "text"):
 
-        def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], indexes: list[Items] = indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names = batch.column("doc_id")
-                found = list(_scan(batch.column("text"), items, threshold))
+                found = list(_scan(batch.column("text"), indexes, threshold))
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [
                             names.take(pa.array([f[0] for f in found])),
-                            pa.array([items.ids[f[1]] for f in found], pa.int64()),
+                            pa.array([f[1] for f in found], pa.int64()),
                             pa.array([f[2] for f in found]),
                             pa.array([f[3] for f in found], pa.int32()),
                             pa.array([f[5] for f in found], pa.int32()),
@@ -237,12 +272,12 @@ def contaminated_windows(
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no contaminated window; rows and columns are otherwise as they were."""
     schema = docs.schema
-    for items in _item_blocks(benchmark, "item_id", "text"):
+    for indexes in _passes(benchmark, "item_id", "text"):
 
-        def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], indexes: list[Items] = indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in _scan(batch.column(text), items, threshold)]] = False
+                keep[[f[0] for f in _scan(batch.column(text), indexes, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, schema)

@@ -299,14 +299,39 @@ def test_contaminated_windows_match_all_windows(spark):
 
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(8)
-    a = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    for flips in range(decontaminate.RADIUS + 1):
-        b = a.copy()
-        for k in range(len(a)):
-            for bit in rng.choice(64, flips, replace=False):
-                b[k] ^= np.uint64(1) << np.uint64(bit)
-        same = np.any([x == y for x, y in zip(decontaminate.blocks(a), decontaminate.blocks(b))], axis=0)
-        assert same.all()
+    prints = decontaminate.simhash(rng.integers(1, 2**63, (300, 30), dtype=np.int64).astype(np.uint64))
+    index = decontaminate.BlockIndex(prints)
+    asked = np.repeat(prints, 3, axis=0)
+    for row in asked:
+        for bit in rng.choice(128, int(rng.integers(0, 40)), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    near = np.array([[sum(int(x ^ y).bit_count() for x, y in zip(q, p)) for p in prints.tolist()] for q in asked.tolist()])
+    want = [(r, i, near[r, i]) for r, i in np.argwhere(near <= decontaminate.RADIUS)]
+    assert [tuple(x) for x in index.within(asked).tolist()] == want and len(want) > 500
+
+
+def test_similar_windows_lie_within_the_radius():
+    rng = np.random.default_rng(3)
+    found = []
+    for _ in range(4000):
+        size = int(rng.integers(12, 120))
+        one = rng.integers(1, 2**63, size, dtype=np.int64).astype(np.uint64)
+        two = one.copy()
+        edits = rng.choice(size, int(rng.integers(1, max(2, size // 12))), replace=False) if rng.random() < 0.5 else np.arange(rng.integers(1, max(2, size // 6)))
+        two[edits] = rng.integers(1, 2**63, len(edits) if rng.random() < 0.5 else 1)
+        if decontaminate.similarity(decontaminate.bag(one), decontaminate.bag(two)) >= 0.8:
+            prints = [decontaminate.simhash(decontaminate.sequence(x)[None]) for x in (one, two)]
+            found.append(decontaminate.apart(*prints)[0] <= decontaminate.RADIUS)
+    assert len(found) > 1000 and np.mean(found) > 0.99
+
+
+def test_long_texts_and_empty_tables_are_searched(spark):
+    item = " ".join(f"w{k}" for k in range(60))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    long = "filler words " * 400_000 + item + " more" * 1000
+    got = decontaminate.contaminated_windows(docs_df(spark, [(7, long), (8, None)]), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"], r["position"]) for r in got] == [(7, 1, 1.0, 800_000)]
+    assert decontaminate.contaminated_windows(docs_df(spark, []), bench).count() == 0
 
 
 # 7. BPE by automaton.
