@@ -12,8 +12,10 @@ hub, and each group of a prefix shingle against the shingle's hub; a second roun
 sets aren't in one class yet and whose sizes, positions and signatures allow the threshold. No link between different
 classes can be missed, and copies never make pairs.
 
-Shingles travel as packed arrays keyed by ranges of their hash. A set is told by a 64-bit hash of its shingles, a
-shingle by the range number and 32 more bits.
+Shingles travel as packed arrays keyed by ranges of their hash, as many ranges as the number of shingles asks for. Common
+shingles (a hundredth of all rows hold them) aren't counted in their range: they are the last ones of the order, and go
+from the texts straight to their sets, so that no task gathers the sets of one shingle. A set is told by a 64-bit hash of
+its shingles, a shingle by the range number and 48 more bits.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,11 @@ from fieldloom.session import cut, shuffle_partitions
 
 #: Shingles that a task packs at a time (20 bytes each, and as much again while they are sorted).
 PACKED = 1_000_000
+#: Shingles of a hash range on average, at most, where they outnumber the shuffle partitions' room.
+RANGE_SHINGLES = 8_000_000
+#: A shingle is common if this share of all rows hold it (so there are at most 100 times as many as a row has on average).
+COMMON = 0.01
+LAST = 0xFFFFFFFF
 #: Columns of a set's signature: the parity of its shared shingles in 256 places.
 SIGNATURE = ("s0", "s1", "s2", "s3")
 
@@ -55,24 +63,63 @@ def _names(rows: int, row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, n
 
 
 def set_table(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, entity): size and hash of each row's shingle set; entity is null for empty sets."""
+    """(doc_id, n, entity, shingle): size and hash of each row's shingle set; entity is null for empty sets.
+
+    Rows with a shingle are no sets: they say that ``n`` texts of a buffer hold a shingle which is frequent there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = texts = 0
+
+        def frequent() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= max(4, COMMON / 2 * texts)
+            nothing = pa.nulls(int(often.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [nothing, pa.array(n[often], pa.int64()), nothing, pa.array(value[often].view(np.int64))], ["doc_id", "n", "entity", "shingle"]
+            )
+
         for batch in batches:
             for a, rows, row, value in _sets(batch.column("text"), size):
                 n, name = _names(rows, row, value)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, rows), pa.array(n, pa.int64()), pa.array(name.view(np.int64), mask=n == 0)],
-                    ["doc_id", "n", "entity"],
+                    [batch.column("doc_id").slice(a, rows), pa.array(n, pa.int64()), pa.array(name.view(np.int64), mask=n == 0), pa.nulls(rows, pa.int64())],
+                    ["doc_id", "n", "entity", "shingle"],
                 )
+                held.append(value)
+                count, texts = count + len(value), texts + rows
+                if count >= PACKED:
+                    yield frequent()
+                    held, count, texts = [], 0, 0
+        if count:
+            yield frequent()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n long, entity long"
+        run, "doc_id long, n long, entity long, shingle long"
     )
 
 
-def _packed(docs: DataFrame, size: int, ranges: int, doc_id: str, text: str) -> DataFrame:
-    """(range, low, counts, entities, sizes): packed shingles by hash range, sets ascending within a row."""
+def _place(value: np.ndarray, ranges: int) -> np.ndarray:
+    return ((value >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int32)
+
+
+def _ids(place: np.ndarray | int, value: np.ndarray) -> np.ndarray:
+    """The number of a shingle outside its hash range."""
+    return ((value & U64(0xFFFFFFFFFFFF)) + (np.asarray(place).astype(U64) << U64(48))).view(np.int64)
+
+
+def _edges(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(sorted_values):
+        edges = np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), len(sorted_values)].tolist()
+        yield from zip(edges[:-1], edges[1:])
+
+
+def _packed(docs: DataFrame, size: int, ranges: int, common: np.ndarray, doc_id: str, text: str) -> DataFrame:
+    """(range, low, counts, entities, sizes): packed shingles by hash range, sets ascending within a row.
+
+    Common shingles have rows of their own, by range of the set hash, with as many sets as shingles and null counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -82,19 +129,26 @@ def _packed(docs: DataFrame, size: int, ranges: int, doc_id: str, text: str) ->
             value = np.concatenate([h[0] for h in held])
             entity = np.concatenate([h[1] for h in held])
             n = np.concatenate([h[2] for h in held])
-            place = ((value >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int32)
-            order = np.lexsort((entity, place)) if len(held) > 1 else np.argsort(place, kind="stable")
-            place, value, entity, n = place[order], value[order], entity[order], n[order]
-            edges = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)]
+            held.clear()
             columns: list[list] = [[], [], [], [], []]
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            often = np.isin(value, common)
+            some, by = np.flatnonzero(often), _place(entity[often], ranges)
+            some, by = some[np.argsort(by, kind="stable")], np.sort(by, kind="stable")
+            for a, b in _edges(by):
+                at = some[a:b]
+                for column, x in zip(columns, (int(by[a]), _ids(_place(value[at], ranges), value[at]).tobytes(), None, entity[at].tobytes(), n[at].tobytes())):
+                    column.append(x)
+            value, entity, n = value[~often], entity[~often], n[~often]
+            place = _place(value, ranges)
+            order = np.lexsort((entity, place))
+            place, value, entity, n = place[order], value[order], entity[order], n[order]
+            for a, b in _edges(place):
                 new = np.flatnonzero(np.r_[True, entity[a + 1 : b] != entity[a : b - 1]])
                 columns[0].append(int(place[a]))
-                columns[1].append((value[a:b] & U64(0xFFFFFFFF)).astype("<u4").tobytes())
+                columns[1].append(np.ascontiguousarray(value[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
                 columns[2].append(np.diff(np.r_[new, b - a]).astype("<u4").tobytes())
-                columns[3].append(entity[a:b][new].astype("<u8").tobytes())
-                columns[4].append(n[a:b][new].astype("<u4").tobytes())
-            held.clear()
+                columns[3].append(entity[a:b][new].tobytes())
+                columns[4].append(n[a:b][new].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
                 ["range", "low", "counts", "entities", "sizes"],
@@ -120,17 +174,31 @@ def _packed(docs: DataFrame, size: int, ranges: int, doc_id: str, text: str) ->
 
 
 def _shared(ranges: int):
-    """Of one hash range: the shingles that two or more sets hold, packed again by range of the set hash."""
+    """Of one hash range: the shingles that two or more sets hold, packed again by range of the set hash.
+
+    Common shingles come by that range already and go on as they are.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        own = table.column("range")[0].as_py()
+        counted = pc.is_valid(table.column("counts"))
+        for row in table.filter(pc.invert(counted)).to_pylist():
+            n = len(row["sizes"]) // 4
+            for column, x in zip(out, (own, row["entities"], row["low"], np.full(n, LAST, "<u4").tobytes(), row["sizes"])):
+                column.append(x)
+        table = table.filter(counted)
+
         def column(name: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(name))])
 
         counts = column("counts", "<u4")
-        low = column("low", "<u4")
+        low = np.zeros((len(six := column("low", np.uint8)) // 6, 8), np.uint8)
+        low[:, :6] = six.reshape(-1, 6)
+        low = low.view("<u8").reshape(-1)
         by_low = np.argsort(low, kind="stable")
         ordered = low[by_low]
-        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        new = np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)]
         run_of = np.cumsum(new) - 1
         often = np.bincount(run_of)[run_of] > 1
         keep = np.sort(by_low[often])  # most shingles go here
@@ -146,16 +214,13 @@ def _shared(ranges: int):
             low, entity, n, df = low[df > 1], entity[df > 1], n[df > 1], df[df > 1]
         else:
             df = np.zeros(0, np.int64)
-        place = ((entity >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int32)
+        place = _place(entity, ranges)
         order = np.argsort(place, kind="stable")
-        edges = np.r_[np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]]), len(order)] if len(order) else np.zeros(1, int)
-        base = int(table.column("range")[0].as_py()) << 32
-        out: list[list] = [[], [], [], [], []]
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        for a, b in _edges(place[order]):
             some = order[a:b]
             out[0].append(int(place[some[0]]))
             out[1].append(entity[some].astype("<u8").tobytes())
-            out[2].append((low[some].astype(np.int64) + base).astype("<i8").tobytes())
+            out[2].append(_ids(own, low[some]).astype("<i8").tobytes())
             out[3].append(df[some].astype("<u4").tobytes())
             out[4].append(n[some].astype("<u4").tobytes())
         return pa.table(
@@ -176,6 +241,8 @@ def _candidates(percent: int):
         entity, shingle, df, n = column("entities", "<u8"), column("shingles", "<i8"), column("df", "<u4"), column("sizes", "<u4").astype(np.int64)
         order = np.lexsort((shingle, df, entity))
         entity, shingle, n = entity[order], shingle[order], n[order]
+        one = np.r_[True, (entity[1:] != entity[:-1]) | (shingle[1:] != shingle[:-1])]  # common ones of copies from several tasks
+        entity, shingle, n = entity[one], shingle[one], n[one]
         starts = np.flatnonzero(np.r_[True, entity[1:] != entity[:-1]])
         live = np.diff(np.r_[starts, len(entity)])
         size = n[starts]
@@ -204,10 +271,9 @@ def _candidates(percent: int):
     return run
 
 
-def candidate_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+def candidate_sets(docs: DataFrame, size: int, percent: int, ranges: int, common: np.ndarray, doc_id: str, text: str) -> DataFrame:
     """(entity, n, prefix, unshared, shingles, signature): the different shingle sets that can have a partner."""
-    ranges = shuffle_partitions(docs.sparkSession)
-    packed = _packed(docs, size, ranges, doc_id, text)
+    packed = _packed(docs, size, ranges, common, doc_id, text)
     shared = packed.groupBy("range").applyInArrow(
         _shared(ranges), "range int, entities binary, shingles binary, df binary, sizes binary"
     )
@@ -272,9 +338,12 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     several = mixed.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("shingle")
     mixed = cut(mixed.join(several, "shingle", "left_semi"))
     about = ("n", "unshared", *SIGNATURE)
-    other = mixed.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("group", "rest", "class", *about)])
+    # Sizes that may reach the threshold are in one band or in neighbouring ones: other sets of a shingle don't meet.
+    band = F.floor(F.log("n") / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
+    other = mixed.select("shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(f"{c}2") for c in ("group", "rest", "class", *about)])
     meet = (
-        mixed.join(other, "shingle")
+        mixed.withColumn("band", band)
+        .join(other, ["shingle", "band"])
         .where((F.col("class") < F.col("class2")) & _may_reach(percent, "2") & F.coalesce(_signatures_allow(percent), F.lit(True)))
         .select("group", "class", "group2", "class2")
         .distinct()
@@ -299,7 +368,13 @@ def ngram_components(
     nothing; rows with a null id keep a null component. Rows with one id and different texts link all they link with.
     """
     table = cut(set_table(docs, size, doc_id, text))
-    classes = linked_sets(candidate_sets(docs, size, percent, doc_id, text), percent)
+    frequent = table.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
+    table = table.where("shingle is null").drop("shingle")
+    rows, total = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ranges = max(shuffle_partitions(docs.sparkSession), -(-total // RANGE_SHINGLES))
+    common = frequent.where(F.col("n") >= max(8, COMMON * rows)).select("shingle").collect()  # at most total / (COMMON * rows)
+    common = np.array([r["shingle"] for r in common], np.int64).view(U64)
+    classes = linked_sets(candidate_sets(docs, size, percent, ranges, common, doc_id, text), percent)
     present = table.where("entity is not null and doc_id is not null")
     named = present.groupBy("entity").agg(F.min("doc_id").alias("first"))
     named = cut(named.join(classes.withColumnRenamed("node", "entity"), "entity", "left").withColumn("class", F.coalesce("component", "entity")))
