@@ -24,8 +24,8 @@ from fieldloom.session import cut, shuffle_partitions
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 8000  # vectors the partition and the router are fitted on (the only bounded part)
-    max_parts: int = 256  # there are sqrt(vectors) / 8 parts, 4 at least
+    sample: int = 8000  # vectors the partition and the router are fitted on (the only sampled step), or, where that is more,
+    sample_part: int = 16  # so many for each part; there are sqrt(vectors) / 8 parts, 4 at least
     neighbours: int = 10  # edges of a vector in the sample's graph
     hidden: int = 128
     epochs: int = 40
@@ -37,8 +37,8 @@ class Settings:
 class Router:
     """A two-layer network from a vector to the parts' scores."""
 
-    def __init__(self, layers: list[np.ndarray], probes: int):
-        self.layers, self.probes = layers, probes
+    def __init__(self, layers: list[np.ndarray], probes: int, recall: float = 1.0):
+        self.layers, self.probes, self.recall = layers, probes, recall
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -126,6 +126,7 @@ def fit_router(sample: np.ndarray, parts: int, s: Settings, k: int = 20, seed: i
     place = np.argmax(order[:, :, None] == home[best][:, None, :], axis=1)  # at which probe a neighbour is found
     recall = [(place < p).mean() for p in range(1, parts + 1)]
     router.probes = int(np.argmax(np.array(recall) >= s.target_recall)) + 1 if recall[-1] >= s.target_recall else parts
+    router.recall = float(recall[router.probes - 1])
     return router
 
 
@@ -229,7 +230,9 @@ def _blocks(routed: DataFrame, limit: int) -> DataFrame:
 def nearest(
     vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` largest inner products found for each query.
+    """query_id, rank, vec_id, score, sample_recall: the ``k`` largest inner products found for each query.
+
+    ``sample_recall``: the recall that the chosen number of parts gave on the held-out quarter of the sample.
 
     Queries are the rows whose id is divisible by ``every``; all rows but the query's own are candidates, ties go to the
     smaller id. Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part, nor
@@ -244,7 +247,7 @@ def nearest(
     )
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if length is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, sample_recall double")
     rows = rows.where(F.size("vector") == length["n"])
     # One row for each different vector, with its k + 1 smallest ids; the row limit also works before the shuffle.
     ranked = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).where(F.col("n") <= k + 1)
@@ -252,8 +255,9 @@ def nearest(
     # Different vectors may share an id: the key of a vector is a number of its own.
     base = cut(base.withColumn("key", F.monotonically_increasing_id()))
     total = base.count()
-    sample = base.orderBy(F.xxhash64("vector"), "first").limit(settings.sample).select("vector").collect()
-    parts = int(np.clip(round(total**0.5 / 8), 4, settings.max_parts))
+    parts = max(round(total**0.5 / 8), 4)
+    most = max(settings.sample, settings.sample_part * parts)
+    sample = base.orderBy(F.xxhash64("vector"), "first").limit(most).select("vector").collect()
     router = fit_router(np.array([r["vector"] for r in sample]), parts, settings, k)
 
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
@@ -280,5 +284,5 @@ def nearest(
         .where(F.col("vec_id") != F.col("query_id"))
         .withColumn("rank", F.row_number().over(last).cast("int"))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", "score", F.lit(router.recall).alias("sample_recall"))
     )
