@@ -41,6 +41,14 @@ def area(ring: Column, unit: str = "sq_m") -> Column:
     return F.abs(signed_area(ring)) * UNITS.get(unit, 1.0)
 
 
+def geographic_area(ring: Column, unit: str = "sq_m", mode: str = "mercator") -> Column:
+    """Area of a lon/lat ring on the web Mercator plane, or (``utm``) on that of the zone of its first vertex."""
+    if mode == "mercator":
+        return area(F.transform(ring, lambda p: point(*to_mercator(p["x"], p["y"]))), unit)
+    zone = utm_zone(ring[0]["x"])
+    return area(F.transform(ring, lambda p: point(*to_utm(p["x"], p["y"], zone))), unit)
+
+
 def perimeter(ring: Column) -> Column:
     return _sum(F.transform(edges(ring), lambda e: F.sqrt((e["a"]["x"] - e["b"]["x"]) ** 2 + (e["a"]["y"] - e["b"]["y"]) ** 2)))
 
@@ -69,6 +77,11 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+def contains_with_holes(rings: Column, x: Column, y: Column) -> Column:
+    """Ray casting on a polygon's shell and holes: inside an odd number of the rings."""
+    return F.size(F.filter(rings, lambda ring: contains(ring, x, y))) % 2 == 1
+
+
 def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return lon * HALF / 180, F.ln(F.tan((90 + lat) * math.pi / 360)) * HALF / math.pi
 
@@ -81,15 +94,15 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) % 60 + 1).cast("int")
 
 
-def to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Easting and northing in the point's own zone (WGS 84, series to the sixth order)."""
+def to_utm(lon: Column, lat: Column, zone: Column | None = None) -> tuple[Column, Column]:
+    """Easting and northing in the point's own zone or a given one (WGS 84, series to the sixth order)."""
     a, f = 6378137.0, 1 / 298.257223563
     e2 = f * (2 - f)
     ep = e2 / (1 - e2)
     r = F.radians(lat)
     n = a / F.sqrt(1 - e2 * F.sin(r) ** 2)
     t, c = F.tan(r) ** 2, ep * F.cos(r) ** 2
-    k = F.cos(r) * F.radians(lon - (utm_zone(lon) * 6 - 183))
+    k = F.cos(r) * F.radians(lon - ((utm_zone(lon) if zone is None else zone) * 6 - 183))
     m = a * (
         (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * r
         - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * r)

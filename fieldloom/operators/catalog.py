@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,6 +53,24 @@ def vector_profile(df: DataFrame, kind: str) -> DataFrame:
     return df.groupBy(kind).agg(F.count("*").alias("n"), F.min("x0").alias("minx"), F.min("y0").alias("miny"), F.max("x1").alias("maxx"), F.max("y1").alias("maxy"))
 
 
+def layer_profile(df: DataFrame, key: str, kind: str, sample: int = 3) -> DataFrame:
+    """(section, name, value) rows: number of rows, rows of each geometry kind, fields, bounds, first rows by key."""
+    def rows(section: str, part: DataFrame, name, value) -> DataFrame:
+        return part.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+
+    bounds = df.agg(F.min("x0").alias("minx"), F.min("y0").alias("miny"), F.max("x1").alias("maxx"), F.max("y1").alias("maxy"), F.count("*").alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ("minx", "miny", "maxx", "maxy")]))
+    fields = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "at int, name string")
+    parts = [
+        rows("count", bounds, F.lit("rows"), F.col("n")),
+        rows("geometry", df.groupBy(kind).count(), F.col(kind), F.col("count")),
+        rows("field", fields, F.col("name"), F.col("at")),
+        rows("bounds", bounds.select(sides.alias("s")), F.col("s.k"), F.col("s.v")),
+        rows("sample", df.select(key, kind).orderBy(key).limit(sample), F.col(key), F.col(kind)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: min, max, mean, nulls, in one pass."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("e")).select("e.*")
@@ -98,6 +118,13 @@ def pair_check(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("a").isNull(), "image").otherwise("label").alias("missing"))
 
 
+def pair_counts(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """One row: images, labels, paired, and whether the counts are equal and above 0."""
+    a, b = images.select(key, F.lit(1).alias("a")).distinct(), labels.select(key, F.lit(1).alias("b")).distinct()
+    counts = a.join(b, key, "full_outer").agg(F.count("a").alias("images"), F.count("b").alias("labels"), F.count(F.col("a") + F.col("b")).alias("paired"))
+    return counts.withColumn("ok", (F.col("images") == F.col("labels")) & (F.col("images") > 0))
+
+
 def pair_dates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Files of date A with the first file of date B whose name begins alike: (stem, file_a, file_b)."""
     stem = F.regexp_replace("name", "_[AB].*$", "")
@@ -105,42 +132,49 @@ def pair_dates(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(stem.alias("stem"), F.col("name").alias("file_a")).join(first, "stem")
 
 
+def _vector_blocks(vectors: DataFrame, rows: int, prefix: str) -> DataFrame:
+    """Vectors packed in blocks of at most ``rows``: (<prefix>ids, <prefix>matrix) as little-endian bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                matrix = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                ids = part.column("vec_id").to_numpy().astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()]) for x in (ids, matrix)], [f"{prefix}ids", f"{prefix}matrix"])
+
+    slim = vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return slim.mapInArrow(pack, f"{prefix}ids binary, {prefix}matrix binary")
+
+
 def top_k_similar(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, distance): nearest stored vectors of each query by Euclidean distance, exact.
 
-    The stated queries go in blocks of ``block``; each block of queries is compared with all vectors in one pass.
+    Blocks of the stated queries meet blocks of the vectors, each pair in one step; ties go to the smaller id. Queries
+    with the same id and vector count once. Null ids and vectors take no part; all vectors have one length.
     """
     import numpy as np
     import pyarrow as pa
 
-    asked = queries.select("vec_id", "embedding").where("embedding is not null").orderBy("vec_id")
-    out, last = None, None
-    while True:
-        part = (asked if last is None else asked.where(F.col("vec_id") > last)).limit(block).collect()
-        if not part:
-            break
-        last = part[-1]["vec_id"]
-        ids, q = np.array([r["vec_id"] for r in part]), np.array([r["embedding"] for r in part], float)
-
-        def near(batches, ids=ids, q=q):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                names = batch.column("vec_id").to_numpy()
-                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(names), -1)
-                n = min(k, len(names))
+    def near(batches):
+        for batch in batches:
+            for ids, matrix, names, asked in zip(*(batch.column(c) for c in ("ids", "matrix", "q_ids", "q_matrix"))):
+                ids, names = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(names.as_buffer(), "<i8")
+                x, q = np.frombuffer(matrix.as_buffer(), "<f8").reshape(len(ids), -1), np.frombuffer(asked.as_buffer(), "<f8").reshape(len(names), -1)
+                n = min(k, len(ids))
                 d = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-                best = np.stack([np.lexsort((names, row))[:n] for row in d])
+                best = np.stack([np.lexsort((ids, row))[:n] for row in d])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], ["query_id", "vec_id", "distance"]
+                    [pa.array(np.repeat(names, n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], ["query_id", "vec_id", "distance"]
                 )
 
-        found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(near, "query_id long, vec_id long, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank long, vec_id long, distance double")
+    asked = _vector_blocks(queries.select("vec_id", "embedding").distinct(), block, "q_")
+    pairs = _vector_blocks(vectors, 4 * block, "").join(asked, how="cross")  # blocks of a stated query set with blocks of all rows
+    found = pairs.mapInArrow(near, "query_id long, vec_id long, distance double")
     w = W.partitionBy("query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
 def chunk_fixed(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:

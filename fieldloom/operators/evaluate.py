@@ -125,19 +125,36 @@ def top_k(df: DataFrame, keys: list[str], by: str, name: str, k: int) -> DataFra
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def top_k_predictions(df: DataFrame, key: str, name: str, prob: str, k: int = 5) -> DataFrame:
+    """The ``k`` most probable classes of each key (ties: smaller name), with the winner and its confidence (6 decimals)."""
+    best = W.partitionBy(key).orderBy("rank")
+    return top_k(df, [key], prob, name, k).withColumns({"winner": F.first(name).over(best), "confidence": F.round(F.first(prob).over(best), 6)})
+
+
+def hash_rank(df: DataFrame, key: str, label: str | None = None, seed: int = 42) -> DataFrame:
+    """``df`` with _at (1, 2, ... in the order of a hash of the key, in each class of ``label``) and _n, the class's rows.
+
+    Rows are numbered inside 4,096 ranges of the hash, and ranges by the counts before them: no class is one task.
+    """
+    by = [F.lit(0).alias("_label") if label is None else F.col(label).alias("_label")]
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_range", F.coalesce(F.left("_h", F.lit(3)), F.lit("")))
+    counts = hashed.groupBy(*by, F.col("_range").alias("_r")).count()
+    of_class = W.partitionBy("_label")  # at most 4,097 rows a class
+    before = F.coalesce(F.sum("count").over(of_class.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_label", "_r", before.alias("_before"), F.sum("count").over(of_class).alias("_n"))
+    same = hashed["_range"].eqNullSafe(counts["_r"]) & (F.lit(0) if label is None else hashed[label]).eqNullSafe(counts["_label"])
+    inside = W.partitionBy(*([] if label is None else [label]), "_range").orderBy("_h", key)
+    return hashed.join(counts, same).withColumn("_at", F.col("_before") + F.row_number().over(inside)).drop("_h", "_range", "_r", "_label", "_before")
+
+
 def split_stratified(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """train / val / test of 70 / 15 / 15 percent of each class, floors first and the rest to test, in hash order."""
-    order = W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    n, at = F.count("*").over(W.partitionBy(label)), F.row_number().over(order)
-    train, val = F.floor(n * 0.7), F.floor(n * 0.15)
-    return df.withColumn("split", F.when(at <= train, "train").when(at <= train + val, "val").otherwise("test"))
+    train, val = F.floor(F.col("_n") * 0.7), F.floor(F.col("_n") * 0.15)
+    split = F.when(F.col("_at") <= train, "train").when(F.col("_at") <= train + val, "val").otherwise("test")
+    return hash_rank(df, key, label, seed).withColumn("split", split).drop("_at", "_n")
 
 
 def split_holdout(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
-    """val: the max(1, round(n * ratio)) rows of the smallest hash, found by a threshold on the hash, not a global sort."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    n = hashed.count()
-    k = max(1, round(n * ratio))
-    last = hashed.select("_h", key).orderBy("_h", key).limit(k).agg(F.max(F.struct("_h", key)).alias("t")).select("t._h", F.col(f"t.{key}").alias("_k")).first()
-    small = (F.col("_h") < last["_h"]) | ((F.col("_h") == last["_h"]) & (F.col(key) <= last["_k"]))
-    return hashed.withColumn("split", F.when(small, "val").otherwise("train")).drop("_h")
+    """val: the max(1, round(n * ratio)) rows of the smallest hash."""
+    small = F.col("_at") <= F.greatest(F.lit(1), F.round(F.col("_n") * ratio))
+    return hash_rank(df, key, None, seed).withColumn("split", F.when(small, "val").otherwise("train")).drop("_at", "_n")

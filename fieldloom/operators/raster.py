@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,34 @@ def resample(pixels: DataFrame, factor: int, how: str) -> DataFrame:
     return pixels.groupBy(*block).agg(agg.alias("value"))
 
 
+def resample_scale(pixels: DataFrame, scale: float, height: int, width: int, how: str = "bilinear") -> DataFrame:
+    """The raster at int(height * scale) x int(width * scale) cells, by any factor: ``bilinear`` or ``nearest``.
+
+    Bilinear weights fall with the distance of cell centres to 0 at one cell of the coarser of both grids, and are shared
+    among the cells with data; cells without any get no row. Each source cell is sent to the target cells it counts for.
+    """
+    reach = max(1.0, 1 / scale)
+    rows, cols = int(height * scale), int(width * scale)
+
+    def targets(axis: str, n: int) -> Column:
+        at = F.col(axis).cast("double")
+        if how == "nearest":
+            low, high = F.ceil(at * scale - 0.5), F.ceil((at + 1) * scale - 0.5) - 1
+        else:
+            low, high = F.ceil((at - reach + 0.5) * scale - 0.5), F.floor((at + reach + 0.5) * scale - 0.5)
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(n - 1))
+        return F.when(low <= high, F.sequence(low.cast("long"), high.cast("long")))
+
+    def weight(axis: str) -> Column:
+        return F.lit(1.0) - F.abs((F.col(f"t_{axis}") + 0.5) / scale - 0.5 - F.col(axis)) / reach
+
+    sent = pixels.where("value is not null").withColumn("t_row", F.explode(targets("row", rows))).withColumn("t_col", F.explode(targets("col", cols)))
+    if how == "nearest":
+        return sent.select(F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
+    sent = sent.withColumns({"wr": weight("row"), "wc": weight("col")}).where("wr > 1e-12 and wc > 1e-12").withColumn("w", F.col("wr") * F.col("wc"))
+    return sent.groupBy(F.col("t_row").alias("row"), F.col("t_col").alias("col")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+
 def bilinear(pixels: DataFrame, targets: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
     """Values at ``targets`` (key columns and x, y): weights of the up to four cells around, over those with data.
 
@@ -309,6 +338,53 @@ def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return keep(x), keep(y)
 
 
+def tile_bounds(zoom: int, x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
+    """West, south, east and north of a tile in degrees."""
+    n = 1 << zoom
+    north = lambda v: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * v / n))))
+    return x / n * 360 - 180, north(y + 1), (x + 1) / n * 360 - 180, north(y)
+
+
+def tiles_of_boxes(boxes: DataFrame, key: str, zoom: int) -> DataFrame:
+    """(key, x, y): the tiles from that of a lon/lat box's upper left corner to that of its lower right one."""
+    left, top = tile_of(F.col("x0"), F.col("y1"), zoom)
+    right, bottom = tile_of(F.col("x1"), F.col("y0"), zoom)
+    return boxes.select(key, F.explode(F.sequence(left, right)).alias("x"), top.alias("t"), bottom.alias("b")).select(key, "x", F.explode(F.sequence("t", "b")).alias("y"))
+
+
+def max_zoom(degrees_per_pixel: Column) -> Column:
+    """Two more than the first zoom, counted down from 22, with pixels no larger than the raster's, at most 20; else 14.
+
+    Pixels shrink with the zoom, so that only zoom 22 decides.
+    """
+    finest = 40075016.686 / (256 * 2**22)
+    return F.when(degrees_per_pixel * 111000 >= finest, 20).otherwise(14)
+
+
+def in_range(values: tuple[Column, ...], ranges: tuple[tuple[float, float], ...]) -> Column:
+    """Every value lies in its closed range."""
+    return reduce(lambda a, b: a & b, [v.between(lo, hi) for v, (lo, hi) in zip(values, ranges)])
+
+
+#: Closed ranges of hue (0..180), saturation and value (0..255).
+FOREST = ((35, 85), (40, 255), (40, 255))
+GRASS = ((25, 75), (20, 120), (60, 200))
+
+
+def vegetation(h: Column, s: Column, v: Column) -> tuple[Column, Column]:
+    """Whether a cell is forest, and whether it is grassland, which forest cells never are."""
+    forest = in_range((h, s, v), FOREST)
+    return forest, in_range((h, s, v), GRASS) & ~forest
+
+
+def tiles_with_data(pixels: DataFrame, size: int, stride: int, height: int, width: int, max_tiles: int) -> DataFrame:
+    """(w_row, w_col, cells): windows with any cell that is neither null nor 0, the first ``max_tiles`` in row-major order."""
+    tiles = window_cells(pixels, size, stride, height, width).groupBy("w_row", "w_col").agg(
+        F.count("value").alias("cells"), F.coalesce(F.max(F.col("value") != 0), F.lit(False)).alias("any")
+    )
+    return tiles.where("any").drop("any").orderBy("w_row", "w_col").limit(max_tiles)
+
+
 def raster_profile(pixels: DataFrame) -> DataFrame:
     """Per band: min, max, mean, population deviation, with height and width of the whole raster."""
     size = pixels.agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))

@@ -19,32 +19,71 @@ EARTH = 6371008.8
 
 
 def select_by_attribute(df: DataFrame, field: str, op: str, value) -> DataFrame:
-    """Rows with ``field op value``; numbers are compared only if every value of the column casts to one."""
+    """Rows with ``field op value``, compared as numbers if ``value`` and every value of the column are some, else as text.
+
+    Nulls never match.
+    """
     if op not in ("==", "!=", ">", ">=", "<", "<="):
         raise ValueError(f"unknown operator {op}")
     number = F.expr(f"try_cast(`{field}` as double)")
-    numeric = df.where(F.col(field).isNotNull()).agg(F.bool_and(number.isNotNull()).alias("x")).first()["x"]
+    try:
+        asked = float(value)
+    except (TypeError, ValueError):
+        asked = None
+    numeric = asked is not None and df.where(F.col(field).isNotNull()).agg(F.bool_and(number.isNotNull()).alias("x")).first()["x"]
     left = number if numeric else F.col(field).cast("string")
-    right = F.lit(float(value)) if numeric else F.lit(str(value))
+    right = F.lit(asked) if numeric else F.lit(str(value))
     tests = {"==": left == right, "!=": left != right, ">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}
     return df.where(tests[op])
 
 
+RELATIONS = ("intersects", "contains", "within", "touches", "overlaps", "crosses")
+
+
+def _covered(pieces: Column) -> Column:
+    """Area of the union of an array of boxes: elementary cells between their borders that some box covers."""
+
+    def spans(low: str, high: str) -> Column:
+        at = F.array_sort(F.array_distinct(F.concat(F.transform(pieces, lambda p: p[low]), F.transform(pieces, lambda p: p[high]))))
+        return F.arrays_zip(F.slice(at, F.lit(1), F.size(at) - 1).alias("lo"), F.slice(at, F.lit(2), F.size(at) - 1).alias("hi"))
+
+    def column(x: Column) -> Column:
+        over = F.filter(pieces, lambda p: (p["x0"] <= x["lo"]) & (x["hi"] <= p["x1"]))
+        held = F.filter(spans("y0", "y1"), lambda y: F.exists(over, lambda p: (p["y0"] <= y["lo"]) & (y["hi"] <= p["y1"])))
+        return (x["hi"] - x["lo"]) * F.aggregate(held, F.lit(0.0), lambda total, y: total + y["hi"] - y["lo"])
+
+    return F.aggregate(F.transform(spans("x0", "x1"), column), F.lit(0.0), lambda total, v: total + v)
+
+
 def select_by_location(target: DataFrame, by: DataFrame, relation: str, key: str, cell: float) -> DataFrame:
-    """Boxes that meet (``intersects``, also for unknown relations), lie ``within`` or ``touches`` the union of ``by``.
+    """Boxes in a relation to the union of ``by``, which may overlap itself.
 
-    ``by`` must be free of overlaps for ``within``: the covered areas of a box are summed.
+    ``intersects`` (also for unknown relations): they meet; ``within``: the union covers the box; ``touches``: they meet
+    at borders only; ``overlaps``: they share an area, and neither holds the other; ``contains``: the box holds all of
+    ``by``; ``crosses``: never so between areas. No rows in ``by``: nothing is selected.
     """
     pairs = candidate_pairs(target, by, cell)
+    if relation == "crosses":
+        return target.where("false")
+    if relation not in RELATIONS or relation == "intersects":
+        return target.join(pairs.select(F.col(f"a_{key}").alias(key)).distinct(), key, "left_semi")
+    piece = F.struct(F.greatest("a_x0", "b_x0").alias("x0"), F.greatest("a_y0", "b_y0").alias("y0"), F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1"))
+    met = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(
+        F.collect_set(F.when(overlap_area() > 0, piece)).alias("pieces"), F.first(box_area("a_")).alias("a")
+    )
+    met = met.withColumn("covered", F.when(F.size("pieces") > 0, _covered(F.col("pieces"))).otherwise(0.0))
+    inside = F.col("covered") >= F.col("a") * (1 - 1e-9)
     if relation == "within":
-        inside = pairs.groupBy(f"a_{key}").agg(F.sum(overlap_area()).alias("c"), F.first(box_area("a_")).alias("a"))
-        keep = inside.where(F.col("c") >= F.col("a") * (1 - 1e-9)).select(F.col(f"a_{key}").alias(key))
-    elif relation == "touches":
-        met = pairs.groupBy(f"a_{key}").agg(F.max(overlap_area()).alias("c")).where("c = 0")
-        keep = met.select(F.col(f"a_{key}").alias(key))
-    else:
-        keep = pairs.select(F.col(f"a_{key}").alias(key)).distinct()
-    return target.join(keep, key, "left_semi")
+        return target.join(met.where(inside & (F.size("pieces") > 0)).select(key), key, "left_semi")
+    if relation == "touches":
+        return target.join(met.where("covered = 0").select(key), key, "left_semi")
+    bounds = by.agg(F.min("x0").alias("bx0"), F.min("y0").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1"))
+    holds = (F.col("x0") <= F.col("bx0")) & (F.col("y0") <= F.col("by0")) & (F.col("bx1") <= F.col("x1")) & (F.col("by1") <= F.col("y1"))
+    around = target.join(F.broadcast(bounds), how="cross")  # one row
+    if relation == "contains":
+        return around.where(holds).select(*target.columns)
+    shared = met.where((F.col("covered") > 0) & ~inside).select(key)
+    return around.where(~holds).select(*target.columns).join(shared, key, "left_semi")
 
 
 def extent_rule(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
@@ -86,6 +125,16 @@ def spatial_join(areas: DataFrame, points: DataFrame, cell: float, half_open: bo
     return pairs.drop("b_x0", "b_y0", "b_x1", "b_y1")
 
 
+def box_join(left: DataFrame, right: DataFrame, cell: float, predicate: str = "intersects") -> DataFrame:
+    """Pairs of boxes that meet, of which the left one ``contains`` or is ``within`` the right one; others: intersects."""
+    pairs = candidate_pairs(left, right, cell)
+
+    def holds(outer: str, inner: str) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{outer}x0") <= F.col(f"{inner}x0"), F.col(f"{inner}x1") <= F.col(f"{outer}x1"), F.col(f"{outer}y0") <= F.col(f"{inner}y0"), F.col(f"{inner}y1") <= F.col(f"{outer}y1")])
+
+    return pairs.where({"contains": holds("a_", "b_"), "within": holds("b_", "a_")}.get(predicate, F.lit(True)))
+
+
 def count_points_per_area(areas: DataFrame, points: DataFrame, key: str, cell: float, half_open: bool = False) -> DataFrame:
     """Areas with ``n_points``, 0 where none lies inside."""
     counts = spatial_join(areas, points, cell, half_open).groupBy(F.col(f"a_{key}").alias(key)).agg(F.count("*").alias("n"))
@@ -157,6 +206,22 @@ def topology_pairs(boxes: DataFrame, key: str, cell: float, least: float = 1e-4)
     return over.unionByName(held)
 
 
+def line_crossings(lines: DataFrame, key: str, cell: float) -> DataFrame:
+    """Unordered pairs of segments (x0, y0) to (x1, y1) that cross inside both: (id_1, id_2)."""
+    ends = {"ax": "x0", "ay": "y0", "bx": "x1", "by": "y1"}
+    slim = lines.select(key, *[F.col(c).alias(n) for n, c in ends.items()])
+    boxes = slim.withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by")})
+    pairs = candidate_pairs(boxes, boxes, cell).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
+
+    def side(line: str, other: str, end: str) -> Column:
+        c = F.col
+        along = (c(f"{line}_bx") - c(f"{line}_ax")) * (c(f"{other}_{end}y") - c(f"{line}_ay"))
+        return along - (c(f"{line}_by") - c(f"{line}_ay")) * (c(f"{other}_{end}x") - c(f"{line}_ax"))
+
+    apart = [side(m, n, "a") * side(m, n, "b") < 0 for m, n in (("a", "b"), ("b", "a"))]
+    return pairs.where(apart[0] & apart[1]).select(F.col(f"a_{key}").alias("id_1"), F.col(f"b_{key}").alias("id_2"))
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
     return 2 * EARTH * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
@@ -206,11 +271,11 @@ def overlay_cells(left: DataFrame, right: DataFrame, a: str, b: str, res: float,
     return joined.groupBy(*keys).agg((F.count("*") * (res * res)).alias("area"))
 
 
-def dissolve(boxes: DataFrame, by: str, key: str, res: float) -> DataFrame:
-    """One row a key (null keys go): first other attribute by ``key``, parts, merged area on cells."""
+def dissolve(boxes: DataFrame, by: str, key: str, res: float, others: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key (null keys go): smallest ``key``, that row's ``others``, parts, merged area on cells."""
     named = boxes.where(F.col(by).isNotNull())
     area = rasterize(named, res).select(by, "row", "col").distinct().groupBy(by).agg((F.count("*") * (res * res)).alias("area"))
-    first = named.groupBy(by).agg(F.min(key).alias("first"), F.count("*").alias("parts"))
+    first = named.groupBy(by).agg(F.min(key).alias("first"), F.count("*").alias("parts"), *[F.min_by(c, key).alias(c) for c in others])
     return first.join(area, by, "left")
 
 
@@ -266,6 +331,3 @@ def grid_sites(xmin: float, ymin: float, xmax: float, ymax: float, step: float,
     inside = spatial_join(areas, points, 4 * step).select(F.col("b_i").alias("i"), F.col("b_j").alias("j"), F.col("b_x").alias("x"), F.col("b_y").alias("y")).distinct()
     best = inside.withColumn("score", score).orderBy(F.desc("score"), "j", "i").limit(max(1, min(n, 500)))
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "j", "i")).cast("long"))  # at most 500 rows
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -87,11 +87,11 @@ query("manifest_class_pixels", cte("classes") + " SELECT row // 10 AS id, " + ",
 )
 
 RUNS = """WITH runs AS (SELECT l_orderkey % 50 AS image, l_returnflag AS method, l_linestatus AS model, sum(l_quantity)::DOUBLE AS count, round(sum(l_extendedprice)::DOUBLE, 2) AS total_area,
-CASE WHEN (l_orderkey % 50) % 9 = 4 THEN 'failed' ELSE 'ok' END AS status FROM lineitem WHERE l_orderkey % 50 <> 7 GROUP BY ALL)"""
+CASE WHEN (l_orderkey % 50) % 9 = 4 THEN 'failed' ELSE 'ok' END AS status FROM lineitem GROUP BY ALL)"""
 
 
 def runs(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey % 50 <> 7").groupBy(F.expr("l_orderkey % 50").alias("image"), F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("model"), F.expr("CASE WHEN (l_orderkey % 50) % 9 = 4 THEN 'failed' ELSE 'ok' END").alias("status")).agg(
+    return table(spark, d, "lineitem").groupBy(F.expr("l_orderkey % 50").alias("image"), F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("model"), F.expr("CASE WHEN (l_orderkey % 50) % 9 = 4 THEN 'failed' ELSE 'ok' END").alias("status")).agg(
         F.sum("l_quantity").cast("double").alias("count"), F.round(F.sum("l_extendedprice").cast("double"), 2).alias("total_area")
     )
 
@@ -100,8 +100,8 @@ query("best_run", RUNS + " SELECT image, method, model, count, total_area FROM r
     lambda spark, d: e.best_run(runs(spark, d), "R").select("image", "method", "model", "count", "total_area")
 )
 query("run_index", RUNS + """ SELECT i AS image, coalesce(string_agg(DISTINCT method, '|' ORDER BY method), '') AS methods, coalesce(string_agg(DISTINCT model, '|' ORDER BY model), '') AS models, max(count) FILTER (WHERE status = 'ok') AS best,
-CASE WHEN count(method) = 0 THEN 'skipped' WHEN bool_or(status = 'ok') THEN 'ok' ELSE 'failed' END AS status FROM range(50) k(i) LEFT JOIN runs ON image = i GROUP BY i""")(
-    lambda spark, d: e.run_index(table(spark, d, "lineitem").select(F.expr("l_orderkey % 50").alias("image")).distinct(), runs(spark, d))
+CASE WHEN count(method) = 0 THEN 'skipped' WHEN bool_or(status = 'ok') THEN 'ok' ELSE 'failed' END AS status FROM (SELECT DISTINCT l_orderkey % 51 AS i FROM lineitem) k LEFT JOIN runs ON image = i GROUP BY i""")(
+    lambda spark, d: e.run_index(table(spark, d, "lineitem").select(F.expr("l_orderkey % 51").alias("image")).distinct(), runs(spark, d))  # image 50 has no runs
 )
 query("layer_summary", RUNS + " SELECT method, model, count(*) AS n, round(sum(total_area), 1) AS total_area, round(avg(total_area), 1) AS mean_area FROM runs GROUP BY ALL")(
     lambda spark, d: runs(spark, d).groupBy("method", "model").agg(F.count("*").alias("n"), F.round(F.sum("total_area"), 1).alias("total_area"), F.round(F.avg("total_area"), 1).alias("mean_area"))
@@ -109,6 +109,20 @@ query("layer_summary", RUNS + " SELECT method, model, count(*) AS n, round(sum(t
 query("top_k_predictions", cte("classes") + ", p AS (SELECT row AS image, pred AS class, count(*) AS n FROM classes GROUP BY ALL) SELECT image, class, n, row_number() OVER (PARTITION BY image ORDER BY n DESC, class) AS rank FROM p QUALIFY rank <= 3")(
     lambda spark, d: e.top_k(layer(spark, d, "classes").groupBy(F.col("row").alias("image"), F.col("pred").alias("class")).agg(F.count("*").alias("n")), ["image"], "n", "class", 3)
 )
+query("top_k_winner", cte("classes") + """, n AS (SELECT row AS image, pred AS class, count(*) AS n FROM classes GROUP BY ALL), p AS (SELECT image, class, round(n / sum(n) OVER (PARTITION BY image), 9) AS prob FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY prob DESC, class) AS rank FROM p)
+SELECT image, class, prob, rank, first_value(class) OVER w AS winner, round(first_value(prob) OVER w, 6) AS confidence FROM k WINDOW w AS (PARTITION BY image ORDER BY rank) QUALIFY rank <= 5""")(
+    lambda spark, d: e.top_k_predictions(
+        layer(spark, d, "classes").groupBy(F.col("row").alias("image"), F.col("pred").alias("class")).agg(F.count("*").alias("n")).selectExpr("image", "class", "round(n / sum(n) OVER (PARTITION BY image), 9) AS prob"),
+        "image", "class", "prob", 5,
+    )
+)
+query("model_speed_summary", RUNS + """, m AS (SELECT method || model AS model, round(avg(count) / 40, 4) AS fps, round(avg(total_area) / 100000, 4) AS per_frame FROM runs GROUP BY 1)
+SELECT model, fps, per_frame, rank() OVER (ORDER BY fps DESC) = 1 AS fastest, rank() OVER (ORDER BY per_frame DESC) = 1 AS most FROM m""")(
+    lambda spark, d: runs(spark, d).groupBy(F.concat("method", "model").alias("model")).agg(F.round(F.avg("count") / 40, 4).alias("fps"), F.round(F.avg("total_area") / 100000, 4).alias("per_frame")).selectExpr(
+        "*", "rank() OVER (ORDER BY fps DESC) = 1 AS fastest", "rank() OVER (ORDER BY per_frame DESC) = 1 AS most"  # one row a model
+    )
+)
 query("model_speed_ranking", RUNS + """, m AS (SELECT method || model AS model, count(*) AS runs, round(avg(count) / 40, 4) AS fps FROM runs GROUP BY 1)
 SELECT model, runs, fps, CASE WHEN fps > 40 THEN 'excellent' WHEN fps > 25 THEN 'good' WHEN fps > 15 THEN 'fair' ELSE 'slow' END AS rating, rank() OVER (ORDER BY fps DESC) AS rank FROM m""")(
     lambda spark, d: runs(spark, d).groupBy(F.concat("method", "model").alias("model")).agg(F.count("*").alias("runs"), F.round(F.avg("count") / 40, 4).alias("fps")).selectExpr(
@@ -120,12 +134,17 @@ query("choropleth_class", "SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN 'n
 )
 
 
-@query("split_stratified")
+ORDERED = "row_number() OVER (PARTITION BY {by} ORDER BY md5('42:' || id::VARCHAR), id) AS pos, count(*) OVER (PARTITION BY {by}) AS n"
+
+
+@query("split_stratified", cte("samples") + f""", o AS (SELECT id, class, {ORDERED.format(by="class")} FROM samples)
+SELECT id, class, CASE WHEN pos <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM o""")
 def split_stratified(spark, d):
     return e.split_stratified(layer(spark, d, "samples"), "id", "class")
 
 
-@query("split_holdout")
+@query("split_holdout", cte("samples") + f""", o AS (SELECT id, class, {ORDERED.format(by="1")} FROM samples)
+SELECT id, class, CASE WHEN pos <= greatest(1, round(n * 0.2::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM o""")
 def split_holdout(spark, d):
     return e.split_holdout(layer(spark, d, "samples"), "id", 0.2)
 
@@ -164,10 +183,21 @@ query("item_bbox", cte("items") + " SELECT id, minx AS a, miny AS b, maxx AS c,
 query("pair_check", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'image' ELSE 'label' END AS missing FROM documents WHERE (doc_id % 7 = 0) <> (doc_id % 5 = 0)")(
     lambda spark, d: c.pair_check(table(spark, d, "documents").where("doc_id % 7 <> 0"), table(spark, d, "documents").where("doc_id % 5 <> 0"), "doc_id")
 )
+query("pair_counts", """WITH p AS (SELECT doc_id % 7 <> 0 AS a, doc_id % 5 <> 0 AS b FROM documents)
+SELECT count(*) FILTER (a) AS images, count(*) FILTER (b) AS labels, count(*) FILTER (a AND b) AS paired, count(*) FILTER (a) = count(*) FILTER (b) AND count(*) FILTER (a) > 0 AS ok FROM p""")(
+    lambda spark, d: c.pair_counts(table(spark, d, "documents").where("doc_id % 7 <> 0"), table(spark, d, "documents").where("doc_id % 5 <> 0"), "doc_id")
+)
 query("pair_dates", "WITH f AS (SELECT o_orderkey % 97 AS k, o_orderkey FROM orders), b AS (SELECT 't' || k AS stem, min('t' || k || '_B' || o_orderkey) AS file_b FROM f WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT 't' || k AS stem, 't' || k || '_A' || o_orderkey AS file_a, file_b FROM f JOIN b ON b.stem = 't' || k WHERE o_orderkey % 3 = 1")(
     lambda spark, d: c.pair_dates(table(spark, d, "orders").where("o_orderkey % 3 = 1").selectExpr("concat('t', o_orderkey % 97, '_A', o_orderkey) AS name"), table(spark, d, "orders").where("o_orderkey % 3 = 0").selectExpr("concat('t', o_orderkey % 97, '_B', o_orderkey) AS name"))
 )
 query("vector_profile", cte("boxes") + " SELECT p_brand, count(*) AS n, min(x0) AS minx, min(y0) AS miny, max(x1) AS maxx, max(y1) AS maxy FROM boxes GROUP BY p_brand")(lambda spark, d: c.vector_profile(layer(spark, d, "boxes"), "p_brand"))
+query("layer_profile", cte("boxes") + """, b AS (SELECT *, CASE WHEN x1 - x0 > y1 - y0 THEN 'wide' ELSE 'tall' END AS kind FROM boxes)
+SELECT 'count' AS section, 'rows' AS name, count(*)::VARCHAR AS value FROM b UNION ALL SELECT 'geometry', kind, count(*)::VARCHAR FROM b GROUP BY kind
+UNION ALL SELECT 'field', name, pos::VARCHAR FROM (VALUES ('fid', 0), ('x0', 1), ('y0', 2), ('x1', 3), ('y1', 4), ('p_brand', 5), ('p_type', 6), ('kind', 7)) f(name, pos)
+UNION ALL SELECT 'bounds', 'minx', min(x0)::VARCHAR FROM b UNION ALL SELECT 'bounds', 'miny', min(y0)::VARCHAR FROM b UNION ALL SELECT 'bounds', 'maxx', max(x1)::VARCHAR FROM b UNION ALL SELECT 'bounds', 'maxy', max(y1)::VARCHAR FROM b
+UNION ALL SELECT 'sample', fid::VARCHAR, kind FROM (SELECT * FROM b ORDER BY fid LIMIT 3)""")(
+    lambda spark, d: c.layer_profile(layer(spark, d, "boxes").withColumn("kind", F.expr("if(x1 - x0 > y1 - y0, 'wide', 'tall')")), "fid", "kind")
+)
 query("numeric_profile", cte("items") + " SELECT name, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, count(*) - count(value) AS nulls FROM (SELECT 'minx' AS name, minx AS value FROM items UNION ALL SELECT 'miny', miny FROM items UNION ALL SELECT 'cloud', cloud FROM items) GROUP BY name")(
     lambda spark, d: rounded(c.numeric_profile(layer(spark, d, "items"), ["minx", "miny", "cloud"]), ("mean",))
 )
@@ -195,9 +225,11 @@ query("running_totals", DET + """ SELECT camera, frame, sum((class_name = 'perso
     lambda spark, d: t.running_totals(det(spark, d))
 )
 query("distinct_tracks", DET + " SELECT camera, count(DISTINCT track_id) AS tracks FROM det GROUP BY camera")(lambda spark, d: det(spark, d).groupBy("camera").agg(F.countDistinct("track_id").alias("tracks")))
-query("event_clips", DET + """, f AS (SELECT camera, frame, sec, sum(n) OVER (PARTITION BY camera ORDER BY frame) AS run FROM (SELECT camera, frame, sec, CASE WHEN frame - lag(frame) OVER (PARTITION BY camera ORDER BY frame) = 1 THEN 0 ELSE 1 END AS n FROM det WHERE confidence >= 0.3)),
-g AS (SELECT *, floor((sec - min(sec) OVER (PARTITION BY camera, run)) / 12)::BIGINT AS clip FROM f)
-SELECT camera, run::BIGINT AS run, clip, min(frame) AS first, max(frame) AS last, count(*) AS frames FROM g GROUP BY ALL""")(lambda spark, d: t.event_clips(det(spark, d).where("confidence >= 0.3")))
+query("event_clips", DET.replace("WITH r", "WITH RECURSIVE r") + """, f AS (SELECT camera, frame, sec, sum(n) OVER (PARTITION BY camera ORDER BY frame) AS run FROM (SELECT camera, frame, sec, CASE WHEN frame - lag(frame) OVER (PARTITION BY camera ORDER BY frame) = 1 THEN 0 ELSE 1 END AS n FROM det WHERE confidence >= 0.3)),
+g AS (SELECT *, row_number() OVER (PARTITION BY camera, run ORDER BY frame) AS k FROM f),
+c AS (SELECT camera, run, k, frame, sec AS start, 0 AS clip, false AS done FROM g WHERE k = 1
+  UNION ALL SELECT g.camera, g.run, g.k, g.frame, CASE WHEN c.done THEN g.sec ELSE c.start END, c.clip + c.done::INT, NOT c.done AND g.sec - c.start > 10 FROM c JOIN g ON g.camera = c.camera AND g.run = c.run AND g.k = c.k + 1)
+SELECT camera, run::BIGINT AS run, clip::BIGINT AS clip, min(frame) AS first, max(frame) AS last, count(*) AS frames FROM c GROUP BY ALL""")(lambda spark, d: t.event_clips(det(spark, d).where("confidence >= 0.3")))
 query("fps_30", DET + " SELECT camera, frame, 30.0::DOUBLE / (sec - lag(sec) OVER (PARTITION BY camera ORDER BY frame)) AS fps FROM det WHERE frame % 30 = 0")(lambda spark, d: t.fps_30(det(spark, d)))
 query("detection_report", DET + " SELECT camera, class_name, count(*) AS n FROM det GROUP BY ROLLUP (camera, class_name)")(lambda spark, d: det(spark, d).rollup("camera", "class_name").agg(F.count("*").alias("n")))
 query("keyframes", cte("frames") + " SELECT a.camera, a.frame, round(avg(abs(a.grey - b.grey)), 6) AS change FROM frames a JOIN frames b ON a.camera = b.camera AND a.frame = b.frame + 1 AND a.row = b.row AND a.col = b.col GROUP BY ALL HAVING avg(abs(a.grey - b.grey)) > 30")(

@@ -104,6 +104,34 @@ def resample_mode(spark, d):
     return r.resample(band(spark, d, "b2"), 4, "mode")
 
 
+def _resample_scale(name: str, scale: float) -> None:
+    reach = max(1.0, 1 / scale)
+    axis = "abs((t.{a} + 0.5::DOUBLE) / {s} - 0.5 - r.{a})"
+    wr, wc = (f"(1 - {axis.format(a=a, s=scale)} / {reach}::DOUBLE)" for a in ("row", "col"))
+
+    @query(name, cte("raster") + f""", e AS (SELECT floor((max(row) + 1) * {scale}::DOUBLE)::BIGINT AS h, floor((max(col) + 1) * {scale}::DOUBLE)::BIGINT AS w FROM raster),
+t AS (SELECT i AS row, j AS col FROM (SELECT unnest(range(h)) AS i FROM e), (SELECT unnest(range(w)) AS j FROM e)),
+s AS (SELECT t.row, t.col, {wr} * {wc} AS w, other FROM t JOIN raster r
+  ON r.row BETWEEN floor((t.row + 0.5) / {scale} - 0.5 - {reach}) AND ceil((t.row + 0.5) / {scale} - 0.5 + {reach}) AND r.col BETWEEN floor((t.col + 0.5) / {scale} - 0.5 - {reach}) AND ceil((t.col + 0.5) / {scale} - 0.5 + {reach})
+  WHERE {wr} > 1e-12 AND {wc} > 1e-12 AND other IS NOT NULL)
+SELECT row, col, round(sum(w * other) / sum(w), 6) AS value FROM s GROUP BY row, col""")
+    def resample_bilinear(spark, d):
+        other = band(spark, d, "other")
+        return r.resample_scale(other, scale, *r.extent(other)).select("row", "col", F.round("value", 6).alias("value"))
+
+
+_resample_scale("resample_bilinear", 1.5)
+_resample_scale("resample_bilinear_coarser", 0.4)
+
+
+@query("resample_nearest", cte("raster") + """, e AS (SELECT floor((max(row) + 1) * 1.5::DOUBLE)::BIGINT AS h, floor((max(col) + 1) * 1.5::DOUBLE)::BIGINT AS w FROM raster),
+t AS (SELECT i, j FROM (SELECT unnest(range(h)) AS i FROM e), (SELECT unnest(range(w)) AS j FROM e))
+SELECT t.i AS row, t.j AS col, other AS value FROM t JOIN raster r ON r.row = floor((t.i + 0.5::DOUBLE) / 1.5)::BIGINT AND r.col = floor((t.j + 0.5::DOUBLE) / 1.5)::BIGINT WHERE other IS NOT NULL""")
+def resample_nearest(spark, d):
+    other = band(spark, d, "other")
+    return r.resample_scale(other, 1.5, *r.extent(other), "nearest")
+
+
 @query("align_raster_pair", cte("raster") + """, t AS (SELECT i AS trow, j AS tcol, (j + 0.5::DOUBLE) * 1.7 AS x, (i + 0.5::DOUBLE) * 1.7 AS y FROM range(20) a(i), range(20) b(j)),
 f AS (SELECT trow, tcol, floor(x - 0.5)::BIGINT + dc AS col, floor(y - 0.5)::BIGINT + dr AS row, x - 0.5 AS u, y - 0.5 AS v FROM t, range(2) p(dc), range(2) q(dr)),
 w AS (SELECT *, (1 - abs(u - col)) * (1 - abs(v - row)) AS w FROM f)
@@ -155,6 +183,41 @@ def spectral_threshold(spark, d):
     return c.select("row", "col", F.round(h, 4).alias("h"), F.round(s, 4).alias("s"), v.alias("v"))
 
 
+@query("vegetation_classes", ORACLES["spectral_threshold"].rsplit("SELECT row, col", 1)[0] + """, m AS (SELECT row, col, CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 2 AS h, CASE WHEN hi = 0 THEN 0 ELSE 255 * dd / hi END AS s, hi AS v FROM k),
+f AS (SELECT *, h BETWEEN 35 AND 85 AND s >= 40 AND v >= 40 AS forest FROM m)
+SELECT row, col, forest, NOT forest AND h BETWEEN 25 AND 75 AND s BETWEEN 20 AND 120 AND v BETWEEN 60 AND 200 AS grass FROM f""")
+def vegetation_classes(spark, d):
+    c = layer(spark, d, "raster").selectExpr("row", "col", "b2 % 256 AS r", "cast(floor(other) % 256 AS double) AS g", "cast((row * 7 + col) % 256 AS double) AS b")
+    forest, grass = r.vegetation(*r.spectral_class(F.col("r"), F.col("g"), F.col("b")))
+    return c.select("row", "col", forest.alias("forest"), grass.alias("grass"))
+
+
+LONLAT = "SELECT fid, x0 / 10 - 50 AS x0, y0 / 20 - 20 AS y0, x1 / 10 - 50 AS x1, y1 / 20 - 20 AS y1"
+TILE_X = "greatest(least(floor(({lon} + 180) / 360 * 4096), 4095), 0)::BIGINT"
+TILE_Y = "greatest(least(floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * 4096), 4095), 0)::BIGINT"
+
+
+def lonlat_boxes(spark, d):
+    return layer(spark, d, "boxes").selectExpr("fid", "x0 / 10 - 50 AS x0", "y0 / 20 - 20 AS y0", "x1 / 10 - 50 AS x1", "y1 / 20 - 20 AS y1")
+
+
+@query("tiles_of_boxes", cte("boxes") + f", b AS ({LONLAT} FROM boxes), t AS (SELECT fid, {TILE_Y.format(lat='y1')} AS t, {TILE_Y.format(lat='y0')} AS b, unnest(range({TILE_X.format(lon='x0')}, {TILE_X.format(lon='x1')} + 1)) AS x FROM b) SELECT fid, x, unnest(range(t, b + 1)) AS y FROM t")
+def tiles_of_boxes(spark, d):
+    return r.tiles_of_boxes(lonlat_boxes(spark, d), "fid", 12)
+
+
+@query("tile_bounds", cte("boxes") + """, t AS (SELECT fid, fid * 7 % 4096 AS x, fid * 13 % 4096 AS y FROM boxes)
+SELECT fid, round(x / 4096 * 360 - 180, 9) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 4096)))), 9) AS south, round((x + 1) / 4096 * 360 - 180, 9) AS east, round(degrees(atan(sinh(pi() * (1 - 2 * y / 4096)))), 9) AS north FROM t""")
+def tile_bounds(spark, d):
+    sides = r.tile_bounds(12, F.col("fid") * 7 % 4096, F.col("fid") * 13 % 4096)
+    return layer(spark, d, "boxes").select("fid", *[F.round(s, 9).alias(n) for s, n in zip(sides, ("west", "south", "east", "north"))])
+
+
+@query("max_zoom", cte("boxes") + " SELECT fid, CASE WHEN (x1 - x0) / 2e7 * 111000 >= 40075016.686::DOUBLE / (256 * 4194304) THEN 20 ELSE 14 END AS zoom FROM boxes")
+def max_zoom(spark, d):
+    return layer(spark, d, "boxes").select("fid", r.max_zoom((F.col("x1") - F.col("x0")) / 2e7).alias("zoom"))
+
+
 NEAR = "EXISTS (SELECT 1 FROM mask n WHERE n.v = {v} AND n.row BETWEEN m.row - {k} AND m.row + {k} AND n.col BETWEEN m.col - {k} AND m.col + {k} AND (n.row - m.row) ** 2 + (n.col - m.col) ** 2 <= {k} * {k})"
 query("dilate", cte("mask") + f" SELECT row, col, CASE WHEN v = 1 OR {NEAR.format(v=1, k=2)} THEN 1 ELSE 0 END AS v FROM mask m")(lambda spark, d: r.dilate(mask(spark, d), 2))
 query("erode", cte("mask") + f" SELECT row, col, CASE WHEN v = 0 OR {NEAR.format(v=0, k=1)} THEN 0 ELSE 1 END AS v FROM mask m")(lambda spark, d: r.erode(mask(spark, d), 1))
@@ -208,6 +271,12 @@ def cut_samples(spark, d):
     return r.cut_samples(m, 20, 16, *r.extent(m), 120, 25)
 
 
+@query("tiles_with_data", WIN.replace("mask", "mask") + " SELECT w_row, w_col, count(*) AS cells FROM p GROUP BY ALL HAVING max(value) <> 0 ORDER BY w_row, w_col LIMIT 40")
+def tiles_with_data(spark, d):
+    m = mask(spark, d).withColumnRenamed("v", "value")
+    return r.tiles_with_data(m, 20, 16, *r.extent(m), 40)
+
+
 def probabilities(spark, d):
     m = mask(spark, d)
     cells = r.window_cells(m, 20, 16, *r.extent(m)).withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(3))))
@@ -279,9 +348,16 @@ def object_stats(spark, d):
 
 
 query("remove_small")(lambda spark, d: regions.filter_regions(mask(spark, d), 5, 500))
-query("open_mask")(lambda spark, d: r.open_mask(mask(spark, d), 1))
-query("close_mask")(lambda spark, d: r.close_mask(mask(spark, d), 1))
-query("gaussian_smooth")(lambda spark, d: r.gaussian_smooth(m := mask(spark, d), 1.5, 0.5, *r.extent(m)))
+ERODED = "SELECT row, col, CASE WHEN v = 0 OR " + NEAR.format(v=0, k=1) + " THEN 0 ELSE 1 END AS v FROM mask m"
+DILATED = "SELECT row, col, CASE WHEN v = 1 OR " + NEAR.format(v=1, k=1) + " THEN 1 ELSE 0 END AS v FROM mask m"
+query("open_mask", cte("mask") + f", first AS ({ERODED}) " + DILATED.replace("FROM mask", "FROM first"))(lambda spark, d: r.open_mask(mask(spark, d), 1))
+query("close_mask", cte("mask") + f", first AS ({DILATED}) " + ERODED.replace("FROM mask", "FROM first"))(lambda spark, d: r.close_mask(mask(spark, d), 1))
+MIRROR = "s.{a} = CASE WHEN m.{a} + k < 0 THEN -(m.{a} + k) - 1 WHEN m.{a} + k >= e.{n} THEN 2 * e.{n} - 1 - (m.{a} + k) ELSE m.{a} + k END"
+query("gaussian_smooth", cte("mask") + f""", e AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM mask), t AS (SELECT k, exp(-0.5::DOUBLE * (k / 1.5::DOUBLE) ** 2) AS g FROM range(-6, 7) x(k)),
+n AS (SELECT k, g / (SELECT sum(g) FROM t) AS g FROM t),
+a AS (SELECT m.row, m.col, sum(g * s.v) AS v FROM mask m CROSS JOIN n CROSS JOIN e JOIN mask s ON s.col = m.col AND {MIRROR.format(a="row", n="h")} GROUP BY m.row, m.col),
+b AS (SELECT m.row, m.col, sum(g * s.v) AS v FROM mask m CROSS JOIN n CROSS JOIN e JOIN a s ON s.row = m.row AND {MIRROR.format(a="col", n="w")} GROUP BY m.row, m.col)
+SELECT row, col, CASE WHEN v > 0.5 THEN 1 ELSE 0 END AS v FROM b""")(lambda spark, d: r.gaussian_smooth(m := mask(spark, d), 1.5, 0.5, *r.extent(m)))
 query("mask_pipeline")(lambda spark, d: regions.mask_pipeline(m := mask(spark, d), *r.extent(m)))
 
 

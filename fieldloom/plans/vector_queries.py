@@ -78,6 +78,65 @@ def select_within(spark, d):
     return v.select_by_location(layer(spark, d, "boxes"), layer(spark, d, "zones").where("n_regionkey in (1, 2)"), "within", "fid", 50.0).select("fid")
 
 
+@query("select_within_union", cte("boxes") + """, b AS (SELECT x0 - 12 AS x0, y0 - 12 AS y0, x1 + 12 AS x1, y1 + 12 AS y1 FROM boxes WHERE p_brand < 'Brand#35'), p AS (SELECT a.fid, (a.x1 - a.x0) * (a.y1 - a.y0) AS area,
+  greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1 FROM boxes a JOIN b ON a.p_brand >= 'Brand#35' AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+xs AS (SELECT fid, x AS lo, lead(x) OVER (PARTITION BY fid ORDER BY x) AS hi FROM (SELECT fid, x0 AS x FROM p UNION SELECT fid, x1 FROM p)),
+ys AS (SELECT fid, y AS lo, lead(y) OVER (PARTITION BY fid ORDER BY y) AS hi FROM (SELECT fid, y0 AS y FROM p UNION SELECT fid, y1 FROM p)),
+c AS (SELECT fid, sum((xs.hi - xs.lo) * (ys.hi - ys.lo)) AS covered FROM xs JOIN ys USING (fid)
+  WHERE EXISTS (SELECT 1 FROM p WHERE p.fid = xs.fid AND p.x0 <= xs.lo AND xs.hi <= p.x1 AND p.y0 <= ys.lo AND ys.hi <= p.y1) GROUP BY fid)
+SELECT DISTINCT fid FROM c JOIN p USING (fid) WHERE covered >= area * (1 - 1e-9)""")
+def select_within_union(spark, d):
+    boxes = layer(spark, d, "boxes")
+    wide = boxes.where("p_brand < 'Brand#35'").selectExpr("x0 - 12 AS x0", "y0 - 12 AS y0", "x1 + 12 AS x1", "y1 + 12 AS y1")
+    return v.select_by_location(boxes.where("p_brand >= 'Brand#35'"), wide, "within", "fid", 50.0).select("fid")
+
+
+@query("select_overlaps", cte("boxes", "zones") + f""" SELECT a.fid FROM boxes a JOIN zones b ON b.n_regionkey IN (1, 2) AND {MEET}
+GROUP BY a.fid, a.x0, a.x1, a.y0, a.y1 HAVING sum({OVER}) > 0 AND sum({OVER}) < (a.x1 - a.x0) * (a.y1 - a.y0) * (1 - 1e-9)""")
+def select_overlaps(spark, d):
+    return v.select_by_location(layer(spark, d, "boxes"), layer(spark, d, "zones").where("n_regionkey in (1, 2)"), "overlaps", "fid", 50.0).select("fid")
+
+
+@query("select_touches", cte("boxes", "zones") + f""" SELECT a.fid FROM boxes a JOIN zones b ON b.n_regionkey IN (1, 2) AND {MEET} GROUP BY a.fid HAVING max({OVER}) = 0""")
+def select_touches(spark, d):
+    return v.select_by_location(layer(spark, d, "boxes"), layer(spark, d, "zones").where("n_regionkey in (1, 2)"), "touches", "fid", 50.0).select("fid")
+
+
+BOUNDS = ("min(x0) - 20 AS x0", "min(y0) - 20 AS y0", "max(x1) + 20 AS x1", "max(y1) + 20 AS y1")
+
+
+@query("select_contains", cte("boxes", "zones") + f""", a AS (SELECT p_brand, {", ".join(BOUNDS)} FROM boxes GROUP BY p_brand), b AS (SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM zones WHERE n_regionkey = 1)
+SELECT p_brand FROM a, b WHERE a.x0 <= b.x0 AND a.y0 <= b.y0 AND b.x1 <= a.x1 AND b.y1 <= a.y1""")
+def select_contains(spark, d):
+    brands = layer(spark, d, "boxes").groupBy("p_brand").agg(*[F.expr(b) for b in BOUNDS])
+    return v.select_by_location(brands, layer(spark, d, "zones").where("n_regionkey = 1"), "contains", "p_brand", 200.0).select("p_brand")
+
+
+def _box_join(predicate: str, condition: str) -> None:
+    @query(f"box_join_{predicate}", cte("boxes", "zones") + f" SELECT a.zid, b.fid FROM zones a JOIN boxes b ON {condition}")
+    def box_join(spark, d):
+        zones, boxes = layer(spark, d, "zones"), layer(spark, d, "boxes")
+        pairs = v.box_join(boxes, zones, 50.0, predicate) if predicate == "within" else v.box_join(zones, boxes, 50.0, predicate)
+        one, two = ("b_zid", "a_fid") if predicate == "within" else ("a_zid", "b_fid")
+        return pairs.select(F.col(one).alias("zid"), F.col(two).alias("fid"))
+
+
+_HOLDS = "a.x0 <= b.x0 AND b.x1 <= a.x1 AND a.y0 <= b.y0 AND b.y1 <= a.y1"
+for _predicate, _condition in (("intersects", MEET), ("contains", _HOLDS), ("within", _HOLDS)):
+    _box_join(_predicate, _condition)
+
+
+@query("points_in_holed_boxes", cte("points", "boxes") + f""" SELECT b.fid, p.pid FROM boxes b JOIN points p ON {IN_BOX}
+AND NOT (p.x > (2 * b.x0 + b.x1) / 3 AND p.x < (b.x0 + 2 * b.x1) / 3 AND p.y > (2 * b.y0 + b.y1) / 3 AND p.y < (b.y0 + 2 * b.y1) / 3)""")
+def points_in_holed_boxes(spark, d):
+    boxes = layer(spark, d, "boxes")
+    third = {"x0": "(2 * x0 + x1) / 3", "y0": "(2 * y0 + y1) / 3", "x1": "(x0 + 2 * x1) / 3", "y1": "(y0 + 2 * y1) / 3"}
+    holes = boxes.select("fid", *[F.expr(e).alias(n) for n, e in third.items()]).select("fid", g.box_ring().alias("hole"))
+    holed = boxes.withColumn("shell", g.box_ring()).join(holes, "fid").withColumn("rings", F.array("shell", "hole"))
+    pairs = v.spatial_join(holed, layer(spark, d, "points"), 25.0)
+    return pairs.where(g.contains_with_holes(F.col("a_rings"), F.col("b_x"), F.col("b_y"))).select(F.col("a_fid").alias("fid"), F.col("b_pid").alias("pid"))
+
+
 @query("extent_rule", cte("boxes") + """ SELECT fid, x0 >= 100 AND x1 <= 600 AND y0 >= 100 AND y1 <= 600 AS inside,
 round(100 * greatest(least(x1, 600) - greatest(x0, 100), 0) * greatest(least(y1, 600) - greatest(y0, 100), 0) / ((x1 - x0) * (y1 - y0)), 1) AS share FROM boxes""")
 def extent_rule(spark, d):
@@ -159,6 +218,28 @@ def dissolve(spark, d):
     return v.dissolve(layer(spark, d, "boxes"), "p_brand", "fid", 1.0)
 
 
+@query("dissolve_first", cte("boxes") + CELLS + """ SELECT p_brand, first, parts, p_type, area FROM (SELECT p_brand, min(fid) AS first, count(*) AS parts, arg_min(p_type, fid) AS p_type FROM boxes GROUP BY ALL)
+LEFT JOIN (SELECT p_brand, count(*)::DOUBLE AS area FROM (SELECT DISTINCT p_brand, row, col FROM cells) GROUP BY ALL) USING (p_brand)""")
+def dissolve_first(spark, d):
+    return v.dissolve(layer(spark, d, "boxes"), "p_brand", "fid", 1.0, ("p_type",))
+
+
+@query("line_crossings", cte("boxes") + """, l AS (SELECT fid, x0 AS ax, CASE WHEN fid % 2 = 0 THEN y0 ELSE y1 END AS ay, x1 AS bx, CASE WHEN fid % 2 = 0 THEN y1 ELSE y0 END AS by FROM boxes),
+s AS (SELECT a.fid AS id_1, b.fid AS id_2, (a.bx - a.ax) * (b.ay - a.ay) - (a.by - a.ay) * (b.ax - a.ax) AS s1, (a.bx - a.ax) * (b.by - a.ay) - (a.by - a.ay) * (b.bx - a.ax) AS s2,
+  (b.bx - b.ax) * (a.ay - b.ay) - (b.by - b.ay) * (a.ax - b.ax) AS s3, (b.bx - b.ax) * (a.by - b.ay) - (b.by - b.ay) * (a.bx - b.ax) AS s4 FROM l a JOIN l b ON a.fid < b.fid)
+SELECT id_1, id_2 FROM s WHERE s1 * s2 < 0 AND s3 * s4 < 0""")
+def line_crossings(spark, d):
+    lines = layer(spark, d, "boxes").selectExpr("fid", "x0", "if(fid % 2 = 0, y0, y1) AS y0", "x1", "if(fid % 2 = 0, y1, y0) AS y1")
+    return v.line_crossings(lines, "fid", 25.0)
+
+
+@query("geographic_area", cte("boxes") + """, b AS (SELECT fid, x0 / 10 - 50 AS x0, y0 / 20 - 20 AS y0, x1 / 10 - 50 AS x1, y1 / 20 - 20 AS y1 FROM boxes)
+SELECT fid, round((x1 - x0) * 20037508.342789244::DOUBLE / 180 * (ln(tan((90 + y1) * pi() / 360)) - ln(tan((90 + y0) * pi() / 360))) * 20037508.342789244::DOUBLE / pi() * 1e-6::DOUBLE, 3) AS sq_km FROM b""")
+def geographic_area(spark, d):
+    boxes = layer(spark, d, "boxes").selectExpr("fid", "x0 / 10 - 50 AS x0", "y0 / 20 - 20 AS y0", "x1 / 10 - 50 AS x1", "y1 / 20 - 20 AS y1")
+    return boxes.select("fid", F.round(g.geographic_area(g.box_ring(), "sq_km"), 3).alias("sq_km"))
+
+
 @query("flatten_overlaps", cte("boxes") + CELLS + """, k AS (SELECT row, col, arg_max(fid, (a, -fid)) AS fid FROM cells GROUP BY ALL), n AS (SELECT fid, count(*)::DOUBLE AS kept FROM k GROUP BY ALL)
 SELECT fid, count(*)::DOUBLE AS before, coalesce(any_value(kept), 0) AS kept, any_value(kept) IS NULL AS covered FROM cells LEFT JOIN n USING (fid) GROUP BY fid""")
 def flatten_overlaps(spark, d):

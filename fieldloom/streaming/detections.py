@@ -115,15 +115,36 @@ def dedupe_saves(df: DataFrame, gap: int = SAVE_GAP) -> DataFrame:
     return slim.groupBy("camera", "track_id").applyInPandas(run, slim.schema)
 
 
-def event_clips(df: DataFrame, seconds: int = 10) -> DataFrame:
-    """Clips of a camera's frames with detections: runs of frames without a gap, split after ``seconds``."""
-    frames = df.select("camera", "frame", "ts").distinct()
+def event_clips(df: DataFrame, seconds: float = 10) -> DataFrame:
+    """Clips of a camera's frames with detections: (camera, run, clip, first, last, frames).
+
+    A frame without detections ends a clip. So does the first frame more than ``seconds`` after the clip's first one;
+    it still belongs to the clip, and the next frame begins another, at any frame rate. A run of frames without a gap is
+    held by one task (16 bytes a frame).
+    """
+    frames = df.groupBy("camera", "frame").agg(F.min("ts").alias("ts"))
     w = W.partitionBy("camera").orderBy("frame")
     new = F.when(F.col("frame") - F.lag("frame").over(w) == 1, 0).otherwise(1)
-    runs = frames.withColumn("run", F.sum(new).over(w))
-    began = F.min("ts").over(W.partitionBy("camera", "run"))
-    clip = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(began)) / (seconds + 2)).cast("long")
-    return runs.withColumn("clip", clip).groupBy("camera", "run", "clip").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("frames"))
+    runs = frames.select("camera", "frame", F.unix_micros("ts").alias("at"), F.sum(new).over(w).alias("run"))
+
+    def cut_run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame")
+        frame, at = rows["frame"].to_numpy(), np.maximum.accumulate(rows["at"].to_numpy())
+        begins, ends = [0], []
+        while True:
+            ends.append(min(int(np.searchsorted(at, at[begins[-1]] + int(seconds * 1_000_000), "right")), len(at) - 1))
+            if ends[-1] + 1 >= len(at):
+                break
+            begins.append(ends[-1] + 1)
+        out = pd.DataFrame({"clip": range(len(begins)), "first": frame[begins], "last": frame[ends], "frames": np.array(ends) - np.array(begins) + 1})
+        out.insert(0, "run", rows["run"].iloc[0])
+        out.insert(0, "camera", rows["camera"].iloc[0])
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    return runs.groupBy("camera", "run").applyInPandas(
+        cut_run, f"camera {kinds['camera']}, run {kinds['run']}, clip long, first {kinds['frame']}, last {kinds['frame']}, frames long"
+    )
 
 
 def class_counts_by_window(df: DataFrame, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
