@@ -31,7 +31,7 @@ from fieldloom.llm.word_ids import KeptIds
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of a worker's tables. What is beyond them is computed again, with the same result.
 KEPT_UNITS = 1_000_000
-KEPT_ARCS = 400_000
+KEPT_ARCS = 200_000
 NEVER = 1 << 40
 CLOSED = -1
 ROOT = 0
@@ -295,7 +295,7 @@ def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
 
 
 def bpe_round_trip(
-    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", kept: int = KEPT_UNITS // 3
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", kept: int = KEPT_UNITS // 5
 ) -> DataFrame:
     """doc_id, ids (array<int>), text: the ids of every row and the text that they decode to, in one pass.
 

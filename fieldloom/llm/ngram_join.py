@@ -33,7 +33,7 @@ from fieldloom.llm.scan import U64, distinct, mix, shingles, slices, text_buffer
 from fieldloom.session import cut, shuffle_partitions
 
 #: Shingles that a task packs at a time (20 bytes each, and as much again while they are sorted).
-PACKED = 1_000_000
+PACKED = 600_000
 #: Shingles of a hash range on average, at most, where they outnumber the shuffle partitions' room.
 RANGE_SHINGLES = 8_000_000
 #: A shingle is common if this share of all rows hold it (so there are at most 100 times as many as a row has on average).

@@ -1,6 +1,6 @@
 """Vectorised scans of UTF-8 text columns inside tasks: words, hashes and shingles with numpy.
 
-Spark splits the table into Arrow batches; these helpers cut a batch into slices of a few MB, so that memory
+Spark splits the table into Arrow batches; these helpers cut a batch into slices of a MB, so that memory
 follows the slice (or one single text, where that is longer) and not the batch.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: White space of the contracts: space and \\t \\n \\v \\f \\r.
 SPACE = np.zeros(256, bool)
@@ -35,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
     have = _powers[base]
     while len(have) < n:
         have = np.concatenate([have, have * U64(pow(base, len(have), 2**64))])
-    _powers[base] = have if len(have) <= 8 * SLICE_BYTES else have[: 8 * SLICE_BYTES]
+    _powers[base] = have if len(have) <= 4 * SLICE_BYTES else have[: 4 * SLICE_BYTES].copy()
     return have[:n]
 
 

@@ -29,7 +29,7 @@ LOW, HIGH = -6, 14  # saved bytes are clipped to this range
 BINS = HIGH - LOW + 1
 PREAMBLE = bytes(range(128, 256))
 GRAM, CONTEXT = 6, 8  # bytes
-KEPT_WINDOWS = 1_000_000
+KEPT_WINDOWS = 300_000
 
 
 @dataclass(frozen=True)
@@ -55,10 +55,6 @@ class Model:
     prior: float
 
 
-def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return text_buffer(pc.utf8_lower(column))
-
-
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, byte after the last) of the words of texts, longer ones in pieces of LONGEST bytes."""
     row, _, start, stop = words(data, offsets, SPACE, CASED_VALUE)
@@ -94,10 +90,10 @@ class Saver:
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """One row of counts for each text; none for null and blank texts."""
-        data, offsets = lowered(column)
+        _, offsets = text_buffer(column)
         out = []
         for a, b in slices(offsets):
-            part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            part, ends = text_buffer(pc.utf8_lower(column.slice(a, b - a)))
             row, start, stop = windows(part, ends)
             raw = part.tobytes()
             names, first, again = np.unique(hashes(part, start, stop, CASED_VALUE), return_index=True, return_inverse=True)
