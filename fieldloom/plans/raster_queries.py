@@ -132,7 +132,8 @@ def resample_nearest(spark, d):
     return r.resample_scale(other, 1.5, *r.extent(other), "nearest")
 
 
-@query("align_raster_pair", cte("raster") + """, t AS (SELECT i AS trow, j AS tcol, (j + 0.5::DOUBLE) * 1.7 AS x, (i + 0.5::DOUBLE) * 1.7 AS y FROM range(20) a(i), range(20) b(j)),
+@query("align_raster_pair", cte("raster") + """, e AS (SELECT ceil((max(row) + 1) / 1.7::DOUBLE)::BIGINT AS h, ceil((max(col) + 1) / 1.7::DOUBLE)::BIGINT AS w FROM raster),
+t AS (SELECT i AS trow, j AS tcol, (j + 0.5::DOUBLE) * 1.7 AS x, (i + 0.5::DOUBLE) * 1.7 AS y FROM (SELECT unnest(range(h)) AS i FROM e), (SELECT unnest(range(w)) AS j FROM e)),
 f AS (SELECT trow, tcol, floor(x - 0.5)::BIGINT + dc AS col, floor(y - 0.5)::BIGINT + dr AS row, x - 0.5 AS u, y - 0.5 AS v FROM t, range(2) p(dc), range(2) q(dr)),
 w AS (SELECT *, (1 - abs(u - col)) * (1 - abs(v - row)) AS w FROM f)
 SELECT t.trow, t.tcol, round(sum(w * other) / sum(w), 6) AS value FROM t LEFT JOIN (SELECT w.*, other FROM w JOIN raster USING (row, col) WHERE w > 0 AND other IS NOT NULL) z USING (trow, tcol) GROUP BY ALL""")
