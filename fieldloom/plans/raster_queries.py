@@ -337,7 +337,7 @@ def keep_largest(spark, d):
     return regions.keep_largest(mask(spark, d))
 
 
-@query("fill_mask_holes", LABELS + ", o AS (SELECT DISTINCT root FROM cells JOIN labels USING (id) WHERE row IN (0, 99) OR col IN (0, 99)) SELECT row, col, CASE WHEN v = 1 THEN 1 WHEN root IN (SELECT root FROM o) THEN 0 ELSE 1 END AS v FROM cells JOIN labels USING (id)")
+@query("fill_mask_holes", LABELS + ", o AS (SELECT DISTINCT root FROM cells JOIN labels USING (id) WHERE row IN (0, (SELECT max(row) FROM cells)) OR col IN (0, (SELECT max(col) FROM cells))) SELECT row, col, CASE WHEN v = 1 THEN 1 WHEN root IN (SELECT root FROM o) THEN 0 ELSE 1 END AS v FROM cells JOIN labels USING (id)")
 def fill_mask_holes(spark, d):
     m = mask(spark, d)
     return regions.fill_mask_holes(m, *r.extent(m))
@@ -380,10 +380,10 @@ def blend_windows_hann(spark, d):
     return r.blend_windows(p, r.hann_weight(20)).select("row", "col", "class", F.round("prob", 6).alias("prob"))
 
 
-@query("reproject_raster", cte("raster") + """, e AS (SELECT 108.0::DOUBLE * 20037508.342789244 / 180 AS ax, ln(tan((90 + 34.0::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS ay,
-  109.0::DOUBLE * 20037508.342789244 / 180 AS bx, ln(tan((90 + 35.0::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS "by"),
+@query("reproject_raster", cte("raster") + """, n AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM raster), e AS (SELECT 108.0::DOUBLE * 20037508.342789244 / 180 AS ax, ln(tan((90 + 34.0::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS ay,
+  (108.0::DOUBLE + w * 0.01::DOUBLE) * 20037508.342789244 / 180 AS bx, ln(tan((90 + 34.0::DOUBLE + h * 0.01::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS "by" FROM n),
 t AS (SELECT i AS row, j AS col, (ax + (j + 0.5) * 2500) * 180 / 20037508.342789244 AS lon, degrees(2 * atan(exp((ay + (i + 0.5) * 2500) * pi() / 20037508.342789244)) - pi() / 2) AS lat
-  FROM e, range(60) a(i), range(60) b(j) WHERE i < ceil(("by" - ay) / 2500) AND j < ceil((bx - ax) / 2500))
+  FROM e, (SELECT unnest(range(ceil(("by" - ay) / 2500)::BIGINT)) AS i FROM e), (SELECT unnest(range(ceil((bx - ax) / 2500)::BIGINT)) AS j FROM e))
 SELECT t.row, t.col, other AS value FROM t LEFT JOIN raster s ON s.col = floor((lon - 108) / 0.01) AND s.row = floor((lat - 34) / 0.01)""")
 def reproject_raster(spark, d):
     b = band(spark, d, "other")

@@ -309,7 +309,7 @@ def buffer_points(spark, d):
     return b.select("sid", F.size("r").alias("n"), F.round(g.area(F.col("r")), 4).alias("area"))
 
 
-@query("spherical_measures", cte("points") + f", {LONLAT}, n AS (SELECT * FROM lonlat WHERE pid % 50 = 1) SELECT a.pid, round({HAV}, 2) AS metres FROM n a, (SELECT 108.5::DOUBLE AS lon, 34.5::DOUBLE AS lat) b")
+@query("spherical_measures", cte("points") + f", {LONLAT} SELECT a.pid, round({HAV}, 2) AS metres FROM lonlat a, (SELECT 108.5::DOUBLE AS lon, 34.5::DOUBLE AS lat) b")
 def spherical_measures(spark, d):
     line = F.array(g.point(F.col("lon"), F.col("lat")), g.point(F.lit(108.5), F.lit(34.5)))
     return lonlat(spark, d).select("pid", F.round(g.haversine_length(line), 2).alias("metres"))
