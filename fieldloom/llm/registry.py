@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11
+from fieldloom.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13
 
-MODULES = [op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11]
+MODULES = [op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13]
 
 
 def queries() -> dict:
