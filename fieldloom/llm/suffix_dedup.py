@@ -499,7 +499,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = whole.where("doc_id is not null").select("doc", "digest", second).groupBy("digest", "second").agg(F.min("doc").alias("doc"))
     small = first.select("doc", "digest").distinct().join(marks, ["doc", "digest"], "left").withColumn("first", F.lit(True)).hint("shuffle_hash")
     joined = whole.join(small, ["doc", "digest"], "left")
-    runs = joined.where("at is not null").select("doc", "digest", "text", "at").mapInArrow(_sort_runs(parts, hot, s), _RUN)
+    # with doc_id, so that both joins of the texts read one shuffle
+    runs = joined.where("at is not null").select("doc_id", "doc", "digest", "text", "at").mapInArrow(_sort_runs(parts, hot, s), _RUN)
     spans = runs.groupBy("part").applyInArrow(_merge(s), _SPANS)
     spans = spans.groupBy("doc", "digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     final = small.select("doc", "digest", "first").join(spans, ["doc", "digest"], "left").hint("shuffle_hash")
