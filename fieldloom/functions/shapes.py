@@ -88,65 +88,121 @@ def rectangle_direction(ring: Column) -> Column:
     return F.pandas_udf(run, "double")(ring)
 
 
-def snap_edges(ring: Column, within: float = 10.0) -> Column:
-    """Edges near 0, 45, 90 or 135 degrees turn about their centres; new vertices are their neighbours' crossings.
+def crosses_itself(points: np.ndarray) -> bool:
+    """Whether an open list of vertices, read as a ring, isn't simple: edges that meet elsewhere than neighbours at their vertex.
 
-    Parallel neighbours meet at the midpoint of their ends. The ring stays as it is when less than half of its area or
-    fewer than four vertices are left.
+    Edges are compared with those only that begin before they end on the x axis, in blocks: long rings cost by what overlaps.
     """
-
-    def one(ring):
-        if ring is None:
-            return None
-        p = _points(ring)[:-1]
-        if len(p) < 4:
-            return ring
-        q = np.roll(p, -1, 0)
-        d, mid = q - p, (p + q) / 2
-        angle = np.degrees(np.arctan2(d[:, 1], d[:, 0])) % 180
-        targets = np.array([0.0, 45.0, 90.0, 135.0, 180.0])
-        nearest = targets[np.abs(angle[:, None] - targets).argmin(1)]
-        turned = np.where(np.abs(angle - nearest) <= within, nearest, angle)
-        a = np.radians(turned)
-        unit = np.stack([np.cos(a), np.sin(a)], 1)
-        new = []
-        for i in range(len(p)):
-            j = i - 1
-            det = unit[j, 0] * unit[i, 1] - unit[j, 1] * unit[i, 0]
-            if abs(det) < 1e-9:
-                new.append((p[i] + p[i]) / 2)
-                continue
-            t = ((mid[i] - mid[j])[0] * unit[i, 1] - (mid[i] - mid[j])[1] * unit[i, 0]) / det
-            new.append(mid[j] + t * unit[j])
-        new = np.array(new)
-        size = lambda v: abs(np.sum(v[:, 0] * np.roll(v[:, 1], -1) - v[:, 1] * np.roll(v[:, 0], -1))) / 2
-        return ring if size(new) < size(p) / 2 else _rows(np.vstack([new, new[:1]]))
+    n = len(points)
+    if n < 3:
+        return True
+    a, b = points, np.roll(points, -1, 0)
+    if (a == b).all(1).any():
+        keep = ~(a == b).all(1)
+        return crosses_itself(points[keep]) if keep.sum() >= 3 else True
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(low[:, 0], kind="stable")
+    until = np.searchsorted(low[order, 0], high[order, 0], "right")
+    side = lambda p, q, r: (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0])
+    at = 0
+    while at < n:
+        end = at + max(1, int(np.searchsorted(np.cumsum(until[at:] - np.arange(at, n)), 1 << 20)))
+        size = until[at:end] - np.arange(at, min(end, n)) - 1
+        i = np.repeat(np.arange(at, min(end, n)), size)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        i, j = order[i], order[j]
+        meet = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+        i, j = i[meet], j[meet]
+        first, second = side(a[i], b[i], a[j]), side(a[i], b[i], b[j])
+        third, fourth = side(a[j], b[j], a[i]), side(a[j], b[j], b[i])
+        touch = (np.sign(first) * np.sign(second) <= 0) & (np.sign(third) * np.sign(fourth) <= 0)
+        after, before = (i + 1) % n == j, (j + 1) % n == i
+        flat = (first == 0) & (second == 0)
+        back = ((a[i] - b[i]) * (b[j] - a[j])).sum(1) > 0  # neighbours on one line that turn back
+        if (touch & ~after & ~before).any() or (touch & (after | before) & flat & back).any():
+            return True
+        at = end
+    return False
+
+
+def _size(points: np.ndarray) -> float:
+    x, y = points.T
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+
+
+def _each_ring(ring: Column, change) -> Column:
+    """``change`` from open vertices to open vertices, or None where the ring stays as it is; null rings stay null."""
+
+    def one(rows):
+        if rows is None or len(rows) < 5:
+            return rows
+        new = change(_points(rows)[:-1])
+        return rows if new is None else _rows(np.vstack([new, new[:1]]))
 
     return F.pandas_udf(lambda rings: rings.map(one), RING)(ring)
 
 
+MAIN_DIRECTIONS = (0.0, 45.0, 90.0, 135.0)
+
+
+def snapped(points: np.ndarray, within: float, directions: tuple[float, ...] = MAIN_DIRECTIONS) -> np.ndarray | None:
+    """Vertices after edges near a main direction have turned about their middles; None where the ring should stay."""
+    to = np.roll(points, -1, 0)
+    along, half = to - points, np.hypot(*(to - points).T)[:, None] / 2
+    middle = (points + to) / 2
+    angle = np.degrees(np.arctan2(along[:, 1], along[:, 0])) % 180
+    apart = np.abs(angle[:, None] - np.array(directions))
+    apart = np.minimum(apart, 180 - apart)
+    target = np.radians(np.array(directions)[apart.argmin(1)])
+    unit = np.stack([np.cos(target), np.sin(target)], 1)
+    unit *= np.where((unit * along).sum(1) < 0, -1.0, 1.0)[:, None]
+    turn = (apart.min(1) <= within)[:, None]
+    unit = np.where(turn, unit, along / np.maximum(2 * half, 1e-300))
+    begin, end = np.where(turn, middle - half * unit, points), np.where(turn, middle + half * unit, to)
+    last, last_end = np.roll(unit, 1, 0), np.roll(end, 1, 0)
+    cross = last[:, 0] * unit[:, 1] - last[:, 1] * unit[:, 0]
+    gap = begin - last_end
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = (gap[:, 0] * unit[:, 1] - gap[:, 1] * unit[:, 0]) / cross
+        new = np.where((np.abs(cross) < 1e-12)[:, None], (last_end + begin) / 2, last_end + step[:, None] * last)
+    return None if _size(new) < _size(points) / 2 or crosses_itself(new) else new
+
+
+def snap_edges(ring: Column, within: float = 10.0) -> Column:
+    """Edges near 0, 45, 90 or 135 degrees turn about their middles, keeping their lengths; new vertices are the crossings
+    of neighbouring edges' lines, or the midpoint between their ends where the two are parallel.
+
+    The ring stays as it is when it has fewer than four vertices, and when the new one crosses itself or has less than
+    half of the area.
+    """
+    return _each_ring(ring, lambda points: snapped(points, within))
+
+
+def squared(points: np.ndarray, low: float, high: float) -> np.ndarray | None:
+    """Vertices after corners between two angles have been made square; None where the ring should stay."""
+    if crosses_itself(points):
+        return None
+    back, ahead = np.roll(points, 1, 0) - points, np.roll(points, -1, 0) - points
+    reach = np.hypot(*ahead.T)
+    back, to = back / (np.hypot(*back.T)[:, None] + 1e-10), ahead / (reach[:, None] + 1e-10)
+    cosine = (back * to).sum(1)
+    angle = np.degrees(np.arccos(np.clip(cosine, -1, 1)))
+    square = to - cosine[:, None] * back
+    square /= np.hypot(*square.T)[:, None] + 1e-10
+    moves = (low < angle) & (angle < high)
+    new = points.copy()
+    moved, target = np.roll(moves, 1), np.roll(points + square * reach[:, None], 1, 0)
+    new[moved] = target[moved]
+    return None if crosses_itself(new) or _size(new) == 0 else new
+
+
 def square_corners(ring: Column, low: float = 70.0, high: float = 110.0) -> Column:
-    """Corners between two angles become right angles by moving the next vertex along its distance."""
-
-    def one(ring):
-        if ring is None:
-            return None
-        p = _points(ring)[:-1]
-        n = len(p)
-        if n < 4:
-            return ring
-        for i in range(n):
-            a, b = p[i - 1] - p[i], p[(i + 1) % n] - p[i]
-            la, lb = np.hypot(*a), np.hypot(*b)
-            if not la or not lb:
-                continue
-            angle = np.degrees(np.arccos(np.clip(a @ b / (la * lb), -1, 1)))
-            if low <= angle <= high:
-                right = np.array([-a[1], a[0]]) / la
-                p[(i + 1) % n] = p[i] + right * (lb if right @ b >= 0 else -lb)
-        return _rows(np.vstack([p, p[:1]]))
+    """Corners between two angles (both exclusive) become right angles: the next vertex moves along its distance.
 
-    return F.pandas_udf(lambda rings: rings.map(one), RING)(ring)
+    All angles are those of the given ring, whatever moves. Rings that cross themselves stay as they are, as do those that
+    would.
+    """
+    return _each_ring(ring, lambda points: squared(points, low, high))
 
 
 def chunk_text(text: Column, size: int = 500, overlap: int = 50) -> Column:

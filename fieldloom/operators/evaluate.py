@@ -97,11 +97,9 @@ def change_stats(df: DataFrame, changed: Column, probability: Column) -> DataFra
 
 def issue_report(issues: DataFrame) -> DataFrame:
     """Counts by type, by severity and in all, with the share that can be fixed."""
-    issues.createOrReplaceTempView("_issues")
-    return issues.sparkSession.sql(
-        "SELECT error_type, severity, count(*) AS n, avg(CASE WHEN auto_fixable THEN 1.0D ELSE 0.0D END) AS fixable FROM _issues"
-        " GROUP BY GROUPING SETS ((error_type), (severity), ())"
-    )
+    kinds, severities = F.col("error_type"), F.col("severity")
+    fixable = F.avg(F.when(F.col("auto_fixable"), 1.0).otherwise(0.0)).alias("fixable")
+    return issues.groupingSets([[kinds], [severities], []], kinds, severities).agg(F.count("*").alias("n"), fixable)
 
 
 def best_run(runs: DataFrame, preferred: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality checks, repair and regularisation of polygon layers: fid, parts array<struct<shell, holes>> and box columns.
 
-Exact overlaps are computed on boxes (x0, y0, x1, y1); general polygons are judged by their boxes as candidates only.
+Overlaps are exact for polygons of any form; box columns (x0, y0, x1, y1) serve the suppression of overlapping features.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as g
 from fieldloom.functions.shapes import RING, simplify, snap_edges, square_corners
 from fieldloom.operators.grid import box_area
-from fieldloom.operators.vector import greedy_suppress, overlap_pairs
+from fieldloom.operators.polygons import overlap_pairs_exact, with_bounds
+from fieldloom.operators.vector import greedy_suppress
 from fieldloom.session import cut
 
 ISSUE = ["fid", "fid_2", "error_type", "severity", "auto_fixable", "overlap_ratio"]
@@ -55,8 +56,7 @@ def check_layer(layer: DataFrame, cell: float, overlap: float = 0.05, sliver: fl
             F.lit(fixable).alias("auto_fixable"), F.lit(None).cast("double").alias("overlap_ratio"),
         )
 
-    valid = layer.where(~(F.col("crossing") | broken) & (F.size("parts") == 1))
-    pairs = overlap_pairs(valid.select("fid", "x0", "y0", "x1", "y1"), "fid", cell, overlap)
+    pairs = overlap_pairs_exact(with_bounds(layer.select("fid", "parts")), "fid", cell, overlap)  # of valid features
     over = pairs.select(
         F.col("fid_1").alias("fid"), F.col("fid_2"), F.lit("Overlap").alias("error_type"), F.lit("HIGH").alias("severity"),
         F.lit(True).alias("auto_fixable"), "overlap_ratio",

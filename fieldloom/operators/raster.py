@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.operators.selection import percentiles
+
 #: Functions that a raster expression may call.
 ALLOWED = frozenset("abs sqrt exp ln log10 power least greatest sin cos tan atan coalesce isnull when case if floor ceil round nullif".split())
 
@@ -45,12 +47,13 @@ def reclassify(pixels: DataFrame, rules: list[tuple[float, float, float]], nodat
 
 
 def raster_statistics(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """min, max, mean, population deviation, median and counts of valid, all and missing cells."""
-    return pixels.groupBy(*keys).agg(
+    """min, max, mean, population deviation, median (exact, by selection) and counts of valid, all and missing cells."""
+    whole = pixels.groupBy(*keys).agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.expr("percentile(value, 0.5)").alias("median"), F.count("value").alias("valid"), F.count("*").alias("total"),
-        (F.count("*") - F.count("value")).alias("missing"),
+        F.count("value").alias("valid"), F.count("*").alias("total"), (F.count("*") - F.count("value")).alias("missing"),
     )
+    median = percentiles(pixels, keys, "value", [0.5]).select(*keys, F.col("value").alias("median"))
+    return whole.join(median, keys, "left").select(*keys, "min", "max", "mean", "std", "median", "valid", "total", "missing")
 
 
 def histogram(pixels: DataFrame, bins: int) -> DataFrame:
@@ -184,9 +187,10 @@ def difference_map(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def percentile_stretch(pixels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Values between two percentiles to 0..255, cut off outside."""
-    ends = pixels.agg(F.expr(f"percentile(value, array({low}, {high}))").alias("e")).first()["e"]
-    if not ends:
+    found = percentiles(pixels, [], "value", [low, high]).orderBy("share").collect()  # two rows
+    if not found:
         return pixels
+    ends = [found[0]["value"], found[-1]["value"]]
     width = ends[1] - ends[0] or 1.0
     return pixels.withColumn("value", F.greatest(F.least((F.col("value") - ends[0]) / width, F.lit(1.0)), F.lit(0.0)) * 255)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.operators.grid import as_box, box_area, candidate_pairs, cell_of, cells, overlap_area
+from fieldloom.operators.overlay import union_areas
 from fieldloom.session import cut
 
 EARTH = 6371008.8
@@ -40,21 +41,6 @@ def select_by_attribute(df: DataFrame, field: str, op: str, value) -> DataFrame:
 RELATIONS = ("intersects", "contains", "within", "touches", "overlaps", "crosses")
 
 
-def _covered(pieces: Column) -> Column:
-    """Area of the union of an array of boxes: elementary cells between their borders that some box covers."""
-
-    def spans(low: str, high: str) -> Column:
-        at = F.array_sort(F.array_distinct(F.concat(F.transform(pieces, lambda p: p[low]), F.transform(pieces, lambda p: p[high]))))
-        return F.arrays_zip(F.slice(at, F.lit(1), F.size(at) - 1).alias("lo"), F.slice(at, F.lit(2), F.size(at) - 1).alias("hi"))
-
-    def column(x: Column) -> Column:
-        over = F.filter(pieces, lambda p: (p["x0"] <= x["lo"]) & (x["hi"] <= p["x1"]))
-        held = F.filter(spans("y0", "y1"), lambda y: F.exists(over, lambda p: (p["y0"] <= y["lo"]) & (y["hi"] <= p["y1"])))
-        return (x["hi"] - x["lo"]) * F.aggregate(held, F.lit(0.0), lambda total, y: total + y["hi"] - y["lo"])
-
-    return F.aggregate(F.transform(spans("x0", "x1"), column), F.lit(0.0), lambda total, v: total + v)
-
-
 def select_by_location(target: DataFrame, by: DataFrame, relation: str, key: str, cell: float) -> DataFrame:
     """Boxes in a relation to the union of ``by``, which may overlap itself.
 
@@ -67,14 +53,14 @@ def select_by_location(target: DataFrame, by: DataFrame, relation: str, key: str
         return target.where("false")
     if relation not in RELATIONS or relation == "intersects":
         return target.join(pairs.select(F.col(f"a_{key}").alias(key)).distinct(), key, "left_semi")
-    piece = F.struct(F.greatest("a_x0", "b_x0").alias("x0"), F.greatest("a_y0", "b_y0").alias("y0"), F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1"))
-    met = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(
-        F.collect_set(F.when(overlap_area() > 0, piece)).alias("pieces"), F.first(box_area("a_")).alias("a")
+    pieces = pairs.where(overlap_area() > 0).select(
+        F.col(f"a_{key}").alias(key), F.greatest("a_x0", "b_x0").alias("x0"), F.greatest("a_y0", "b_y0").alias("y0"), F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1")
     )
-    met = met.withColumn("covered", F.when(F.size("pieces") > 0, _covered(F.col("pieces"))).otherwise(0.0))
+    met = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(F.first(box_area("a_")).alias("a"))
+    met = met.join(union_areas(pieces, [key], cell).withColumnRenamed("area", "covered"), key, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     inside = F.col("covered") >= F.col("a") * (1 - 1e-9)
     if relation == "within":
-        return target.join(met.where(inside & (F.size("pieces") > 0)).select(key), key, "left_semi")
+        return target.join(met.where(inside & (F.col("covered") > 0)).select(key), key, "left_semi")
     if relation == "touches":
         return target.join(met.where("covered = 0").select(key), key, "left_semi")
     bounds = by.agg(F.min("x0").alias("bx0"), F.min("y0").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1"))
@@ -153,36 +139,60 @@ def containing_areas(areas: DataFrame, points: DataFrame, key: str, cell: float)
     return areas.join(held, key, "left_semi")
 
 
+def _pyramid(points: DataFrame, cell: float, levels: int) -> list[DataFrame]:
+    """Occupied cells by level, each twice as long as the level's before: (cx, cy), the bounds of its points and one of them."""
+    some = [F.min("ox").alias("lox"), F.max("ox").alias("hix"), F.min("oy").alias("loy"), F.max("oy").alias("hiy"), F.min(F.struct("ox", "oy")).alias("one")]
+    out = [cut(points.groupBy("cx", "cy").agg(*some))]
+    for _ in range(levels):
+        up = out[-1].groupBy(F.floor(F.col("cx") / 2).alias("cx"), F.floor(F.col("cy") / 2).alias("cy"))
+        out.append(cut(up.agg(F.min("lox").alias("lox"), F.max("hix").alias("hix"), F.min("loy").alias("loy"), F.max("hiy").alias("hiy"), F.min("one").alias("one"))))
+    return out
+
+
+def _descend(rest: DataFrame, points: DataFrame, key: str, cell: float, levels: int) -> DataFrame:
+    """(key, distance) of rows far from all points: from the coarsest cells down, only cells that may hold the nearest stay.
+
+    A cell stays while its bounds are no farther than the nearest known point of the row's other cells.
+    """
+    pyramid = _pyramid(points, cell, levels)
+    w = W.partitionBy(key)
+    gap = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
+    near = F.sqrt(gap("x", "lox", "hix") ** 2 + gap("y", "loy", "hiy") ** 2)
+    known = F.sqrt((F.col("x") - F.col("one.ox")) ** 2 + (F.col("y") - F.col("one.oy")) ** 2)
+    kept = None
+    for depth, cells_ in enumerate(reversed(pyramid)):
+        inner = cells_.withColumns({"px": F.floor(F.col("cx") / 2), "py": F.floor(F.col("cy") / 2)})
+        small = depth < 6  # at most four cells at the top, and four times as many at each level
+        inner = F.broadcast(inner) if small else inner
+        joined = rest.join(inner, how="cross") if kept is None else kept.join(inner, ["px", "py"])
+        scored = joined.withColumn("best", F.min(known).over(w)).where(near <= F.col("best") * (1 + 1e-12))
+        kept = scored.select(key, "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"))
+        kept = cut(kept) if depth % 6 == 5 else kept
+    found = kept.join(points.withColumnsRenamed({"cx": "px", "cy": "py"}), ["px", "py"])
+    return found.groupBy(key).agg(F.min(F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2)).alias("distance"))
+
+
 def nearest_distance(left: DataFrame, right: DataFrame, key: str, cell: float) -> DataFrame:
-    """(key, distance) to the nearest point of ``right``: rings of cells grow until a hit can't be beaten.
+    """(key, distance) to the nearest point of ``right``; null for rows of ``left`` without coordinates, and if there is none.
 
-    Points of ``left`` without coordinates get null. The rounds are bounded by the extent of the data in cells, and
-    double the ring each time; only rows without a sure hit go on.
+    Rows with a point in their own or a neighbouring cell that is no farther than a cell are settled by one join; the others
+    go down a pyramid of occupied cells, whose height follows the extent of the data in cells.
     """
-    other = right.select(F.col("x").alias("ox"), F.col("y").alias("oy")).where("ox is not null and oy is not null")
+    other = right.select(F.col("x").alias("ox"), F.col("y").alias("oy")).where("ox is not null and oy is not null").distinct()
     other = cut(other.withColumns({"cx": cell_of(F.col("ox"), cell), "cy": cell_of(F.col("oy"), cell)}))
-    span = other.select(F.col("ox").alias("x"), F.col("oy").alias("y")).union(left.select("x", "y")).agg(
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("s"), F.count("*").alias("n")
-    ).first()
-    done, rest, ring = [left.where("x is null or y is null").select(key, F.lit(None).cast("double").alias("distance"))], left.where("x is not null and y is not null").select(key, "x", "y"), 1
     if other.isEmpty():
         return left.select(key, F.lit(None).cast("double").alias("distance"))
-    while True:
-        size = cell * ring
-        grown = other.withColumns({"gx": cell_of(F.col("ox"), size), "gy": cell_of(F.col("oy"), size)})
-        around = [F.lit(d) for d in (-1, 0, 1)]
-        near = rest.withColumn("gx", F.explode(F.transform(F.array(*around), lambda d: d + cell_of(F.col("x"), size)))).withColumn(
-            "gy", F.explode(F.transform(F.array(*around), lambda d: d + cell_of(F.col("y"), size)))
-        )
-        d = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2)
-        hits = near.join(grown, ["gx", "gy"]).groupBy(key).agg(F.min(d).alias("distance")).where(F.col("distance") <= size)
-        hits = cut(hits)
-        done.append(hits)
-        rest = cut(rest.join(hits, key, "left_anti"))
-        if rest.isEmpty() or size > 2 * (span["s"] or 0) + cell:
-            break
-        ring *= 2
-    return reduce(DataFrame.unionByName, done)
+    lost = left.where("x is null or y is null").select(key, F.lit(None).cast("double").alias("distance"))
+    placed = left.where("x is not null and y is not null").select(key, "x", "y")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = placed.withColumn("o", F.explode(around)).select(key, "x", "y", (cell_of(F.col("x"), cell) + F.col("o.i")).alias("cx"), (cell_of(F.col("y"), cell) + F.col("o.j")).alias("cy"))
+    d = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2)
+    hits = cut(near.join(other, ["cx", "cy"]).groupBy(key).agg(F.min(d).alias("distance")).where(F.col("distance") <= cell))
+    rest = cut(placed.join(hits, key, "left_anti"))
+    if not rest.isEmpty():
+        span = other.agg(F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"))).first()[0]
+        hits = hits.unionByName(_descend(rest, other, key, cell, int(span + 1).bit_length()))
+    return lost.unionByName(hits)
 
 
 def overlap_pairs(boxes: DataFrame, key: str, cell: float, more_than: float) -> DataFrame:

@@ -9,6 +9,7 @@ from fieldloom.operators import evaluate as e
 from fieldloom.functions.shapes import chunk_text
 from fieldloom.sources.fixtures import cte, layer
 from fieldloom.streaming import detections as t
+from fieldloom.streaming import stateful
 from fieldloom.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -238,11 +239,18 @@ query("keyframes", cte("frames") + " SELECT a.camera, a.frame, round(avg(abs(a.g
 query("stream_health", cte("stream_log") + """ SELECT stream_id, (floor(epoch(max(ts))) - floor(epoch(min(ts))))::BIGINT AS uptime, sum(bytes)::BIGINT AS bytes, count(*) FILTER (WHERE kind = 'error') AS errors, count(*) FILTER (WHERE kind = 'reconnect') AS reconnects FROM stream_log GROUP BY ROLLUP (stream_id)""")(
     lambda spark, d: t.stream_health(layer(spark, d, "stream_log"))
 )
-query("dwell_alerts")(lambda spark, d: t.dwell_alerts(det(spark, d)))
+query("dwell_alerts", DET + """, p AS (SELECT *, sec - first(sec) OVER w AS seconds, sum(step) OVER w AS path FROM (SELECT *, coalesce(sqrt((x1 - lag(x1) OVER w) ** 2 / 1920.0::DOUBLE ** 2 + (y1 - lag(y1) OVER w) ** 2 / 1080.0::DOUBLE ** 2), 0) AS step FROM det WINDOW w AS (PARTITION BY camera, track_id ORDER BY frame)) WINDOW w AS (PARTITION BY camera, track_id ORDER BY frame)),
+q AS MATERIALIZED (SELECT * FROM p WHERE path <= 0.05::DOUBLE AND seconds >= CASE class_name WHEN 'person' THEN 30 WHEN 'other' THEN 9999 ELSE 600 END),
+a AS (WITH RECURSIVE u AS (SELECT camera, track_id, min(sec) AS sec FROM q GROUP BY ALL UNION ALL SELECT u.camera, u.track_id, (SELECT min(q.sec) FROM q WHERE q.camera = u.camera AND q.track_id = u.track_id AND q.sec >= u.sec + 60) FROM u WHERE u.sec IS NOT NULL) SELECT * FROM u WHERE sec IS NOT NULL)
+SELECT camera, track_id, frame, class_name, seconds::DOUBLE AS seconds, round(path, 6) AS path FROM a JOIN q USING (camera, track_id, sec)""")(lambda spark, d: t.dwell_alerts(det(spark, d)).select("camera", "track_id", ((F.unix_timestamp("ts") - 1704067200) / 2).cast("long").alias("frame"), "class_name", "seconds", F.round("path", 6).alias("path")))
 query("dedupe_saves", DET + """, p AS (SELECT camera, track_id, frame, row_number() OVER (PARTITION BY camera, track_id ORDER BY frame) AS k FROM det WHERE class_name = 'person'),
 s AS (WITH RECURSIVE w AS (SELECT camera, track_id, frame FROM p WHERE k = 1 UNION ALL SELECT w.camera, w.track_id, (SELECT min(p.frame) FROM p WHERE p.camera = w.camera AND p.track_id = w.track_id AND p.frame >= w.frame + 30) FROM w WHERE w.frame IS NOT NULL) SELECT * FROM w WHERE frame IS NOT NULL)
 SELECT camera, track_id, frame FROM s""")(lambda spark, d: t.dedupe_saves(det(spark, d).where("class_name = 'person'")))
-query("track_objects")(lambda spark, d: t.track_objects(det(spark, d)))
+query("track_objects")(lambda spark, d: stateful.track_objects(det(spark, d)))  # tests hold it against one tracker for each camera
+query("error_growth", cte("stream_log") + """, c AS (SELECT stream_id, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) FILTER (WHERE kind = 'error') AS errors FROM stream_log GROUP BY ALL)
+SELECT stream_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, errors, before FROM (SELECT *, lag(errors) OVER (PARTITION BY stream_id ORDER BY start) AS before FROM c) WHERE errors > before""")(
+    lambda spark, d: stateful.error_growth(layer(spark, d, "stream_log").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+)
 
 # Retrieval.
 

@@ -31,10 +31,21 @@ def rings(spark, d):
 
 
 OVER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+
+
+def _over(a: tuple[str, ...], b: tuple[str, ...]) -> str:
+    return f"greatest(least({a[2]}, {b[2]}) - greatest({a[0]}, {b[0]}), 0) * greatest(least({a[3]}, {b[3]}) - greatest({a[1]}, {b[1]}), 0)"
+
+
+_A, _B = ([f"{t}.{c}" for c in ("x0", "y0", "x1", "y1")] for t in "ab")
+_HA, _HB = ([f"{t}.{c}" for c in ("hx0", "hy0", "hx1", "hy1")] for t in "ab")
+#: Shared area of planted polygons: less the middles of holed ones, twice for two of two parts.
+SHARED = f"({OVER} * (1 + (a.k = 5 AND b.k = 5)::INT) - (a.k = 4)::INT * {_over(_HA, _B)} - (b.k = 4)::INT * {_over(_A, _HB)} + (a.k = 4 AND b.k = 4)::INT * {_over(_HA, _HB)})"
 BASE = cte("boxes") + ", k AS (SELECT *, fid % 97 AS k, (x1 - x0) * (y1 - y0) AS a FROM boxes)"
 
 
-@query("check_layer", BASE + f""", ok AS (SELECT * FROM k WHERE k NOT IN (1, 2, 5)), o AS (SELECT a.fid, b.fid AS fid_2, {OVER} / least(a.a, b.a) AS r FROM ok a JOIN ok b ON a.fid < b.fid)
+@query("check_layer", BASE + f""", ok AS (SELECT *, x0 + (x1 - x0) * 0.4::DOUBLE AS hx0, y0 + (y1 - y0) * 0.4::DOUBLE AS hy0, x0 + (x1 - x0) * 0.6::DOUBLE AS hx1, y0 + (y1 - y0) * 0.6::DOUBLE AS hy1, a * CASE k WHEN 4 THEN 0.96 WHEN 5 THEN 2 ELSE 1 END AS size FROM k WHERE k NOT IN (1, 2)),
+o AS (SELECT a.fid, b.fid AS fid_2, {SHARED} / least(a.size, b.size) AS r FROM ok a JOIN ok b ON a.fid < b.fid AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
 SELECT fid, NULL::BIGINT AS fid_2, 'Invalid' AS error_type, 'HIGH' AS severity, true AS auto_fixable, NULL::DOUBLE AS overlap_ratio FROM k WHERE k IN (1, 2)
 UNION ALL SELECT fid, NULL, 'Self-Intersection', 'HIGH', true, NULL FROM k WHERE k = 1
 UNION ALL SELECT fid, NULL, 'Hole', 'MEDIUM', true, NULL FROM k WHERE k = 4

@@ -263,7 +263,10 @@ for _scheme in ("full", "last", "clamp", "ragged"):
     _windows(_scheme)
 
 
-WIN = cte("raster", "mask") + ", p AS (SELECT row, col, v AS value, row * 100 + col AS e, a.w AS w_row, b.w AS w_col FROM mask, range(6) a(w), range(6) b(w) WHERE row BETWEEN a.w * 16 AND a.w * 16 + 19 AND col BETWEEN b.w * 16 AND b.w * 16 + 19)"
+#: Window numbers up to the one that reaches the last row or column.
+WIN = cte("raster", "mask") + """, last AS (SELECT ceil(greatest(max(row) - 19, 0) / 16)::BIGINT AS r, ceil(greatest(max(col) - 19, 0) / 16)::BIGINT AS c FROM mask),
+p AS (SELECT row, col, v AS value, row * 100 + col AS e, a.w AS w_row, b.w AS w_col FROM mask, last, LATERAL (SELECT unnest(range(greatest(ceil((row - 19) / 16), 0)::BIGINT, least(row // 16, r) + 1)) AS w) a,
+  LATERAL (SELECT unnest(range(greatest(ceil((col - 19) / 16), 0)::BIGINT, least(col // 16, c) + 1)) AS w) b)"""
 
 
 @query("cut_samples", WIN + " SELECT w_row, w_col, sum(value)::BIGINT AS total FROM p GROUP BY ALL HAVING sum(value) >= 120 ORDER BY w_row, w_col LIMIT 25")
@@ -285,7 +288,7 @@ def probabilities(spark, d):
     return cells.select("w_row", "w_col", "row", "col", "class", prob.alias("prob"))
 
 
-PROB = WIN + ", q AS (SELECT row, col, c AS class, ((e * 31 + c * 17 + w_row * 7 + w_col * 3) % 100) / 100.0::DOUBLE AS prob, w_row, w_col FROM p, range(4) k(c) WHERE row < 100)"
+PROB = WIN + ", q AS (SELECT row, col, c AS class, ((e * 31 + c * 17 + w_row * 7 + w_col * 3) % 100) / 100.0::DOUBLE AS prob, w_row, w_col FROM p, range(4) k(c))"
 
 
 @query("blend_windows", PROB + " SELECT row, col, class::INT AS class, round(avg(prob), 6) AS prob FROM q GROUP BY ALL")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans import analytics_queries, quality_queries, raster_queries, vector_queries
+from fieldloom.plans import analytics_queries, polygon_queries, quality_queries, raster_queries, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with QUERIES (name -> query) and ORACLES (name -> DuckDB SQL).
-MODULES = [vector_queries, raster_queries, analytics_queries, quality_queries]
+MODULES = [vector_queries, polygon_queries, raster_queries, analytics_queries, quality_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.operators.polygons import as_parts, with_bounds
 from fieldloom.session import table
 
 #: layer -> (table, columns as (expression, name), filter); {d} is integer division.
@@ -143,3 +144,30 @@ def cte(*names: str) -> str:
         source, columns, where = LAYERS[name]
         parts.append(f'{name} AS (SELECT {", ".join(f"""{e.format(d="//")} AS {n}""" for e, n in columns)} FROM {source} WHERE {where})')
     return "WITH " + ", ".join(parts)
+
+
+#: Corners of a slanted quadrilateral in a box: turned by its id's angle, three of them pushed in.
+_TURN = "radians(cast((fid * 37) % 90 as double) + 0.3)"
+_LOCAL = [
+    ("-(x1 - x0) / 2", "-(y1 - y0) / 2"),
+    ("(x1 - x0) / 2", "(-(y1 - y0) / 2 + (fid % 3) * (y1 - y0) / 12)"),
+    ("((x1 - x0) / 2 - (fid % 5) * (x1 - x0) / 20)", "(y1 - y0) / 2"),
+    ("-(x1 - x0) / 2", "((y1 - y0) / 2 - (fid % 4) * (y1 - y0) / 16)"),
+]
+QUAD_CORNERS = [(f"((x0 + x1) / 2 + {u} * cos({_TURN}) - {v} * sin({_TURN}))", f"((y0 + y1) / 2 + {u} * sin({_TURN}) + {v} * cos({_TURN}))") for u, v in _LOCAL]
+
+
+def _as_polygons(df: DataFrame, corners: list[tuple[str, str]], key: str) -> DataFrame:
+    points = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in [*corners, corners[0]])
+    ring = df.selectExpr(key, f"array({points}) AS ring")
+    return with_bounds(ring.withColumn("parts", as_parts(ring["ring"])))
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted quadrilaterals: fid, ring, parts and box columns."""
+    return _as_polygons(layer(spark, sf_dir, "boxes"), QUAD_CORNERS, "fid")
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower left half of each zone: zid, ring, parts and box columns."""
+    return _as_polygons(layer(spark, sf_dir, "zones"), [("x0", "y0"), ("x1", "y0"), ("x0", "y1")], "zid")

@@ -77,8 +77,27 @@ def _dwell_rows(dwell: Dwell, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def dwell_alerts(df: DataFrame) -> DataFrame:
-    """Alerts of tracks that stay still for their class's time, at most one a minute and track."""
-    return df.groupBy("camera", "track_id").applyInPandas(lambda key, rows: _dwell_rows(Dwell(), key, rows), DWELL_SCHEMA)
+    """Alerts of tracks that stay still for their class's time, at most one a minute and track.
+
+    A path only grows, so a window tells the rows that may alert; only these meet for the rule of one a minute.
+    """
+    w = W.partitionBy("camera", "track_id").orderBy("ts", "frame")
+    x, y = (F.col("x1") + F.col("x2")) / 2 / 1920, (F.col("y1") + F.col("y2")) / 2 / 1080
+    step = F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w))
+    moved = df.withColumns({"step": F.coalesce(step, F.lit(0.0)), "at": F.unix_micros("ts")})
+    so_far = moved.withColumns({"path": F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)), "seconds": (F.col("at") - F.first("at").over(w)) / 1e6})
+    limit = F.coalesce(F.create_map(*[F.lit(x) for pair in DWELL_SECONDS.items() for x in pair])[F.col("class_name")], F.lit(UNKNOWN_SECONDS))
+    still = so_far.where((F.col("seconds") >= limit) & (F.col("path") <= STILL)).select("camera", "track_id", "frame", "ts", "at", "class_name", "seconds", "path")
+
+    def spaced(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "frame"])
+        at, keep, k = rows["at"].to_numpy(), [], 0
+        while k < len(at):
+            keep.append(k)
+            k = max(k + 1, int(np.searchsorted(at, at[k] + ALERT_GAP * 1_000_000)))
+        return rows.iloc[keep][["camera", "track_id", "ts", "class_name", "seconds", "path"]]
+
+    return still.groupBy("camera", "track_id").applyInPandas(spaced, DWELL_SCHEMA)
 
 
 def dwell_alerts_stream(df: DataFrame, late: str = "1 minute", silent_ms: int = 3_600_000) -> DataFrame:
@@ -217,25 +236,6 @@ class Tracker:
         return out
 
 
-def track_objects(df: DataFrame, per_frame: int = 4) -> DataFrame:
-    """camera, frame, n, x, y, object: ids for detections without tracks; ``per_frame`` ranks make one frame."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(), []
-        rows = rows.sort_values("rank")
-        for frame, part in rows.groupby("frame", sort=True):
-            cells = list(zip(part["x"].astype(int), part["y"].astype(int), part["class_name"]))
-            for (x, y, _), n, got in zip(cells, part["rank"], tracker.frame(cells)):
-                out.append((part["camera"].iloc[0], frame, n, x, y, -1 if got is None else got))
-        return pd.DataFrame(out, columns=["camera", "frame", "n", "x", "y", "object"])
-
-    slim = df.select(
-        "camera", F.floor(F.col("frame") / per_frame).alias("frame"), F.col("frame").alias("rank"), "class_name",
-        F.floor((F.col("x1") + F.col("x2")) / 2).alias("x"), F.floor((F.col("y1") + F.col("y2")) / 2).alias("y"),
-    )
-    return slim.groupBy("camera").applyInPandas(run, "camera long, frame long, n long, x long, y long, object long")
-
-
 def keyframes(frames: DataFrame, above: float = 30.0) -> DataFrame:
     """Frames whose mean absolute change against the frame before exceeds ``above``; never the first."""
     before = frames.select("camera", (F.col("frame") + 1).alias("frame"), "row", "col", F.col("grey").alias("was"))
@@ -252,11 +252,9 @@ def fps_30(df: DataFrame) -> DataFrame:
 
 def stream_health(log: DataFrame) -> DataFrame:
     """Per stream and in all (null): uptime in seconds, bytes, errors, reconnections."""
-    log.createOrReplaceTempView("_log")
-    return log.sparkSession.sql(
-        "SELECT stream_id, unix_timestamp(max(cast(ts AS timestamp))) - unix_timestamp(min(cast(ts AS timestamp))) AS uptime, sum(bytes) AS bytes,"
-        " sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN kind = 'reconnect' THEN 1 ELSE 0 END) AS reconnects"
-        " FROM _log GROUP BY ROLLUP (stream_id)"
+    ts, count = F.col("ts").cast("timestamp"), lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
+    return log.rollup("stream_id").agg(
+        (F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))).alias("uptime"), F.sum("bytes").alias("bytes"), count("error").alias("errors"), count("reconnect").alias("reconnects")
     )
 
 
