@@ -33,6 +33,7 @@ BLOCKS = BITS // BLOCK_BITS
 #: Items in one index, about 8 KB an item in a task, and indexes that one pass over the documents searches.
 INDEX_ITEMS, PASS_INDEXES = 4096, 8
 _FILTER_BITS = 22
+_SPAN = 1 << 14
 
 
 def nearby(bits: int) -> np.ndarray:
@@ -58,6 +59,48 @@ def simhash(groups: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > groups.shape[1], axis=1).view(U64)
 
 
+def window_starts(at: np.ndarray, row: np.ndarray, first: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Starts of all windows of ``length`` words that lie in a row and hold a shingle at one of ``at`` (ascending)."""
+    own = row[at]
+    low, high = np.maximum(at - length + size, first[own]), np.minimum(at, first[own + 1] - length)
+    low, high = low[low <= high], high[low <= high]
+    low[1:] = np.maximum(low[1:], high[:-1] + 1)  # intervals rise with the shingles: what they share counts once
+    return gather(np.arange(len(row)), low, np.maximum(high - low + 1, 0)) if len(low) else low
+
+
+def window_prints(value: np.ndarray, windows: np.ndarray, places: int) -> np.ndarray:
+    """``simhash`` of the ``places`` hashes from each of the windows on (ascending), by running counts of every bit.
+
+    Memory follows the part of the row that the windows cover, not windows times places.
+    """
+    out = np.zeros((len(windows), BITS // 64), U64)
+    k = 0
+    while k < len(windows):
+        end = int(np.searchsorted(windows, windows[k] + _SPAN))
+        some = windows[k:end]
+        covered = int(some[-1] - some[0]) + places
+        if len(some) * places <= covered or len(some) == 1 and places <= _SPAN:
+            out[k:end] = simhash(value[some[:, None] + np.arange(places)])
+        else:
+            ones, at = np.zeros((len(some), BITS), np.int32), int(some[0])
+            running = np.zeros(BITS, np.int32)
+            begin, until = some - at, some - at + places
+            for p in range(0, covered, _SPAN):  # counts before each place, a stretch at a time
+                part = value[at + p : at + min(p + _SPAN, covered)]
+                wide = np.stack([part, mix(part ^ U64(0x2545F4914F6CDD1D))], axis=1)
+                before = np.zeros((len(part) + 1, BITS), np.int32)
+                np.cumsum(np.unpackbits(wide.view(np.uint8), axis=1), axis=0, out=before[1:], dtype=np.int32)
+                before += running
+                here = (until > p) & (until <= p + len(part))
+                ones[here] += before[until[here] - p]
+                here = (begin > p) & (begin <= p + len(part))
+                ones[here] -= before[begin[here] - p]
+                running = before[-1]
+            out[k:end] = np.packbits(ones * 2 > places, axis=1).view(U64)
+        k = end
+    return out
+
+
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -162,10 +205,7 @@ class Items:
             while len(at):
                 for length in np.unique(lengths[lo]):
                     p = at[lengths[lo] == length]
-                    window = (p[:, None] - np.arange(length - size + 1)).ravel()
-                    own = np.repeat(row[p], length - size + 1)
-                    window = window[(window >= first[own]) & (window + length <= first[own + 1])]
-                    starts.setdefault(int(length), []).append(np.unique(window))
+                    starts.setdefault(int(length), []).append(window_starts(p, row, first, int(length), size))
                     docs = np.unique(row[p])
                     n = first[docs + 1] - first[docs]
                     near = (n < length) & (n - size + 1 >= threshold * (length - size + 1))
@@ -178,23 +218,17 @@ class Items:
             if length not in self.indexes:
                 self.indexes[length] = BlockIndex(prints)
             windows = np.unique(np.concatenate(parts))
-            step = max(1, (1 << 24) // (BITS * length))
             size = min(SHINGLE, length)
-            places = np.arange(length - size + 1)
-            for k in range(0, len(windows), step):
-                some = windows[k : k + step]
-                found = self.indexes[length].within(simhash(following[size][some[:, None] + places]))
-                own_bag, last = None, -1
-                for w, i, d in found.tolist():
-                    if w != last:
-                        own_bag, last = bag(word[some[w] : some[w] + length]), w
-                    score = similarity(own_bag, self.bags[numbers[i]])
-                    if score >= threshold:
-                        doc = int(row[some[w]])
-                        new = (score, int(some[w] - first[doc]), int(d), int(length))
-                        known = best.get((doc, int(numbers[i])))
-                        if known is None or (-new[0], new[1]) < (-known[0], known[1]):
-                            best[doc, int(numbers[i])] = new
+            places = length - size + 1
+            for k in range(0, len(windows), _SPAN):
+                some = windows[k : k + _SPAN]
+                found = self.indexes[length].within(window_prints(following[size], some, places))
+                owner, item = row[some[found[:, 0]]], found[:, 1]
+                order = np.lexsort((found[:, 0], item, owner))
+                edges = np.flatnonzero(np.r_[True, (owner[order][1:] != owner[order][:-1]) | (item[order][1:] != item[order][:-1])]) if len(found) else order
+                for group in np.split(order, edges[1:]) if len(found) else ():
+                    doc, number = int(owner[group[0]]), int(numbers[item[group[0]]])
+                    self._verify(best, (doc, number), word, following[size], some[found[group, 0]], found[group, 2], first[doc], length, places, threshold)
         for length, docs in short.items():
             numbers, prints = self.by_length[length]
             for doc in docs:
@@ -206,6 +240,27 @@ class Items:
                         best[doc, int(numbers[i])] = (score, 0, int(distance[i]), len(own))
         return best
 
+    def _verify(self, best, pair, word, following, windows, distances, first, length, places, threshold) -> None:
+        """The best of the windows of a document that are near an item, the likeliest first.
+
+        A window shares no more than its shingles that the item has: the rest needn't be looked at once that is too few.
+        """
+        own_bag = self.bags[pair[1]]
+        low = int(windows[0])
+        hits = np.zeros(int(windows[-1]) - low + places + 1, np.int64)
+        np.cumsum(np.isin(following[low : int(windows[-1]) + places], own_bag[0]), out=hits[1:])
+        most = hits[windows - low + places] - hits[windows - low]
+        bound = most / np.maximum(2 * places - most, 1)
+        for k in np.lexsort((windows, -bound)).tolist():
+            known = best.get(pair)
+            if bound[k] < threshold or (known is not None and bound[k] < known[0]):
+                break
+            score = similarity(bag(word[windows[k] : windows[k] + length]), own_bag)
+            if score >= threshold:
+                new = (score, int(windows[k] - first), int(distances[k]), int(length))
+                if known is None or (-new[0], new[1]) < (-known[0], known[1]):
+                    best[pair] = new
+
 
 def _passes(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[Items]]:
     """The benchmark in lists of at most PASS_INDEXES indexes of about INDEX_ITEMS items; the driver holds one list."""

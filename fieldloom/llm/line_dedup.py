@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.scan import free_names
 from fieldloom.session import cut, shuffle_partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -163,15 +164,13 @@ def keep_bitmaps(
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``_bitmap`` and ``_dropped`` (null where nothing goes), joined by id and text digest."""
-    keyed = docs.withColumn("_copy", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    marks = bitmaps.select(
-        F.col("doc").alias("_doc"), F.col("copy").alias("_digest"), F.col("bitmap").alias("_bitmap"), F.col("n_dropped").alias("_dropped")
-    )
-    return keyed.join(marks, (keyed[doc_id] == marks["_doc"]) & (keyed["_copy"] == marks["_digest"]), "left").drop(
-        "_copy", "_doc", "_digest"
-    )
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` with their bitmap and number of dropped lines (null where nothing goes), joined by id and text
+    digest, and the names of these two columns, which are none of ``docs``."""
+    doc, copy, digest, bitmap, dropped = free_names(docs.columns, "_doc", "_copy", "_digest", "_bitmap", "_dropped")
+    keyed = docs.withColumn(copy, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    marks = bitmaps.select(F.col("doc").alias(doc), F.col("copy").alias(digest), F.col("bitmap").alias(bitmap), F.col("n_dropped").alias(dropped))
+    return keyed.join(marks, (keyed[doc_id] == marks[doc]) & (keyed[copy] == marks[digest]), "left").drop(copy, doc, digest), bitmap, dropped
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> str:
@@ -184,19 +183,19 @@ def kept_text(text: str | None, bitmap: bytes | None) -> str:
 
 def with_kept_text(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; all other columns stay as they are."""
-    joined = apply_bitmaps(docs, bitmaps, doc_id, text)
+    joined, bitmap, _ = apply_bitmaps(docs, bitmaps, doc_id, text)
     schema = docs.schema
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column(text), batch.column("_bitmap")
+            texts, marks = batch.column(text), batch.column(bitmap)
             new = [
                 t if b is None else kept_text(t, b) for t, b in zip(texts.to_pylist(), marks.to_pylist())
             ]
             columns = [pa.array(new, pa.string()) if c == text else batch.column(c) for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in schema.names], "_bitmap").mapInArrow(rebuild, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in schema.names], bitmap).mapInArrow(rebuild, schema)
 
 
 def line_dedup_digests(
@@ -204,12 +203,12 @@ def line_dedup_digests(
 ) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row, from the bitmaps applied to the whole texts."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = apply_bitmaps(slim, keep_bitmaps(slim, "doc_id", "text", min_chars, min_docs))
+    marked, bitmap, dropped = apply_bitmaps(slim, keep_bitmaps(slim, "doc_id", "text", min_chars, min_docs))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, sums = [], []
-            for t, b in zip(batch.column("text"), batch.column("_bitmap")):
+            for t, b in zip(batch.column("text"), batch.column(bitmap)):
                 t = t.as_py() or ""
                 lines.append(t.count("\n") + 1)
                 sums.append(hashlib.sha256(kept_text(t, b.as_py()).encode()).hexdigest())
@@ -219,5 +218,5 @@ def line_dedup_digests(
             )
 
     return marked.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", "_bitmap", F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", bitmap, F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped")
     ).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -143,6 +143,17 @@ def shingles(row: np.ndarray, word: np.ndarray, size: int, short: bool = True) -
     return first[order], value[order]
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``taken`` has them (case doesn't tell columns apart)."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
 def distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, value) pairs, ordered by row and value."""
     order = np.lexsort((value, row))

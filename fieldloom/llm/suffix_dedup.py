@@ -40,7 +40,7 @@ _FACTORS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E37
 class Settings:
     span: int = 50  # bytes of a string that counts as a repetition
     gram: int = 24  # bytes of an anchor, 24 at most
-    chunk_bytes: int = 24 << 20  # text that a task gathers before it sorts a run
+    chunk_bytes: int = 10 << 20  # text that a task gathers before it sorts a run
     part_bytes: int = 16 << 20  # text for each bucket, on average
     hot: int = 8192  # texts that may hold a gram before its strings are sorted whole ...
     most_hot: int = 500_000  # ... or more, so that no more grams than these are hot (they are sent to all tasks)
