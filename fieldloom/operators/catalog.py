@@ -9,23 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-
-
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """One row a feature: fid, the given properties, geom_type, parts (rings of [x, y] arrays).
+from fieldloom.sources.geojson import read_geojson  # noqa: F401
 
-    ``path`` holds one feature a line, or whole feature collections; polygons become one-part multipolygons, points and
-    lines one-ring parts. ``properties`` is a DDL schema.
-    """
-    feature = f"struct<type:string,properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
-    schema = f"type string, features array<{feature}>, properties struct<{properties}>, geometry struct<type:string,coordinates:string>"
-    rows = spark.read.schema(schema).option("multiLine", False).json(path)
-    one = rows.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(F.array(F.struct("type", "properties", "geometry")))).alias("f"))
-    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    nested = F.when(kind == "MultiPolygon", text).when(kind.isin("Polygon", "MultiLineString"), F.concat(F.lit("["), text, F.lit("]")))
-    nested = nested.when(kind.isin("LineString", "MultiPoint"), F.concat(F.lit("[["), text, F.lit("]]"))).otherwise(F.concat(F.lit("[[["), text, F.lit("]]]")))
-    return one.select("f.properties.*", kind.alias("geom_type"), F.from_json(nested, "array<array<array<array<double>>>>").alias("parts"))
+POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
 def write_geojson(df: DataFrame, path: str, ring: str = "ring") -> None:
