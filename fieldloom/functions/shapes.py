@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +82,72 @@ def _rectangle_direction(points: np.ndarray) -> float:
     return float(best[1])
 
 
+def _map_vertices(ring: Column, change) -> Column:
+    """Rings whose vertices are changed all at once: ``change`` takes and gives arrays of x and y."""
+
+    @F.arrow_udf(RING)
+    def run(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        size = column.value_lengths().to_numpy(zero_copy_only=False)
+        empty = np.isnan(size.astype(float))
+        axes = dict(zip([f.name for f in flat.type], flat.flatten())) if len(flat) else {}
+        x, y = change(*(axes[c].to_numpy(zero_copy_only=False) for c in ("x", "y"))) if len(flat) else (np.zeros(0), np.zeros(0))
+        offsets = np.r_[0, np.cumsum(np.where(empty, 0, size))].astype(np.int32)
+        starts = pa.array(offsets, pa.int32(), mask=np.r_[empty, False]) if empty.any() else pa.array(offsets)
+        return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64())], ["x", "y"]))
+
+    return run(ring)
+
+
+def lonlat_of_utm(x: np.ndarray, y: np.ndarray, zone: int, south: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude of eastings and northings (WGS 84, inverse series to the sixth order)."""
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    ep, e1 = e2 / (1 - e2), (1 - np.sqrt(1 - e2)) / (1 + np.sqrt(1 - e2))
+    m = (y - (10_000_000 if south else 0)) / 0.9996
+    mu = m / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    foot = (
+        mu + (3 * e1 / 2 - 27 * e1**3 / 32) * np.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * np.sin(4 * mu)
+        + 151 * e1**3 / 96 * np.sin(6 * mu) + 1097 * e1**4 / 512 * np.sin(8 * mu)
+    )
+    c, t = ep * np.cos(foot) ** 2, np.tan(foot) ** 2
+    w = 1 - e2 * np.sin(foot) ** 2
+    n, r = a / np.sqrt(w), a * (1 - e2) / w**1.5
+    d = (x - 500_000) / (n * 0.9996)
+    lat = foot - n * np.tan(foot) / r * (
+        d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * ep) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t**2 - 252 * ep - 3 * c**2) * d**6 / 720
+    )
+    lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c**2 + 8 * ep + 24 * t**2) * d**5 / 120) / np.cos(foot)
+    return zone * 6 - 183 + np.degrees(lon), np.degrees(lat)
+
+
+def utm_of_lonlat(lon: np.ndarray, lat: np.ndarray, zone: int, south: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Eastings and northings in a zone (WGS 84, series to the sixth order)."""
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    ep = e2 / (1 - e2)
+    r = np.radians(lat)
+    n = a / np.sqrt(1 - e2 * np.sin(r) ** 2)
+    t, c, k = np.tan(r) ** 2, ep * np.cos(r) ** 2, np.cos(r) * np.radians(lon - (zone * 6 - 183))
+    m = a * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * r - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * np.sin(2 * r)
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * np.sin(4 * r) - 35 * e2**3 / 3072 * np.sin(6 * r)
+    )
+    x = 0.9996 * n * (k + (1 - t + c) * k**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep) * k**5 / 120) + 500_000
+    y = 0.9996 * (m + n * np.tan(r) * (k**2 / 2 + (5 - t + 9 * c + 4 * c**2) * k**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep) * k**6 / 720))
+    return x, y + (10_000_000 if south else 0)
+
+
+def into_utm(ring: Column, zone: int, south: bool = False) -> Column:
+    """Lon/lat rings in a UTM zone; northings of a layer in the south count from 10,000 km."""
+    return _map_vertices(ring, lambda x, y: utm_of_lonlat(x, y, zone, south))
+
+
+def from_utm(ring: Column, zone: int, south: bool = False) -> Column:
+    """Rings of a UTM zone in longitude and latitude."""
+    return _map_vertices(ring, lambda x, y: lonlat_of_utm(x, y, zone, south))
+
+
 def rectangle_direction(ring: Column) -> Column:
     def run(rings: pd.Series) -> pd.Series:
         return rings.map(lambda r: None if r is None else _rectangle_direction(_points(r))).astype(float)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.session import cut
 from fieldloom.sources.geojson import read_geojson  # noqa: F401
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -135,32 +136,138 @@ def _vector_blocks(vectors: DataFrame, rows: int, prefix: str) -> DataFrame:
     return slim.mapInArrow(pack, f"{prefix}ids binary, {prefix}matrix binary")
 
 
+def _nearest_of(batches, k: int):
+    """(query_id, vec_id, distance) of the ``k`` nearest vectors of each query in every pair of blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for ids, matrix, names, asked in zip(*(batch.column(c) for c in ("ids", "matrix", "q_ids", "q_matrix"))):
+            ids, names = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(names.as_buffer(), "<i8")
+            x, q = np.frombuffer(matrix.as_buffer(), "<f8").reshape(len(ids), -1), np.frombuffer(asked.as_buffer(), "<f8").reshape(len(names), -1)
+            n = min(k, len(ids))
+            rough = (q * q).sum(1)[:, None] - 2 * (q @ x.T) + (x * x).sum(1)[None]
+            slack = 1e-9 * ((q * q).sum(1)[:, None] + (x * x).sum(1).max(initial=0.0)) + 1e-300
+            last = np.partition(rough, n - 1, axis=1)[:, n - 1 : n]
+            row, col = np.nonzero(rough <= last + slack)  # every vector that may be among the nearest, measured anew
+            d = np.sqrt(((x[col] - q[row]) ** 2).sum(1))
+            order = np.lexsort((ids[col], d, row))
+            row, col, d = row[order], col[order], d[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+            yield pa.RecordBatch.from_arrays([pa.array(names[row[keep]]), pa.array(ids[col[keep]]), pa.array(d[keep])], ["query_id", "vec_id", "distance"])
+
+
+_NEAR = "query_id long, vec_id long, distance double"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = W.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+
 def top_k_similar(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, distance): nearest stored vectors of each query by Euclidean distance, exact.
 
     Blocks of the stated queries meet blocks of the vectors, each pair in one step; ties go to the smaller id. Queries
     with the same id and vector count once. Null ids and vectors take no part; all vectors have one length.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def near(batches):
-        for batch in batches:
-            for ids, matrix, names, asked in zip(*(batch.column(c) for c in ("ids", "matrix", "q_ids", "q_matrix"))):
-                ids, names = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(names.as_buffer(), "<i8")
-                x, q = np.frombuffer(matrix.as_buffer(), "<f8").reshape(len(ids), -1), np.frombuffer(asked.as_buffer(), "<f8").reshape(len(names), -1)
-                n = min(k, len(ids))
-                d = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-                best = np.stack([np.lexsort((ids, row))[:n] for row in d])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], ["query_id", "vec_id", "distance"]
-                )
-
     asked = _vector_blocks(queries.select("vec_id", "embedding").distinct(), block, "q_")
     pairs = _vector_blocks(vectors, 4 * block, "").join(asked, how="cross")  # blocks of a stated query set with blocks of all rows
-    found = pairs.mapInArrow(near, "query_id long, vec_id long, distance double")
-    w = W.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return _ranked(pairs.mapInArrow(lambda batches: _nearest_of(batches, k), _NEAR), k)
+
+
+class ProjectionIndex:
+    """Euclidean nearest neighbours by bucketed random projections: several tables, each of a few projections in a bucket.
+
+    Vectors that are near fall into one bucket of some table with a high chance; a query reads its buckets and those next
+    to them (one step of the projection that is nearest to a border, for each), and the union is measured exactly. ``recall`` of a
+    sample of queries against the exact search tells whether the widths suit the data; ``search`` answers queries whose
+    buckets hold too few candidates, or all if ``recall`` is below ``target``, by the exact search.
+    """
+
+    def __init__(self, vectors: DataFrame, width: float | None = None, tables: int = 8, projections: int = 3, seed: int = 7):
+        import numpy as np
+
+        self.vectors = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        first = self.vectors.select(F.size("embedding").alias("n")).first()
+        rng = np.random.default_rng(seed)
+        self.tables, self.projections, self.dim = tables, projections, first["n"] if first else 0
+        self.lines = rng.normal(size=(tables, projections, self.dim))
+        self.shift = rng.uniform(size=(tables, projections))
+        self.width = width or self._spread()
+        self.index = cut(self._keys(self.vectors, probes=0))
+
+    def _spread(self) -> float:
+        """A bucket's width: half of the standard deviation of a projection."""
+        if not self.dim:
+            return 1.0
+        dims = [F.stddev_pop(F.col("embedding")[d]) for d in range(self.dim)]
+        each = self.vectors.agg(*[x.alias(f"d{i}") for i, x in enumerate(dims)]).first()
+        return max(sum((v or 0.0) ** 2 for v in each) ** 0.5 / 2, 1e-9)
+
+    def _keys(self, df: DataFrame, probes: int) -> DataFrame:
+        """(vec_id, embedding, bucket) of each table, and of ``probes`` further buckets across the nearest borders."""
+        import numpy as np
+        import pyarrow as pa
+
+        lines, shift, width, dim = self.lines, self.shift, self.width, self.dim
+
+        def run(batches):
+            for batch in batches:
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+                for t in range(len(lines)):
+                    place = x @ lines[t].T / width + shift[t]
+                    cell = np.floor(place).astype(np.int64)
+                    found = [cell]
+                    inside = place - cell
+                    near = np.argsort(np.minimum(inside, 1 - inside), axis=1)
+                    for p in range(min(probes, lines.shape[1])):
+                        other, axis = cell.copy(), near[:, p]
+                        rows = np.arange(len(cell))
+                        other[rows, axis] += np.where(inside[rows, axis] < 0.5, -1, 1)
+                        found.append(other)
+                    for cells in found:
+                        key = np.full(len(cells), t, np.uint64)
+                        for column in cells.T:
+                            key = (key ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                            key ^= key >> np.uint64(29)
+                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64))], ["vec_id", "embedding", "bucket"])
+
+        return df.mapInArrow(run, "vec_id long, embedding array<double>, bucket long")
+
+    def candidates(self, queries: DataFrame, probes: int = 2) -> DataFrame:
+        """(query_id, q, vec_id, embedding): vectors in a query's buckets, each once."""
+        asked = self._keys(queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").distinct(), probes)
+        asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "bucket")
+        ids = asked.select("query_id", "bucket").join(self.index.select("vec_id", "bucket"), "bucket").select("query_id", "vec_id").distinct()
+        whole = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).dropDuplicates(["query_id"])
+        return ids.join(whole, "query_id").join(self.vectors, "vec_id")
+
+    def near(self, queries: DataFrame, k: int = 3, probes: int = 2) -> DataFrame:
+        """(query_id, rank, vec_id, distance) among the candidates only."""
+        apart = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+        return _ranked(self.candidates(queries, probes).select("query_id", "vec_id", apart.alias("distance")), k)
+
+    def recall(self, queries: DataFrame, k: int = 3, probes: int = 2) -> float:
+        """Share of the exact ``k`` nearest of the queries that the buckets hold."""
+        want = top_k_similar(self.vectors, queries, k)
+        got = self.near(queries, k, probes).select("query_id", "vec_id")
+        both = want.join(got.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).first()
+        return both["hits"] / both["n"] if both["n"] else 1.0
+
+    def search(self, queries: DataFrame, k: int = 3, probes: int = 2, target: float = 0.9, sample: int = 64) -> DataFrame:
+        """(query_id, rank, vec_id, distance, exact): the nearest by buckets, or exact where these don't do.
+
+        The recall of ``sample`` queries decides between the ways; queries with fewer than ``k`` candidates are always exact.
+        """
+        some = queries.orderBy(F.xxhash64("vec_id")).limit(sample)
+        if self.recall(some, k, probes) < target:
+            return top_k_similar(self.vectors, queries, k).withColumn("exact", F.lit(True))
+        found = cut(self.near(queries, k, probes))
+        enough = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("vec_id")
+        short = queries.join(enough, "vec_id", "left_anti")
+        fast = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").withColumn("exact", F.lit(False))
+        return fast.unionByName(top_k_similar(self.vectors, short, k).withColumn("exact", F.lit(True)))
 
 
 def chunk_fixed(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:

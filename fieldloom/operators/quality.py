@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as g
-from fieldloom.functions.shapes import RING, simplify, snap_edges, square_corners
+from fieldloom.functions.shapes import RING, from_utm, into_utm, rectangle_direction, simplify, snap_edges, square_corners
 from fieldloom.operators.grid import box_area
 from fieldloom.operators.polygons import overlap_pairs_exact, with_bounds
 from fieldloom.operators.vector import greedy_suppress
@@ -133,12 +133,55 @@ def regularize_layer(rings: DataFrame, tolerance: float = 0.5, min_area: float =
     return df.withColumn("ring", g.chaikin(F.col("ring"), smooth)) if smooth else df
 
 
-def postprocess_layer(rings: DataFrame, tolerance: float = 0.5, smooth: int = 1, min_area: float = 10.0) -> DataFrame:
-    """Simplify, smooth, square, drop small ones, and measure: area, perimeter, compactness."""
+def regularize_lonlat(
+    rings: DataFrame, tolerance: float = 0.5, min_area: float = 20.0, within: float = 10.0, smooth: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """(result, record) of building outlines (fid, ring) in longitude and latitude, worked on in metres.
+
+    The layer goes to the UTM zone of its mean position; rings are closed and untied, those below ``min_area`` go, the rest
+    are simplified, their edges snapped, optionally smoothed, and brought back. ``result`` has fid, ring, area in square
+    metres and direction (degrees of the simplified outline). ``record`` has the outlines after each step, in longitude and
+    latitude: step, name, fid, ring. Rings that cross themselves and can't be untied are left out.
+    """
+    mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[c]) / F.size("ring")
+    middle = rings.where("size(ring) > 0").agg(F.avg(mean("x")).alias("lon"), F.avg(mean("y")).alias("lat")).first()  # one row
+    lon, lat = middle["lon"] or 0.0, middle["lat"] or 0.0
+    zone, south = int((lon + 180) // 6 % 60) + 1, lat < 0
+    steps = []
+
+    def record(name: str, df: DataFrame) -> DataFrame:
+        df = cut(df)
+        steps.append(df.select(F.lit(len(steps)).alias("step"), F.lit(name).alias("name"), "fid", from_utm(F.col("ring"), zone, south).alias("ring")))
+        return df
+
+    df = cut(rings.where("size(ring) > 2").select("fid", into_utm(F.col("ring"), zone, south).alias("ring")))
+    df = cut(df.withColumn("ring", _closed(F.col("ring")))).withColumn("ring", _untied(F.col("ring")))
+    df = record("fixed", df.where(~g.self_intersects(F.col("ring")) & (g.area(F.col("ring")) > 0)))
+    df = record("area", df.where(g.area(F.col("ring")) >= min_area))
+    df = record("simplified", df.withColumn("ring", simplify(F.col("ring"), tolerance)))
+    turned = df.select("fid", rectangle_direction(F.col("ring")).alias("direction"))
+    df = record("snapped", df.withColumn("ring", snap_edges(F.col("ring"), within)))
+    if smooth:
+        df = record("smoothed", df.withColumn("ring", g.chaikin(F.col("ring"), smooth)))
+    df = record("final", df.withColumn("ring", _closed(F.col("ring"))).where(g.area(F.col("ring")) > 0))
+    result = df.select("fid", g.area(F.col("ring")).alias("area"), from_utm(F.col("ring"), zone, south).alias("ring")).join(turned, "fid").select("fid", "ring", "area", "direction")
+    whole = steps[0]
+    for more in steps[1:]:
+        whole = whole.unionByName(more)
+    return result, whole
+
+
+def postprocess_layer(rings: DataFrame, tolerance: float = 0.5, smooth: int = 1, min_area: float = 10.0, kind: str | None = None) -> DataFrame:
+    """Simplify, smooth, square, drop small ones, and measure: area, perimeter, compactness.
+
+    With ``kind``, a column of class names, only rows of class ``building`` are squared.
+    """
     df = rings.withColumn("ring", simplify(F.col("ring"), tolerance)).withColumn("ring", g.chaikin(F.col("ring"), smooth))
-    df = df.withColumn("ring", square_corners(F.col("ring"))).where(g.area(F.col("ring")) >= min_area)
+    squared = square_corners(F.col("ring"))
+    squared = squared if kind is None else F.when(F.col(kind) == "building", squared).otherwise(F.col("ring"))
+    df = df.withColumn("ring", squared).where(g.area(F.col("ring")) >= min_area)
     ring = F.col("ring")
-    return df.select("fid", "ring", g.area(ring).alias("area"), g.perimeter(ring).alias("perimeter"), g.compactness(ring).alias("compactness"))
+    return df.select("fid", *([kind] if kind else []), "ring", g.area(ring).alias("area"), g.perimeter(ring).alias("perimeter"), g.compactness(ring).alias("compactness"))
 
 
 def merge_tile_features(tiles: list[DataFrame], key: str, cell: float, min_area: float, above: float = 0.6) -> DataFrame:

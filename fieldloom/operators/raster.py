@@ -146,6 +146,19 @@ def mosaic(layers: DataFrame) -> DataFrame:
     return layers.where("value is not null").groupBy("row", "col").agg(F.min_by("value", "priority").alias("value"))
 
 
+def mosaic_on_grid(layers: DataFrame, res: float) -> DataFrame:
+    """``mosaic`` of rasters with corners of their own: rows (row, col, value, priority, x0, y0), ``x0, y0`` a raster's
+    lower-left corner.
+
+    The common grid begins at the smallest corner; every raster moves to the nearest of its cells. Gives row, col, value and
+    the grid's corner.
+    """
+    low = layers.agg(F.min("x0").alias("gx"), F.min("y0").alias("gy"))
+    step = lambda c, g: F.floor((F.col(c) - F.col(g)) / res + 0.5).cast("long")
+    placed = layers.crossJoin(F.broadcast(low)).withColumns({"row": F.col("row") + step("y0", "gy"), "col": F.col("col") + step("x0", "gx")})  # one row
+    return mosaic(placed.select("row", "col", "value", "priority")).crossJoin(F.broadcast(low)).withColumnsRenamed({"gx": "x0", "gy": "y0"})
+
+
 def sample_at_points(pixels: DataFrame, points: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
     """``points`` with the value of the cell that holds them; null outside (row 0 is the lowest)."""
     at = points.withColumns({"col": F.floor((F.col("x") - x0) / res).cast("long"), "row": F.floor((F.col("y") - y0) / res).cast("long")})
@@ -271,6 +284,35 @@ def boundary_f1(truth: DataFrame, pred: DataFrame, tolerance: int = 2) -> DataFr
     return both.withColumn("f1", f1)
 
 
+def class_boundaries(cells: DataFrame) -> DataFrame:
+    """row, col, class of the cells that a 3x3 erosion takes from their class; what lies outside the raster is no class."""
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    met = cells.select("row", "col", "class", F.explode(around).alias("m")).select((F.col("row") + F.col("m.i")).alias("row"), (F.col("col") + F.col("m.j")).alias("col"), "class")
+    inner = met.groupBy("row", "col", "class").agg(F.count("*").alias("n")).where("n = 9").drop("n")
+    return cells.select("row", "col", "class").join(inner, ["row", "col", "class"], "left_anti")
+
+
+def class_boundary_f1(truth: DataFrame, pred: DataFrame, classes: list[int], tolerance: int = 2) -> DataFrame:
+    """class, precision, recall, f1 of each of the classes that ``truth`` holds: boundary cells with a boundary cell of the
+    same class on the other side within a city-block distance. All classes at once; a class without cells in ``pred`` has 0."""
+    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _disk(tolerance, "l1")])
+
+    def near(edge: DataFrame) -> DataFrame:
+        moved = edge.select("class", "row", "col", F.explode(moves).alias("m"))
+        return moved.select("class", (F.col("row") + F.col("m.i")).alias("row"), (F.col("col") + F.col("m.j")).alias("col")).distinct().withColumn("hit", F.lit(1))
+
+    t, p = (class_boundaries(x.where(F.col("class").isin(classes))) for x in (truth, pred))
+    on = ["class", "row", "col"]
+    share = lambda a, b, name: a.join(near(b), on, "left").groupBy("class").agg((F.count("hit") / F.count("*")).alias(name))
+    both = share(t, p, "recall").join(share(p, t, "precision"), "class", "left").select("class", F.coalesce("precision", F.lit(0.0)).alias("precision"), "recall")
+    return both.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-8)))
+
+
+def mean_boundary_f1(truth: DataFrame, pred: DataFrame, classes: list[int], tolerance: int = 2) -> DataFrame:
+    """One row: the mean f1 over the classes that ``truth`` holds (0 if none), and their number."""
+    return class_boundary_f1(truth, pred, classes, tolerance).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"), F.count("*").alias("classes"))
+
+
 # Windows.
 
 
@@ -278,13 +320,16 @@ def sliding_windows(headers: DataFrame, size: int, stride: int, scheme: str) ->
     """(raster_id, row0, col0, height, width) of each window over headers (raster_id, height, width).
 
     ``full``: whole windows only. ``last``: also one that ends at the edge. ``clamp``: starts at each stride, moved back
-    into the raster (duplicates stay). ``ragged``: starts at each stride, cut at the edge.
+    into the raster (duplicates stay). ``ragged``: starts at each stride, cut at the edge. ``fit``: as ``full``, but a raster
+    smaller than a window has one, cut at its edges.
     """
 
     def starts(n: Column) -> Column:
         room = F.greatest(n - size, F.lit(0))
         if scheme == "full":
             return F.when(n >= size, F.sequence(F.lit(0), room, F.lit(stride)))
+        if scheme == "fit":
+            return F.sequence(F.lit(0), room, F.lit(stride))
         if scheme == "last":
             return F.array_distinct(F.concat(F.sequence(F.lit(0), room, F.lit(stride)), F.array(room)))
         every = F.sequence(F.lit(0), n - 1, F.lit(stride))
@@ -409,8 +454,9 @@ def hann_weight(size: int, floor: float = 0.05) -> Column:
     return F.greatest(curve("i") * curve("j"), F.lit(floor))
 
 
-def reproject_raster(pixels: DataFrame, lon0: float, lat0: float, res: float, height: int, width: int, metres: float) -> DataFrame:
-    """A lon/lat raster on a Mercator grid of ``metres``: nearest value of each target cell, null outside or without data.
+def reproject_raster(pixels: DataFrame, lon0: float, lat0: float, res: float, height: int, width: int, metres: float, method: str = "nearest") -> DataFrame:
+    """A lon/lat raster on a Mercator grid of ``metres``: nearest or bilinear value of each target cell, null outside or
+    without data.
 
     Target row 0 and column 0 begin at the raster's lower-left corner.
     """
@@ -421,6 +467,11 @@ def reproject_raster(pixels: DataFrame, lon0: float, lat0: float, res: float, he
     rows, cols = math.ceil((by - ay) / metres), math.ceil((bx - ax) / metres)
     target = pixels.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).alias("t_row"), (F.col("id") % cols).alias("t_col"))
     lon, lat = from_mercator(ax + (F.col("t_col") + 0.5) * metres, ay + (F.col("t_row") + 0.5) * metres)
+    if method == "bilinear":
+        inside = (lon >= lon0) & (lon < lon0 + width * res) & (lat >= lat0) & (lat < lat0 + height * res)
+        places = target.select(F.col("t_row").alias("r"), F.col("t_col").alias("c"), F.when(inside, lon).alias("x"), F.when(inside, lat).alias("y"))
+        known = bilinear(pixels, places.where("x is not null"), lon0, lat0, res).select("r", "c", "value")
+        return places.join(known, ["r", "c"], "left").select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
     at = target.select("t_row", "t_col", F.floor((lon - lon0) / res).cast("long").alias("col"), F.floor((lat - lat0) / res).cast("long").alias("row"))
     return at.join(pixels.select("row", "col", "value"), ["row", "col"], "left").select(F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
 

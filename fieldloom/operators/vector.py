@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions import geometry as g
 from fieldloom.operators.grid import as_box, box_area, candidate_pairs, cell_of, cells, overlap_area
 from fieldloom.operators.overlay import union_areas
 from fieldloom.session import cut
@@ -38,6 +39,12 @@ def select_by_attribute(df: DataFrame, field: str, op: str, value) -> DataFrame:
     return df.where(tests[op])
 
 
+def attribute_report(df: DataFrame, field: str, op: str, value) -> DataFrame:
+    """One row: rows in all, kept by ``select_by_attribute`` and filtered out."""
+    kept = select_by_attribute(df, field, op, value).agg(F.count("*").alias("kept"))
+    return df.agg(F.count("*").alias("total")).crossJoin(kept).select("total", "kept", (F.col("total") - F.col("kept")).alias("filtered"))  # single rows
+
+
 RELATIONS = ("intersects", "contains", "within", "touches", "overlaps", "crosses")
 
 
@@ -298,7 +305,11 @@ def flatten_overlaps(boxes: DataFrame, key: str, res: float) -> DataFrame:
     return before.join(kept, key, "left").select(key, "before", F.coalesce("kept", F.lit(0.0)).alias("kept"), F.col("kept").isNull().alias("covered"))
 
 
-def concat_layers(*layers: DataFrame) -> DataFrame:
+def concat_layers(*layers: DataFrame, crs: list[int] | None = None, ring: str = "ring") -> DataFrame:
+    """The rows of all layers, missing columns null. With ``crs`` (a code for each layer) rings are brought to the first
+    layer's coordinates; 4326 and 3857 are known."""
+    if crs:
+        layers = tuple(x if c == crs[0] else x.withColumn(ring, g.reproject(F.col(ring), c, crs[0])) for x, c in zip(layers, crs, strict=True))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layers)
 
 
@@ -331,6 +342,14 @@ def greedy_suppress(boxes: DataFrame, key: str, cell: float, above: float, inclu
     return boxes if dropped is None else boxes.join(dropped.withColumnRenamed("n", key), key, "left_anti")
 
 
+def requested_count(text: Column, default: int = 30) -> Column:
+    """How many sites a request asks for: its first number before a counting word, 1 to 500; ``default`` without one."""
+    #: The counting words.
+    number = F.regexp_extract(text, r"(\d+)\s*(?:个|处|座|点)", 1)
+    asked = F.coalesce(number.try_cast("decimal(38,0)"), F.when(number != "", F.lit(500)))
+    return F.when(asked.isNull(), default).otherwise(F.greatest(F.least(asked, F.lit(500)), F.lit(1))).cast("int")
+
+
 def grid_sites(xmin: float, ymin: float, xmax: float, ymax: float, step: float, areas: DataFrame, n: int, score: Column) -> DataFrame:
     """Grid points inside any area, scored; the best ``n`` with their rank (ties: row, then column)."""
     spark = areas.sparkSession

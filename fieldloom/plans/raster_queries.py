@@ -234,6 +234,26 @@ def boundary_f1(spark, d):
     return r.boundary_f1(mask(spark, d), mask(spark, d, "w")).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("mean_boundary_f1", cte("classes") + """, t AS (SELECT row, col, truth AS c FROM classes WHERE truth < 4), p AS (SELECT row, col, pred AS c FROM classes WHERE pred < 4),
+tb AS (SELECT row, col, c FROM t WHERE (SELECT count(*) FROM t o WHERE o.c = t.c AND o.row BETWEEN t.row - 1 AND t.row + 1 AND o.col BETWEEN t.col - 1 AND t.col + 1) < 9),
+pb AS (SELECT row, col, c FROM p WHERE (SELECT count(*) FROM p o WHERE o.c = p.c AND o.row BETWEEN p.row - 1 AND p.row + 1 AND o.col BETWEEN p.col - 1 AND p.col + 1) < 9),
+r AS (SELECT c, avg(EXISTS (SELECT 1 FROM pb o WHERE o.c = tb.c AND o.row BETWEEN tb.row - 2 AND tb.row + 2 AND abs(o.row - tb.row) + abs(o.col - tb.col) <= 2)::INT) AS r FROM tb GROUP BY c),
+q AS (SELECT c, avg(EXISTS (SELECT 1 FROM tb o WHERE o.c = pb.c AND o.row BETWEEN pb.row - 2 AND pb.row + 2 AND abs(o.row - pb.row) + abs(o.col - pb.col) <= 2)::INT) AS p FROM pb GROUP BY c)
+SELECT round(avg(2 * coalesce(p, 0) * r / greatest(coalesce(p, 0) + r, 1e-8)), 6) AS f1, count(*) AS classes FROM r LEFT JOIN q USING (c)""")
+def mean_boundary_f1(spark, d):
+    c = layer(spark, d, "classes")
+    found = r.mean_boundary_f1(c.select("row", "col", F.col("truth").alias("class")), c.select("row", "col", F.col("pred").alias("class")), [0, 1, 2, 3])
+    return found.select(F.round("f1", 6).alias("f1"), "classes")
+
+
+@query("mosaic_on_grid", cte("raster") + """, l AS (SELECT row, col, b1 AS value, 0 AS priority FROM raster UNION ALL SELECT row + 3, col + 5, b2, 1 FROM raster)
+SELECT row, col, arg_min(value, priority) AS value, 100.0::DOUBLE AS x0, 40.0::DOUBLE AS y0 FROM l WHERE value IS NOT NULL GROUP BY row, col""")
+def mosaic_on_grid(spark, d):
+    one = band(spark, d).withColumns({"priority": F.lit(0), "x0": F.lit(100.0), "y0": F.lit(40.0)})
+    two = band(spark, d, "b2").withColumns({"priority": F.lit(1), "x0": F.lit(110.2), "y0": F.lit(45.9)})
+    return r.mosaic_on_grid(one.unionByName(two), 2.0)
+
+
 def headers(spark, d):
     """The raster's own extent, and two parts of it."""
     full = layer(spark, d, "raster").agg((F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width"))
@@ -250,6 +270,7 @@ def _starts(scheme: str, n: str) -> str:
         "last": f"list_distinct(list_append(range(0, greatest({n} - 20, 0) + 1, 16), greatest({n} - 20, 0)::BIGINT))",
         "clamp": f"list_transform(range(0, {n}, 16), lambda s: least(s, greatest({n} - 20, 0)))",
         "ragged": f"range(0, {n}, 16)",
+        "fit": f"range(0, greatest({n} - 20, 0) + 1, 16)",
     }[scheme]
 
 
@@ -259,7 +280,7 @@ SELECT raster_id, row0, col0, least(20, h - row0) AS height, least(20, w - col0)
     query(f"sliding_windows_{scheme}", oracle)(lambda spark, d: r.sliding_windows(headers(spark, d), 20, 16, scheme))
 
 
-for _scheme in ("full", "last", "clamp", "ragged"):
+for _scheme in ("full", "last", "clamp", "ragged", "fit"):
     _windows(_scheme)
 
 
@@ -393,6 +414,20 @@ def reproject_raster(spark, d):
     return r.reproject_raster(b, 108.0, 34.0, 0.01, *r.extent(b), 2500.0)
 
 
+_BILINEAR = """, n AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM raster), e AS (SELECT 108.0::DOUBLE * 20037508.342789244 / 180 AS ax, ln(tan((90 + 34.0::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS ay,
+  (108.0::DOUBLE + w * 0.01::DOUBLE) * 20037508.342789244 / 180 AS bx, ln(tan((90 + 34.0::DOUBLE + h * 0.01::DOUBLE) * pi() / 360)) * 20037508.342789244 / pi() AS top FROM n),
+t AS (SELECT i AS row, j AS col, ((ax + (j + 0.5) * 2500) * 180 / 20037508.342789244 - 108) / 0.01 AS u, (degrees(2 * atan(exp((ay + (i + 0.5) * 2500) * pi() / 20037508.342789244)) - pi() / 2) - 34) / 0.01 AS v
+  FROM e, (SELECT unnest(range(ceil((top - ay) / 2500)::BIGINT)) AS i FROM e), (SELECT unnest(range(ceil((bx - ax) / 2500)::BIGINT)) AS j FROM e)),
+f AS (SELECT t.*, floor(u - 0.5)::BIGINT + a.d AS c, floor(v - 0.5)::BIGINT + b.d AS r FROM t, (VALUES (0), (1)) a(d), (VALUES (0), (1)) b(d), n WHERE u >= 0 AND u < w AND v >= 0 AND v < h),
+g AS (SELECT f.row, f.col, (1 - abs(u - 0.5 - c)) * (1 - abs(v - 0.5 - r)) AS weight, s.b1 AS value FROM f JOIN raster s ON s.row = r AND s.col = c WHERE s.b1 IS NOT NULL)"""
+
+
+@query("reproject_raster_bilinear", cte("raster") + _BILINEAR + " SELECT t.row, t.col, round(any_value(m.value), 4) AS value FROM t LEFT JOIN (SELECT row, col, sum(weight * value) / sum(weight) AS value FROM g WHERE weight > 0 GROUP BY ALL) m USING (row, col) GROUP BY ALL")
+def reproject_raster_bilinear(spark, d):
+    b = band(spark, d)
+    return r.reproject_raster(b, 108.0, 34.0, 0.01, *r.extent(b), 2500.0, "bilinear").withColumn("value", F.round("value", 4))
+
+
 @query("boundary_distance", cte("mask") + """, b AS (SELECT row, col, 'v' AS k FROM mask m WHERE v = 1 AND EXISTS (SELECT 1 FROM mask n WHERE n.v = 0 AND abs(n.row - m.row) + abs(n.col - m.col) = 1)
   UNION ALL SELECT row, col, 'w' FROM mask m WHERE w = 1 AND EXISTS (SELECT 1 FROM mask n WHERE n.w = 0 AND abs(n.row - m.row) + abs(n.col - m.col) = 1)),
 m AS (SELECT a.k, a.row, a.col, min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) AS d FROM b a JOIN b ON a.k <> b.k GROUP BY ALL), s AS (SELECT avg(d) FILTER (WHERE k = 'v') AS p, avg(d) FILTER (WHERE k = 'w') AS q FROM m)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as g
 from fieldloom.operators import vector as v
-from fieldloom.operators.grid import box_area
+from fieldloom.operators.grid import box_area, mixed_pairs
 from fieldloom.sources.fixtures import cte, layer
 
 MEET = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
@@ -67,6 +67,26 @@ def select_by_attribute(spark, d):
     return v.select_by_attribute(spark.read.parquet(f"{d}/part.parquet"), "p_size", ">=", 25).select("p_partkey", "p_size")
 
 
+@query("attribute_report", "SELECT count(*) AS total, count(*) FILTER (p_size >= 25) AS kept, count(*) FILTER (NOT coalesce(p_size >= 25, false)) AS filtered FROM part")
+def attribute_report(spark, d):
+    return v.attribute_report(spark.read.parquet(f"{d}/part.parquet"), "p_size", ">=", 25)
+
+
+@query("requested_count", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 30 ELSE greatest(1, least(500, p_partkey)) END::INT AS n FROM part""")
+def requested_count(spark, d):
+    text = F.when(F.col("p_partkey") % 4 == 0, "no number here 7").otherwise(F.concat(F.lit("find 12 of "), F.col("p_partkey").cast("string"), F.lit(" 座 sites, 3 个")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", v.requested_count(text).alias("n"))
+
+
+@query("mixed_size_join", cte("boxes", "zones") + f""", l AS (SELECT fid AS id, x0, y0, x1, y1 FROM boxes UNION ALL SELECT zid + 10000000, x0, y0, x1, y1 FROM zones UNION ALL SELECT 20000000, min(x0), min(y0), max(x1), max(y1) FROM zones)
+SELECT a.id AS id_1, b.id AS id_2 FROM l a JOIN l b ON a.id < b.id AND {MEET}""")
+def mixed_size_join(spark, d):
+    zones = layer(spark, d, "zones").selectExpr("zid + 10000000 AS id", "x0", "y0", "x1", "y1")
+    whole = zones.groupBy().agg(F.lit(20000000).alias("id"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    mixed = layer(spark, d, "boxes").selectExpr("fid AS id", "x0", "y0", "x1", "y1").unionByName(zones).unionByName(whole)
+    return mixed_pairs(mixed, mixed, 25.0).where("a_id < b_id").select(F.col("a_id").alias("id_1"), F.col("b_id").alias("id_2"))
+
+
 @query("select_intersects", cte("boxes", "zones") + f""" SELECT a.fid FROM boxes a WHERE EXISTS (SELECT 1 FROM zones b WHERE b.n_regionkey = 1 AND {MEET})""")
 def select_intersects(spark, d):
     return v.select_by_location(layer(spark, d, "boxes"), layer(spark, d, "zones").where("n_regionkey = 1"), "intersects", "fid", 50.0).select("fid")
