@@ -296,6 +296,62 @@ def clipped(left: Column, right: Column) -> Column:
     return run(left, right)
 
 
+def _beside(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What of a convex ring lies to the left of the line from ``a`` to ``b``."""
+    side = (b - a)[0] * (ring[:, 1] - a[1]) - (b - a)[1] * (ring[:, 0] - a[0])
+    out = []
+    for p, q, s, t in zip(ring, np.roll(ring, -1, 0), side, np.roll(side, -1)):
+        if s >= 0:
+            out.append(p)
+        if (s >= 0) != (t >= 0):
+            out.append(p + (q - p) * (s / (s - t)))
+    return np.array(out).reshape(-1, 2)
+
+
+def _taken_from(pieces: list[np.ndarray], tile: np.ndarray, least: float) -> list[np.ndarray]:
+    """Convex pieces without a convex tile: what lies beyond one edge of it and within those before, edge by edge."""
+    out = []
+    for piece in pieces:
+        if (piece.max(0) <= tile.min(0)).any() or (tile.max(0) <= piece.min(0)).any():
+            out.append(piece)
+            continue
+        left, beyond = piece, []
+        for a, b in zip(tile, np.roll(tile, -1, 0)):
+            beyond.append(_beside(left, b, a))
+            left = _beside(left, a, b)
+            if len(left) < 3:
+                break
+        size = lambda r: signed_areas(r, np.array([len(r)]))[0] if len(r) > 2 else 0.0
+        out += [piece] if size(left) <= least else [r for r in beyond if size(r) > least]
+    return out
+
+
+def cut_away(parts: Column, others: Column) -> Column:
+    """Convex parts that are left of a polygon without all of an array of polygons; empty where nothing is left.
+
+    A polygon that meets none of the others keeps its parts as they are.
+    """
+
+    @F.arrow_udf(PARTS)
+    def run(mine: pa.Array, taken: pa.Array) -> pa.Array:
+        per_row, flat = _lists(taken)
+        own, tiles = _tiles(rings_of(mine)), _tiles(rings_of(flat))
+        tiles.row = np.repeat(np.arange(len(per_row)), per_row)[tiles.row] if len(tiles.row) else tiles.row
+        split = lambda r: np.split(r.xy, np.cumsum(r.size)[:-1]) if len(r.size) else []
+        have: list[list[np.ndarray]] = [[] for _ in range(len(mine))]
+        for ring, row in zip(split(own), own.row.tolist()):
+            have[row].append(ring)
+        changed = [False] * len(mine)
+        for tile, row in zip(split(tiles), tiles.row.tolist()):
+            left = _taken_from(have[row], tile, 1e-12)
+            changed[row] |= len(left) != len(have[row]) or any(x is not y for x, y in zip(left, have[row]))
+            have[row] = left
+        close = lambda r: [{"x": float(x), "y": float(y)} for x, y in np.vstack([r, r[:1]])]
+        return pa.array([[{"shell": close(r), "holes": []} for r in have[k]] if changed[k] else mine[k].as_py() for k in range(len(mine))], _PIECE)
+
+    return run(parts, others)
+
+
 def valid_parts(parts: Column) -> Column:
     """Whether every ring has an area and doesn't cross or touch itself; null counts as invalid."""
 

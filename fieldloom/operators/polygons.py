@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as g
-from fieldloom.functions.polygons import PARTS, bounds, clipped, intersection_area, valid_parts
+from fieldloom.functions.polygons import PARTS, bounds, clipped, cut_away, intersection_area, valid_parts
 from fieldloom.functions.shapes import RING
-from fieldloom.operators.grid import candidate_pairs
+from fieldloom.operators.grid import candidate_pairs, mixed_pairs
 from fieldloom.operators.vector import line_crossings
 
 
@@ -41,7 +41,7 @@ def reproject_parts(parts: Column, source: int, target: int) -> Column:
 def polygon_pairs(left: DataFrame, right: DataFrame, key: str, other: str, cell: float) -> DataFrame:
     """a_<key>, b_<other>, shared (area that the two share), a_area, b_area of pairs whose boxes meet."""
     slim = lambda df, k: df.select(k, "x0", "y0", "x1", "y1", "parts")
-    pairs = candidate_pairs(slim(left, key), slim(right, other), cell)
+    pairs = mixed_pairs(slim(left, key), slim(right, other), cell)
     shared = intersection_area(F.col("a_parts"), F.col("b_parts"))
     return pairs.select(f"a_{key}", f"b_{other}", shared.alias("shared"), parts_area(F.col("a_parts")).alias("a_area"), parts_area(F.col("b_parts")).alias("b_area"))
 
@@ -85,6 +85,25 @@ def clip_polygons(layer: DataFrame, clip: DataFrame, key: str, clip_key: str, ce
     return cut.where(F.size("parts") > 0).withColumn("area", parts_area(F.col("parts")))
 
 
+def flatten_polygons(layer: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, parts, area, covered): of overlapping polygons the larger (smaller key on ties) keeps what they share.
+
+    The others are cut to what is left of them, as convex parts. A polygon of which nothing would be left stays as it is,
+    with ``covered``. The polygons that cut one other meet in one row.
+    """
+    pairs = polygon_pairs(layer, layer, key, key, cell)
+    higher = (F.col("b_area") > F.col("a_area")) | ((F.col("b_area") == F.col("a_area")) & (F.col(f"b_{key}") < F.col(f"a_{key}")))
+    cutters = pairs.where((F.col(f"a_{key}") != F.col(f"b_{key}")) & higher & (F.col("shared") > F.least("a_area", "b_area") * 1e-12))
+    shapes = layer.select(F.col(key).alias(f"b_{key}"), F.col("parts").alias("cutter"))
+    taken = cutters.select(F.col(f"a_{key}").alias(key), f"b_{key}").join(shapes, f"b_{key}").groupBy(key).agg(F.collect_list("cutter").alias("cutters"))
+    cut = layer.select(key, "parts").join(taken, key)
+    rest = cut.select(key, "parts", cut_away(F.col("parts"), F.col("cutters")).alias("left"))
+    whole = layer.select(key, "parts").join(taken.select(key), key, "left_anti").select(key, "parts", F.lit(False).alias("covered"))
+    gone = parts_area(F.col("left")) <= parts_area(F.col("parts")) * 1e-9
+    done = rest.select(key, F.when(gone, F.col("parts")).otherwise(F.col("left")).alias("parts"), gone.alias("covered"))
+    return whole.unionByName(done).withColumn("area", parts_area(F.col("parts"))).select(key, "parts", "area", "covered")
+
+
 def select_polygons(target: DataFrame, by: DataFrame, relation: str, key: str, other: str, cell: float) -> DataFrame:
     """Polygons of ``target`` that share an area with a polygon of ``by`` (``overlaps``: and neither holds the other), hold
     one (``contains``) or lie in one (``within``)."""

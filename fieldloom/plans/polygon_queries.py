@@ -190,3 +190,10 @@ def flatten_exact(spark, d):
 def covered_zones(spark, d):
     zones, boxes = layer(spark, d, "zones").select("zid", "x0", "y0", "x1", "y1"), layer(spark, d, "boxes").select("x0", "y0", "x1", "y1")
     return o.covered_areas(zones, boxes, "zid", 50.0).withColumn("area", F.round("area", 6))
+
+
+@query("flatten_polygons", cte("boxes") + f", k AS (SELECT *, (x1 - x0) * (y1 - y0) AS a FROM boxes), p AS (SELECT a.fid AS id, {_CUT} FROM k a JOIN k b ON {_BOTH} AND (b.a > a.a OR (b.a = a.a AND b.fid < a.fid)))" + _union_of("p") + """
+SELECT fid, a - coalesce(covered, 0) <= a * 1e-9 AS covered, round(CASE WHEN a - coalesce(covered, 0) <= a * 1e-9 THEN a ELSE a - coalesce(covered, 0) END, 6) AS area FROM k LEFT JOIN c ON c.id = k.fid""")
+def flatten_polygons(spark, d):
+    boxes = layer(spark, d, "boxes").select("fid", "x0", "y0", "x1", "y1", p.as_parts(g.box_ring()).alias("parts"))
+    return p.flatten_polygons(boxes, "fid", 25.0).select("fid", "covered", F.round("area", 6).alias("area"))

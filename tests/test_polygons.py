@@ -138,6 +138,23 @@ def test_valid_parts(spark):
     assert {r.i: r.v for r in frame(spark, rows).select("i", fp.valid_parts(F.col("a")).alias("v")).collect()} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
 
 
+def test_what_is_left_without_others_equals_cells(spark):
+    rows, want = [], []
+    for a in SHAPES:
+        for b, c in ((SHAPES[0], SHAPES[4]), (SHAPES[1], SHAPES[6]), (SHAPES[2], SHAPES[5]), (SHAPES[7], SHAPES[7]), (a, a)):
+            rows.append((len(rows), poly(*a), [poly(*b), None, poly(*c)]))
+            want.append((cells(a) & ~cells(b) & ~cells(c)).sum())
+    df = spark.createDataFrame(rows, f"i int, a {fp.PARTS}, o array<{fp.PARTS}>")
+    got = {r.i: r.area for r in df.select("i", p.parts_area(fp.cut_away(F.col("a"), F.col("o"))).alias("area")).collect()}
+    assert [got[k] for k in range(len(rows))] == pytest.approx(want, abs=1e-9)
+
+
+def test_larger_polygons_keep_what_they_share(spark):
+    layer = p.with_bounds(spark.createDataFrame([(1, poly([BOX])), (2, poly([moved(BOX, 4, 4)])), (3, poly([moved(L, 1, 1)])), (4, poly([[(2, 2), (3, 2), (3, 3), (2, 3)]])), (5, poly([moved(L, 30, 30)]))], f"fid int, parts {fp.PARTS}"))
+    got = {r.fid: (round(r.area, 9), r.covered) for r in p.flatten_polygons(layer, "fid", 5.0).collect()}
+    assert got == {1: (64, False), 2: (48, False), 3: (20, True), 4: (1, True), 5: (20, False)}
+
+
 def boxes_df(spark, boxes):
     return spark.createDataFrame([(i, *map(float, b)) for i, b in enumerate(boxes)], "fid int, x0 double, y0 double, x1 double, y1 double")
 

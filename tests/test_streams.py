@@ -105,3 +105,11 @@ def test_growing_errors_raise_alerts_and_late_rows_are_dropped(rocks, tmp_path):
     query = s.error_growth_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted(tuple(r) for r in rocks.read.parquet(str(tmp_path / "out")).where("stream_id <> 99").select(*columns).collect()) == want
+
+
+def test_merged_sketches_are_near_the_exact_counts(spark):
+    rows = spark.range(60_000).selectExpr("id % 3 AS camera", "(id * 7919) % 30011 AS track_id", "timestamp_seconds(1704067200 + id % 86400) AS ts")
+    exact = {(r.camera, r.start): r.n for r in rows.groupBy("camera", F.window("ts", "6 hours").start.alias("start")).agg(F.countDistinct("track_id").alias("n")).collect()}
+    got = {(r.camera, r.start): r.tracks for r in s.distinct_tracks(s.track_sketches(rows, "10 minutes"), "6 hours").collect()}
+    assert set(got) == set(exact) and min(exact.values()) > 1000
+    assert all(abs(got[k] - n) <= 4 * 0.0163 * n for k, n in exact.items())
