@@ -10,7 +10,7 @@ def op13_suffix_dedup(spark, sf_dir):
     size = lambda r: r["end"] - r["start"]
     return without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
+        "n_bytes",
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + size(r)).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),

@@ -436,7 +436,7 @@ def _merge(s: Settings):
 
 # The operator.
 
-_OUT = "doc_id long, text string, removed array<struct<start: long, end: long>>, kept binary"
+_OUT = "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
 
 
 def _take_out(span: int):
@@ -464,15 +464,15 @@ def _take_out(span: int):
                     kept.append(body[~gone].tobytes())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(begin, end - begin), batch.column("text").slice(begin, end - begin), pa.array(removed, kind), pa.array(kept, pa.binary())],
-                    ["doc_id", "text", "removed", "kept"],
+                    [batch.column("doc_id").slice(begin, end - begin), pa.array(np.diff(offsets[begin : end + 1])), pa.array(removed, kind), pa.array(kept, pa.binary())],
+                    ["doc_id", "n_bytes", "removed", "kept"],
                 )
 
     return run
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """doc_id, text, removed (byte ranges) and kept (the other bytes) of every row.
+    """doc_id, n_bytes, removed (byte ranges) and kept (the other bytes) of every row's text.
 
     Texts are UTF-8 bytes; every byte goes that lies in a string of ``span`` bytes, within its text, that also begins in a
     row with a smaller id. Null texts are empty; texts shorter than ``span`` lose nothing. Rows without an id neither lose
