@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as g
 from fieldloom.functions.shapes import RING, from_utm, into_utm, rectangle_direction, simplify, snap_edges, square_corners
 from fieldloom.operators.grid import box_area
-from fieldloom.operators.polygons import overlap_pairs_exact, with_bounds
-from fieldloom.operators.vector import greedy_suppress
+from fieldloom.operators.polygons import flatten_polygons, overlap_pairs_exact, topology_rules, with_bounds
+from fieldloom.operators.vector import greedy_suppress, near_duplicate_points
 from fieldloom.session import cut
 
 ISSUE = ["fid", "fid_2", "error_type", "severity", "auto_fixable", "overlap_ratio"]
@@ -89,9 +89,12 @@ def _untied(ring: Column) -> Column:
     return F.when(g.self_intersects(ring) & (F.size(ring) == 5) & ~g.self_intersects(swapped), swapped).otherwise(ring)
 
 
-def repair_layer(layer: DataFrame, cell: float, above: float = 0.4, sliver: float = 10.0, tolerance: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repair_layer(layer: DataFrame, cell: float, above: float = 0.4, sliver: float = 10.0, tolerance: float | None = None, overlaps: str = "area") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(repaired, log, quarantine) by fixed steps: invalid, holes, overlaps, slivers, multiparts, copies, simplify, empty.
 
+    ``overlaps``: with ``area`` smaller features whose boxes overlap by more than ``above`` go; with ``clip`` smaller ones are
+    cut to what larger ones leave of them, as convex parts (a feature of which nothing would be left stays as it is).
+
     ``log`` counts the features after each step. Rings that still cross themselves go to ``quarantine``.
     """
     spark, log = layer.sparkSession, []
@@ -107,7 +110,9 @@ def repair_layer(layer: DataFrame, cell: float, above: float = 0.4, sliver: floa
     quarantine = cut(df.where(crossing))
     df = step("invalid", df.where(~crossing))
     df = step("holes", df.withColumn("parts", F.transform("parts", lambda p: F.struct(p["shell"].alias("shell"), g.fill_holes(p["holes"], None).alias("holes")))))
-    df = step("overlaps", greedy_suppress(df, "fid", cell, above))
+    if overlaps not in ("area", "clip"):
+        raise ValueError(f"unknown way {overlaps}")
+    df = step("overlaps", greedy_suppress(df, "fid", cell, above) if overlaps == "area" else flatten_polygons(with_bounds(df.select("fid", "parts")), "fid", cell))
     df = step("slivers", df.where(polygon_area(F.col("parts")) >= sliver))
     df = step("multiparts", df.select("fid", F.explode("parts").alias("part")).select("fid", F.col("part.shell").alias("ring")))
     first = df.groupBy("ring").agg(F.min("fid").alias("fid"))
@@ -126,6 +131,24 @@ def check_topology(layer: DataFrame) -> DataFrame:
     return parts.select("fid", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("rule"))
 
 
+def topology_report(layer: DataFrame, cell: float, lines: DataFrame | None = None, points: DataFrame | None = None, metres: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(rows, flagged): every broken rule as (rule, id_1, id_2, measure), and the features (layer, id) that break one.
+
+    Ring rules of ``layer`` (id_2 null), overlaps and containments of its valid features, crossings of ``lines`` (fid, segment
+    x0, y0 to x1, y1) and ``points`` (fid, lon, lat) nearer than ``metres``.
+    """
+    empty = [F.lit(None).cast("long").alias("id_2"), F.lit(None).cast("double").alias("measure")]
+    rows = check_topology(layer).select("rule", F.col("fid").alias("id_1"), *empty).withColumn("layer", F.lit("areas"))
+    pairs = topology_rules(with_bounds(layer.select("fid", "parts")), "fid", cell, lines=lines)
+    rows = rows.unionByName(pairs.withColumn("layer", F.when(F.col("rule") == "cross", "lines").otherwise("areas")))
+    if points is not None:
+        near = near_duplicate_points(points, "fid", metres)
+        rows = rows.unionByName(near.select(F.lit("near").alias("rule"), "id_1", "id_2", F.col("metres").alias("measure"), F.lit("points").alias("layer")))
+    rows = cut(rows)
+    flagged = rows.select("layer", F.explode(F.array("id_1", "id_2")).alias("id")).where("id is not null").distinct()
+    return rows.select("rule", "id_1", "id_2", "measure"), flagged
+
+
 def regularize_layer(rings: DataFrame, tolerance: float = 0.5, min_area: float = 20.0, within: float = 10.0, smooth: int = 0) -> DataFrame:
     """fid, ring: large enough rings simplified, their edges snapped to the main directions, optionally smoothed."""
     df = rings.where(g.area(F.col("ring")) >= min_area).withColumn("ring", simplify(F.col("ring"), tolerance))

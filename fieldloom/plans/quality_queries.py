@@ -62,13 +62,36 @@ def check_topology(spark, d):
     return q.check_topology(polygons(spark, d))
 
 
-@query("repair_layer")
+_LL = "SELECT p_partkey AS fid, 108.0::DOUBLE + x0 / 1000 AS lon, 34.0::DOUBLE + y0 / 1000 AS lat FROM boxes JOIN part ON p_partkey = fid"
+_HAV = "2 * 6371008.8::DOUBLE * asin(sqrt(least(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2, 1)))"
+
+
+@query("topology_report", BASE + f""", ok AS (SELECT *, x0 + (x1 - x0) * 0.4::DOUBLE AS hx0, y0 + (y1 - y0) * 0.4::DOUBLE AS hy0, x0 + (x1 - x0) * 0.6::DOUBLE AS hx1, y0 + (y1 - y0) * 0.6::DOUBLE AS hy1, a * CASE k WHEN 4 THEN 0.96 WHEN 5 THEN 2 ELSE 1 END AS size FROM k WHERE k NOT IN (1, 2)),
+s AS (SELECT a.fid AS id_1, b.fid AS id_2, {SHARED} AS s, a.size AS a_size, b.size AS b_size FROM ok a JOIN ok b ON a.fid <> b.fid AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1), ll AS ({_LL})
+SELECT 'crosses_itself' AS rule, fid AS id_1, NULL::BIGINT AS id_2, NULL::DOUBLE AS measure FROM k WHERE k = 1 UNION ALL SELECT 'unclosed', fid, NULL, NULL FROM k WHERE k = 2 UNION ALL SELECT 'repeated', fid, NULL, NULL FROM k WHERE k = 3 UNION ALL SELECT 'small', fid, NULL, NULL FROM k WHERE k = 1
+UNION ALL SELECT 'overlap', id_1, id_2, round(s, 4) FROM s WHERE id_1 < id_2 AND s > 1e-4 UNION ALL SELECT 'contains', id_1, id_2, round(b_size / a_size, 4) FROM s WHERE s >= b_size * (1 - 1e-9)
+UNION ALL SELECT 'near', a.fid, b.fid, round({_HAV}, 3) FROM ll a JOIN ll b ON a.fid < b.fid AND {_HAV} < 200""")
+def topology_report(spark, d):
+    points = layer(spark, d, "boxes").selectExpr("fid", "108.0D + x0 / 1000 AS lon", "34.0D + y0 / 1000 AS lat")
+    return q.topology_report(polygons(spark, d), 25.0, points=points, metres=200.0)[0]
+
+
+#: Boxes that the suppression keeps (as in greedy_suppress), and the features that each step of the repair leaves.
+_WALK = f""", o AS (SELECT a.fid AS hi, b.fid AS lo, {OVER} AS o, a.a AS aa, b.a AS ba FROM k a JOIN k b ON a.fid <> b.fid AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+f AS (SELECT hi, lo FROM o WHERE o > 0 AND o / (aa + ba - o) > 0.4 AND (aa > ba OR (aa = ba AND hi < lo))),
+walk AS (WITH RECURSIVE t(n, dropped) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT n + 1, (SELECT coalesce(list(DISTINCT lo), []) FROM f WHERE hi NOT IN (SELECT x.lo FROM f x WHERE NOT list_contains(t.dropped, x.hi))) FROM t WHERE n < 12) SELECT dropped FROM t ORDER BY n DESC LIMIT 1),
+kept AS (SELECT k.* FROM k, walk WHERE NOT list_contains(dropped, fid)), large AS (SELECT * FROM kept WHERE a * CASE k WHEN 5 THEN 2 ELSE 1 END >= 10),
+parts AS (SELECT fid, a, unnest(range(CASE k WHEN 5 THEN 2 ELSE 1 END)) AS part, x0, y0, x1, y1 FROM large), alone AS (SELECT min(fid) AS fid, any_value(a) AS a FROM parts GROUP BY part, x0, y0, x1, y1)"""
+
+
+@query("repair_layer", BASE + _WALK + " SELECT fid, round(a, 4) AS area, 5 AS vertices FROM alone")
 def repair_layer(spark, d):
     fixed, _, _ = q.repair_layer(polygons(spark, d), 25.0)
     return fixed.select("fid", F.round(g.area(F.col("ring")), 4).alias("area"), F.size("ring").alias("vertices"))
 
 
-@query("repair_log")
+@query("repair_log", BASE + _WALK + """ SELECT 1 AS step, 'invalid' AS name, count(*) AS features FROM k UNION ALL SELECT 2, 'holes', count(*) FROM k UNION ALL SELECT 3, 'overlaps', count(*) FROM kept
+UNION ALL SELECT 4, 'slivers', count(*) FROM large UNION ALL SELECT 5, 'multiparts', count(*) FROM parts UNION ALL SELECT 6, 'copies', count(*) FROM alone UNION ALL SELECT 7, 'empty', count(*) FROM alone""")
 def repair_log(spark, d):
     return q.repair_layer(polygons(spark, d), 25.0)[1]
 

@@ -372,7 +372,9 @@ def object_stats(spark, d):
     return regions.object_stats(mask(spark, d)).select("regions", "smallest", "largest", F.round("mean", 6).alias("mean"), F.round("coverage", 6).alias("coverage"))
 
 
-query("remove_small")(lambda spark, d: regions.filter_regions(mask(spark, d), 5, 500))
+#: Regions that also meet at corners.
+LABELS8 = LABELS.replace("((a.row = b.row AND abs(a.col - b.col) = 1) OR (a.col = b.col AND abs(a.row - b.row) = 1))", "abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id")
+query("remove_small", LABELS8 + ", s AS (SELECT root, count(*) AS n FROM cells JOIN labels USING (id) WHERE v = 1 GROUP BY root) SELECT row, col, CASE WHEN n < 5 OR n > 500 THEN 0 ELSE v END AS v FROM cells JOIN labels USING (id) LEFT JOIN s USING (root)")(lambda spark, d: regions.filter_regions(mask(spark, d), 5, 500))
 ERODED = "SELECT row, col, CASE WHEN v = 0 OR " + NEAR.format(v=0, k=1) + " THEN 0 ELSE 1 END AS v FROM mask m"
 DILATED = "SELECT row, col, CASE WHEN v = 1 OR " + NEAR.format(v=1, k=1) + " THEN 1 ELSE 0 END AS v FROM mask m"
 query("open_mask", cte("mask") + f", first AS ({ERODED}) " + DILATED.replace("FROM mask", "FROM first"))(lambda spark, d: r.open_mask(mask(spark, d), 1))

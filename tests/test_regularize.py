@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as g
 from fieldloom.functions import shapes
+from fieldloom.functions.polygons import PARTS
 from fieldloom.operators import quality as q
 
 
@@ -52,3 +53,24 @@ def test_only_buildings_are_squared(spark):
     df = spark.createDataFrame([(1, "building", points), (2, "road", points)], f"fid int, class string, ring {shapes.RING}")
     got = {r.fid: r for r in q.postprocess_layer(df, tolerance=0.01, smooth=0, kind="class").collect()}
     assert got[2].ring[1].x == 10 and got[1].ring[1].x == pytest.approx(9.9884, abs=1e-4) and got[1]["class"] == "building"
+
+
+def test_repair_by_clip_keeps_what_larger_features_leave(spark):
+    box = lambda x0, y0, x1, y1: [{"shell": ring([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]), "holes": []}]
+    rows = [(1, box(0, 0, 10, 10)), (2, box(5, 5, 12, 12)), (3, box(2, 2, 4, 4)), (4, box(30, 30, 34, 34))]
+    layer = spark.createDataFrame([(i, *p[0]["shell"][0].values(), *p[0]["shell"][2].values(), p) for i, p in rows], f"fid long, x0 double, y0 double, x1 double, y1 double, parts {PARTS}")
+    fixed, log, bad = q.repair_layer(layer, 5.0, sliver=3.0, overlaps="clip")
+    areas = {r.fid: r.area for r in fixed.groupBy("fid").agg(F.sum(g.area(F.col("ring"))).alias("area")).collect()}
+    assert areas == {1: 100, 2: 24, 3: 4, 4: 16} and bad.count() == 0
+    assert [r.features for r in log.orderBy("step").collect()][2] == 4
+    with pytest.raises(ValueError):
+        q.repair_layer(layer, 5.0, overlaps="other")
+
+
+def test_flagged_features_are_listed_once(spark):
+    box = lambda x0, y0, x1, y1: [{"shell": ring([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]), "holes": []}]
+    layer = spark.createDataFrame([(1, box(0, 0, 10, 10)), (2, box(2, 2, 4, 4)), (3, box(30, 30, 31, 31))], f"fid long, parts {PARTS}")
+    lines = spark.createDataFrame([(7, 0.0, 0.0, 2.0, 2.0), (8, 0.0, 2.0, 2.0, 0.0), (9, 5.0, 5.0, 6.0, 6.0)], "fid long, x0 double, y0 double, x1 double, y1 double")
+    rows, flagged = q.topology_report(layer, 5.0, lines)
+    assert sorted((r.rule, r.id_1, r.id_2, r.measure) for r in rows.collect()) == [("contains", 1, 2, 0.04), ("cross", 7, 8, None), ("overlap", 1, 2, 4.0)]
+    assert sorted(map(tuple, flagged.collect())) == [("areas", 1), ("areas", 2), ("lines", 7), ("lines", 8)]
