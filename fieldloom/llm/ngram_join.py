@@ -105,7 +105,10 @@ def _place(value: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _ids(place: np.ndarray | int, value: np.ndarray) -> np.ndarray:
-    """The number of a shingle outside its hash range."""
+    """The number of a shingle outside its hash range: 48 bits of its hash and the range's number above them.
+
+    With more than 65,536 ranges the number wraps: what is left tells shingles apart as a hash of 64 bits does.
+    """
     return ((value & U64(0xFFFFFFFFFFFF)) + (np.asarray(place).astype(U64) << U64(48))).view(np.int64)
 
 
