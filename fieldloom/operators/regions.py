@@ -12,26 +12,43 @@ from fieldloom.session import cut
 TILE = 256
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of ``n`` nodes' component: roots are hooked to smaller ones and paths halved by turns."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
 def _label_tile(diagonal: bool):
+    """Labels of a tile by union-find on runs: cells of a row that touch and are equal are one node."""
+
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(tile["row"].min()), int(tile["col"].min())
-        rows, cols = (tile["row"] - r0).to_numpy(int), (tile["col"] - c0).to_numpy(int)
-        height, width = rows.max() + 1, cols.max() + 1
-        value = np.full((height + 2, width + 2), np.nan)
-        value[rows + 1, cols + 1] = tile["v"].to_numpy(float)
-        label = np.full(value.shape, np.iinfo(np.int64).max)
-        label[rows + 1, cols + 1] = (tile["row"].to_numpy(np.int64) << 31) + tile["col"].to_numpy(np.int64)
-        steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-        while True:  # smallest label of each region, spread along whole runs in both directions
-            before = label.copy()
-            for dr, dc in steps:
-                for sign in (1, -1):
-                    moved = np.roll(label, (sign * dr, sign * dc), (0, 1))
-                    same = np.roll(value, (sign * dr, sign * dc), (0, 1)) == value
-                    label = np.where(same & (moved < label), moved, label)
-            if (label == before).all():
-                break
-        return pd.DataFrame({"row": tile["row"], "col": tile["col"], "v": tile["v"], "label": label[rows + 1, cols + 1]})
+        tile = tile.sort_values(["row", "col"])
+        row, col, v = (tile[c].to_numpy(np.int64) for c in ("row", "col", "v"))
+        begins = np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1) | (v[1:] != v[:-1])]
+        number = np.cumsum(begins) - 1
+        r, c = row - row.min(), col - col.min()
+        runs = np.full((r.max() + 2, c.max() + 3), -1)  # a margin below, and on both sides
+        runs[r, c + 1] = number
+        value = np.zeros(runs.shape, np.int64)
+        value[r, c + 1] = v
+        found = []
+        for step in (-1, 0, 1) if diagonal else (0,):
+            below = runs[r + 1, c + 1 + step]
+            meet = (below >= 0) & (value[r + 1, c + 1 + step] == v)
+            found.append(number[meet] * len(row) + below[meet])
+        a, b = np.divmod(np.unique(np.concatenate(found)), len(row))
+        first = np.flatnonzero(begins)  # runs come by their first cells: the smallest run has the smallest label
+        label = ((row[first] << 31) + col[first])[_roots(len(first), a, b)]
+        return pd.DataFrame({"row": row, "col": col, "v": v, "label": label[number]})
 
     return run
 

@@ -270,27 +270,32 @@ def distinct_tracks_stream(df: DataFrame, late: str = "10 minutes") -> DataFrame
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["camera", "track_id"])
 
 
-def keyframe_stream(frames: DataFrame, above: float = 30.0) -> DataFrame:
-    """``keyframes`` on arriving frames: the state of a camera is its last frame's cells."""
+def keyframe_stream(frames: DataFrame, above: float = 30.0, silent_ms: int = 3_600_000) -> DataFrame:
+    """``keyframes`` on arriving frames: the state of a camera is its last frame's cells, gone after ``silent_ms`` of silence."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, cells = state.get if state.exists else (None, None)
-        known = dict(cells) if cells else {}
-        known = {(r, c): g for (r, c), g in zip([tuple(map(int, k.split(","))) for k in known], known.values())}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, known = None, None
+        if state.exists:
+            last, row, col, grey = state.get
+            known = pd.DataFrame({"row": row, "col": col, "was": grey})
         out = []
-        rows = pd.concat(list(parts)).sort_values("frame")
-        for frame, part in rows.groupby("frame", sort=True):
-            now = {(int(r), int(c)): float(g) for r, c, g in zip(part["row"], part["col"], part["grey"])}
-            both = [abs(g - known[k]) for k, g in now.items() if k in known] if last is not None and frame == last + 1 else []
-            if both and sum(both) / len(both) > above:
-                out.append((key[0], frame, sum(both) / len(both)))
-            last, known = int(frame), now
-        state.update((last, {f"{r},{c}": g for (r, c), g in known.items()}))
+        for frame, now in pd.concat(list(parts)).sort_values("frame").groupby("frame", sort=True):
+            if last is not None and frame == last + 1:
+                both = now.merge(known, on=["row", "col"])
+                change = (both["grey"] - both["was"]).abs().mean() if len(both) else 0.0
+                if change > above:
+                    out.append((key[0], frame, change))
+            last, known = int(frame), now[["row", "col", "grey"]].rename(columns={"grey": "was"})
+        state.update((last, known["row"].astype(int).tolist(), known["col"].astype(int).tolist(), known["was"].astype(float).tolist()))
+        state.setTimeoutDuration(silent_ms)
         yield pd.DataFrame(out, columns=["camera", "frame", "change"])
 
     return frames.groupBy("camera").applyInPandasWithState(
-        run, "camera long, frame long, change double", "last long, cells map<string,double>", "append", GroupStateTimeout.NoTimeout
+        run, "camera long, frame long, change double", "last long, row array<long>, col array<long>, grey array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

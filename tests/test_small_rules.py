@@ -1,11 +1,14 @@
 """Counts from text, boundary scores by numbers, windows of small rasters, layers in other coordinates."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import shapes
 from fieldloom.operators import raster as r
 from fieldloom.operators import vector as v
+from fieldloom.operators.regions import label_regions
+from fieldloom.streaming.detections import class_counts_by_window
 
 
 def cells(spark, rows):
@@ -48,3 +51,34 @@ def test_layers_come_to_the_first_ones_coordinates(spark):
     got = {x.i: x.ring[0].x for x in v.concat_layers(a, b, crs=[3857, 4326]).collect()}
     assert got == {1: 0.0, 2: pytest.approx(20037508.342789244)}
     assert v.concat_layers(a, b.drop("ring")).count() == 2
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_regions_equal_a_flood_fill(spark, diagonal):
+    rng = np.random.default_rng(12)
+    grid = (rng.random((40, 33)) < 0.55).astype(int)
+    grid[5:9, 5:20] = 1
+    spiral = [(i, j) for i in range(40) for j in range(33) if (i + j) % 9 != 4]  # some cells are missing
+    held = {(i, j): int(grid[i, j]) for i, j in spiral}
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0) and (diagonal or not i or not j)]
+    want = {}
+    for cell in sorted(held):
+        if cell in want:
+            continue
+        want[cell], todo = cell, [cell]
+        while todo:
+            i, j = todo.pop()
+            for near in ((i + a, j + b) for a, b in steps):
+                if near not in want and held.get(near) == held[cell]:
+                    want[near] = cell
+                    todo.append(near)
+    df = spark.createDataFrame([(i, j, v) for (i, j), v in held.items()], "row long, col long, v long")
+    for tile in (7, 256):
+        got = {(x.row, x.col): (x.label >> 31, x.label & (2**31 - 1)) for x in label_regions(df, diagonal, tile).collect()}
+        assert got == want
+
+
+def test_sliding_windows_count_a_row_in_each(spark):
+    df = spark.createDataFrame([(1, "person", 30), (1, "car", 330)], "camera long, class_name string, s long").select("camera", "class_name", F.timestamp_seconds("s").alias("ts"))
+    got = sorted((x.start.timestamp(), x.persons, x.vehicles, x.n) for x in class_counts_by_window(df, "10 minutes", "5 minutes").collect())
+    assert got == [(-300, 1, 0, 1), (0, 1, 1, 2), (300, 0, 1, 1)]
