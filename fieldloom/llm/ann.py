@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from fieldloom.session import cut, shuffle_partitions
 
 
+#: Scores that the fit holds at a time.
+BLOCK_SCORES = 1 << 23
+
+
 @dataclass(frozen=True)
 class Settings:
     sample: int = 8000  # vectors the partition and the router are fitted on (the only sampled step), or, where that is more,
@@ -111,20 +115,25 @@ def fit_router(sample: np.ndarray, parts: int, s: Settings, k: int = 20, seed: i
         return Router([np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
     edges = min(s.neighbours, len(x) - 1)
     near = np.empty((len(x), edges), int)
-    for a in range(0, len(x), 1024):
-        score = x[a : a + 1024] @ x.T
+    step = max(1, BLOCK_SCORES // len(sample))  # scores are made and used block by block, never all at once
+    for a in range(0, len(x), step):
+        score = x[a : a + step] @ x.T
         score[np.arange(len(score)), np.arange(a, a + len(score))] = -np.inf
-        near[a : a + 1024] = np.argpartition(-score, edges - 1, axis=1)[:, :edges]
+        near[a : a + step] = np.argpartition(-score, edges - 1, axis=1)[:, :edges]
     label = partition_graph(x, near, parts, rng)
     one = np.eye(parts)[label]
     router = Router(_train(x, 0.7 * one[near].mean(1) + 0.3 * one, s, rng), parts)
     home = router.scores(sample).argmax(1)
-    order = router.parts(sample[:held], parts)
-    score = sample[:held] @ sample.T
-    score[np.arange(held), np.arange(held)] = -np.inf
-    best = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
-    place = np.argmax(order[:, :, None] == home[best][:, None, :], axis=1)  # at which probe a neighbour is found
-    recall = [(place < p).mean() for p in range(1, parts + 1)]
+    top, at_probe = min(k, len(sample) - 1), np.zeros(parts, np.int64)
+    for a in range(0, held, step):
+        asked = sample[a : min(a + step, held)]
+        score = asked @ sample.T
+        rows = np.arange(len(asked))
+        score[rows, a + rows] = -np.inf
+        best = np.argpartition(-score, top - 1, axis=1)[:, :top]
+        rank = np.argsort(router.parts(asked, parts), axis=1)  # a part's place among those that a query asks
+        at_probe += np.bincount(np.take_along_axis(rank, home[best], axis=1).ravel(), minlength=parts)  # at which a neighbour is found
+    recall = np.cumsum(at_probe) / (held * top)
     router.probes = int(np.argmax(np.array(recall) >= s.target_recall)) + 1 if recall[-1] >= s.target_recall else parts
     router.recall = float(recall[router.probes - 1])
     return router

@@ -23,6 +23,8 @@ def shard_by_bytes(
     and a window inside each range adds the local running sum. A row goes to shard
     ``floor(bytes before it * shards / all bytes)``, so a shard differs from the target by less than one row.
 
+    Equal texts aren't kept together: contiguous cuts at equal bytes decide alone.
+
     Only ids, sizes and digests are shuffled, never texts. Null ids come first; equal ids are ordered by
     digest and size, fully equal rows are interchangeable. Empty table: no rows. Other columns are ignored.
     Returns doc_id, size, text_crc32, shard, slot (place within the shard, from 0).
