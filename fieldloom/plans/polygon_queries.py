@@ -124,7 +124,7 @@ def regularize_slanted(spark, d):
 
 
 @query("postprocess_slanted", QUADS + _SQUARED + """, wn AS (SELECT w.fid, w.x, w.y, o.x AS nx, o.y AS ny FROM squared w JOIN squared o ON o.fid = w.fid AND o.k = (w.k + 1) % 4),
-measured AS (SELECT fid, sum(x * ny - nx * y) / 2 AS area, sum(sqrt((nx - x) ** 2 + (ny - y) ** 2)) AS perimeter FROM wn GROUP BY fid)
+measured AS (SELECT fid, abs(sum(x * ny - nx * y)) / 2 AS area, sum(sqrt((nx - x) ** 2 + (ny - y) ** 2)) AS perimeter FROM wn GROUP BY fid)
 SELECT fid, round(area + 1e-6::DOUBLE, 3) AS area, round(perimeter, 3) AS perimeter, round(4 * pi() * area / perimeter ** 2, 4) AS compactness FROM measured WHERE area >= 10.0005""")
 def postprocess_slanted(spark, d):
     out = q.postprocess_layer(quads(spark, d).select("fid", "ring"), tolerance=0.01, smooth=0, min_area=10.0005)
