@@ -237,7 +237,7 @@ def _words(eights: np.ndarray, at: np.ndarray, length: np.ndarray, n: int) -> np
 
 
 def _bytes(words: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(words.astype(">u8")).view(np.uint8).reshape(len(words), -1)
+    return np.ascontiguousarray(words.astype(">u8")).view(np.uint8).reshape(len(words), 8 * words.shape[1])
 
 
 def common_prefix(words: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldloom.llm import suffix_dedup
@@ -66,6 +67,34 @@ def test_settings_do_not_change_the_result(spark, settings):
     assert got(without_repeats(frame(spark, rows), settings=settings)) == plain(rows, settings.span)
 
 
+def passage_of_many(count=40):
+    """Texts that hold one passage between words of their own: many rows, few different suffixes."""
+    rng = random.Random(5)
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(60))
+    passage = "".join(rng.choice("klmnopqr ") for _ in range(400))
+    return [(i, own() + passage + own()) for i in range(count)]
+
+
+def test_buckets_with_told_ranges_and_no_suffixes(spark):
+    rows, settings = passage_of_many(), Settings(part_bytes=100)
+    assert got(without_repeats(frame(spark, rows), settings=settings)) == plain(rows)
+
+
+def test_bucket_of_told_ranges_alone():
+    rows, parts = passage_of_many(), 211
+    text = pa.array([t for _, t in rows])
+    data, offsets = suffix_dedup.text_buffer(text)
+    found = suffix_dedup.anchors(data, offsets, suffix_dedup._eights(data), Settings())
+    at = pa.array([list(range(n)) for n in np.bincount(found[0])], pa.list_(pa.int32()))
+    ids = pa.array([i for i, _ in rows], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, text, at], ["doc", "digest", "text", "at"])
+    runs = pa.Table.from_batches(suffix_dedup._sort_runs(parts, np.zeros(0, np.uint64), Settings())(iter([batch])))
+    alone = runs.filter(pa.array([not x and bool(y) for x, y in zip(runs["length"].to_pylist(), runs["known_doc"].to_pylist())]))
+    assert len(alone)
+    spans = suffix_dedup._merge(Settings())(alone.slice(0, 1))
+    assert spans["doc"].to_pylist() == np.frombuffer(alone["known_doc"][0].as_py(), np.int64).tolist()
+
+
 def test_given_documents(spark):
     docs = table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
