@@ -90,3 +90,13 @@ def test_target_grids_cover_the_raster(spark, tall):
     got = registry.queries()["reproject_raster"](spark, tall).where("value is not null")
     north = lambda lat: math.log(math.tan((90 + lat) * math.pi / 360)) * 20037508.342789244 / math.pi
     assert got.agg(F.max("row")).first()[0] >= (north(34 + ROWS * 0.01) - north(34)) // 2500 - 1
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear"])
+def test_rows_beyond_the_pole_have_no_place_on_the_plane(spark, method):
+    pixels = spark.range(60).selectExpr("id div 3 AS row", "id % 3 AS col", "cast(id as double) AS value")
+    cells = lambda df, height: sorted(map(tuple, raster.reproject_raster(df, 108.0, 89.0, 0.1, height, 3, 20000.0, method).collect()))
+    got = cells(pixels, 20)  # up to latitude 91
+    assert got == cells(pixels.where("row < 10"), 10) and {v for *_, v in got} >= {0.0 if method == "nearest" else None}
+    with pytest.raises(ValueError):
+        raster.reproject_raster(pixels, 108.0, 95.0, 0.1, 5, 3, 20000.0)
