@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as g
 from fieldloom.operators.grid import as_box, box_area, candidate_pairs, cell_of, cells, overlap_area
-from fieldloom.operators.overlay import union_areas
+from fieldloom.operators.overlay import covered_areas
 from fieldloom.session import cut
 
 EARTH = 6371008.8
@@ -60,22 +60,19 @@ def select_by_location(target: DataFrame, by: DataFrame, relation: str, key: str
         return target.where("false")
     if relation not in RELATIONS or relation == "intersects":
         return target.join(pairs.select(F.col(f"a_{key}").alias(key)).distinct(), key, "left_semi")
-    pieces = pairs.where(overlap_area() > 0).select(
-        F.col(f"a_{key}").alias(key), F.greatest("a_x0", "b_x0").alias("x0"), F.greatest("a_y0", "b_y0").alias("y0"), F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1")
-    )
-    met = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(F.first(box_area("a_")).alias("a"))
-    met = met.join(union_areas(pieces, [key], cell).withColumnRenamed("area", "covered"), key, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    held = covered_areas(target, by, key, cell).withColumnRenamed("area", "covered")
+    if relation == "touches":
+        return target.join(pairs.select(F.col(f"a_{key}").alias(key)).distinct().join(held, key, "left_anti"), key, "left_semi")
+    met = target.select(key, box_area().alias("a")).join(held, key)
     inside = F.col("covered") >= F.col("a") * (1 - 1e-9)
     if relation == "within":
-        return target.join(met.where(inside & (F.col("covered") > 0)).select(key), key, "left_semi")
-    if relation == "touches":
-        return target.join(met.where("covered = 0").select(key), key, "left_semi")
+        return target.join(met.where(inside).select(key), key, "left_semi")
     bounds = by.agg(F.min("x0").alias("bx0"), F.min("y0").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1"))
     holds = (F.col("x0") <= F.col("bx0")) & (F.col("y0") <= F.col("by0")) & (F.col("bx1") <= F.col("x1")) & (F.col("by1") <= F.col("y1"))
     around = target.join(F.broadcast(bounds), how="cross")  # one row
     if relation == "contains":
         return around.where(holds).select(*target.columns)
-    shared = met.where((F.col("covered") > 0) & ~inside).select(key)
+    shared = met.where(~inside).select(key)
     return around.where(~holds).select(*target.columns).join(shared, key, "left_semi")
 
 

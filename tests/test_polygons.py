@@ -197,3 +197,19 @@ def test_clip_brings_features_to_the_clip_layers_coordinates(spark):
     clip = p.with_bounds(spark.createDataFrame([(1, poly([[(-1, -1), (3e5, -1), (3e5, 3e5), (-1, 3e5)]]))], f"cid int, parts {fp.PARTS}"))
     (row,) = p.clip_polygons(layer, clip, "fid", "cid", 1e6, crs=4326, clip_crs=3857).collect()
     assert row.area == pytest.approx(111319.4908 * 111359.6, rel=1e-3) and len(row.parts) == 1
+
+
+def test_cells_settle_stacked_boxes_without_pairs(spark):
+    rng = np.random.default_rng(12)
+    low = np.round(rng.uniform(0, 20, (300, 2)), 1)
+    boxes = np.c_[low, low + np.round(rng.uniform(0.1, 9, (300, 2)), 1)]
+    cuts = lambda b, by: np.c_[np.maximum(by[:, :2], b[:2]), np.minimum(by[:, 2:], b[2:])]
+    assert o.covered_by_union(boxes[:90], boxes[90:]) == pytest.approx([o.swept_area(cuts(b, boxes[90:])) for b in boxes[:90]])
+    lost = [o.swept_area(cuts(b, boxes[k + 1 :])) for k, b in enumerate(boxes)]
+    assert o.kept_by_last(boxes) == pytest.approx((boxes[:, 2:] - boxes[:, :2]).prod(1) - lost)
+    n = 30_000  # all of one corner: 450 million pairs
+    df = spark.range(n).selectExpr("id AS fid", "0D AS x0", "0D AS y0", "1D + id % 3000 AS x1", "1D AS y1")
+    got = {r.fid: r.kept for r in o.flatten_areas(df, "fid", 40.0).where("kept > 0").collect()}
+    assert got == {2999: 3000.0}
+    held = o.covered_areas(df, df.where("fid < 2"), "fid", 40.0).groupBy("area").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, held.collect())) == [(1.0, 10), (2.0, n - 10)]
