@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.session import shuffle_partitions
+
 
 def cell_of(value: Column, cell: float) -> Column:
     return F.floor(value / F.lit(cell)).cast("long")
@@ -42,12 +44,14 @@ def mixed_pairs(left: DataFrame, right: DataFrame, cell: float, limit: int = 20_
     """``candidate_pairs`` of layers whose boxes differ much in size.
 
     A box belongs to the level at which a cell (``cell`` times a power of two) is at least as long as the box, and so to four
-    cells at most; it is listed there and at the coarser levels at which the other side has boxes. A pair meets at the
-    coarser of its two levels. Cells that hold more than ``limit`` boxes of the right side are split by salt, and their
-    boxes of the left side repeated for each.
+    cells at most. A pair meets at the coarser of its two levels: the box of that level is listed there only, the other one
+    also at the coarser levels that the other side has, so that small boxes don't meet each other in large cells. Cells that
+    hold more than ``limit`` boxes of the side listed at several levels are split by salt, and their boxes of the other side
+    repeated for each.
     """
     a = left.select([F.col(c).alias(f"a_{c}") for c in left.columns])
     b = right.select([F.col(c).alias(f"b_{c}") for c in right.columns])
+    n = shuffle_partitions(left.sparkSession)
 
     def level(p: str) -> Column:
         extent = F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"))
@@ -56,23 +60,28 @@ def mixed_pairs(left: DataFrame, right: DataFrame, cell: float, limit: int = 20_
     a, b = a.withColumn("own", level("a_")), b.withColumn("own", level("b_"))
     used = {side: sorted(r.own for r in df.select("own").distinct().collect() if r.own is not None) for side, df in (("a", a), ("b", b))}  # a few powers of two
 
-    def listed(df: DataFrame, p: str, others: list[int]) -> DataFrame:
-        at = F.array_distinct(F.concat(F.array("own"), F.filter(F.lit(others).cast("array<int>"), lambda m: m > F.col("own"))))
-        df = df.withColumn("level", F.explode(at)).withColumn("size", F.lit(cell) * F.pow(F.lit(2.0), "level"))
+    def placed(df: DataFrame, p: str, at: Column) -> DataFrame:
+        df = df.withColumn("level", F.explode(at)).drop("own").withColumn("size", F.lit(cell) * F.pow(F.lit(2.0), "level"))
         for c, (lo, hi) in {"cx": (f"{p}x0", f"{p}x1"), "cy": (f"{p}y0", f"{p}y1")}.items():
             df = df.withColumn(c, F.explode(F.sequence(F.floor(F.col(lo) / F.col("size")).cast("long"), F.floor(F.col(hi) / F.col("size")).cast("long"))))
         return df
 
-    one = listed(a, "a_", used["b"]).withColumnRenamed("own", "a_own")
-    two = listed(b, "b_", used["a"]).withColumnRenamed("own", "b_own").drop("size")
     on = ["level", "cx", "cy"]
-    crowded = two.groupBy(*on).agg(F.ceil(F.count("*") / limit).cast("int").alias("parts")).where("parts > 1")
-    one = one.join(crowded, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    two = two.join(crowded, on, "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in b.columns if c != "own"]), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     here = (F.col("cx") == F.floor(F.greatest("a_x0", "b_x0") / F.col("size"))) & (F.col("cy") == F.floor(F.greatest("a_y0", "b_y0") / F.col("size")))
-    coarser = F.col("level") == F.greatest("a_own", "b_own")
-    return one.join(two, [*on, "salt"]).where(coarser & meet & here).drop(*on, "salt", "size", "a_own", "b_own")
+
+    def met(small: DataFrame, p: str, large: DataFrame, q: str, levels: list[int], equal: bool) -> DataFrame:
+        coarser = F.filter(F.lit(levels).cast("array<int>"), lambda m: (m >= F.col("own")) if equal else (m > F.col("own")))
+        fine, coarse = placed(small, p, coarser), placed(large, q, F.array("own")).drop("size")
+        crowded = fine.groupBy(*on).agg(F.ceil(F.count("*") / limit).cast("int").alias("parts")).where("parts > 1")
+        fine = fine.join(crowded, on, "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in small.columns if c != "own"]), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        coarse = coarse.join(crowded, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        by = [*on, "salt"]
+        joined = fine.repartition(n, *by).join(coarse.repartition(n, *by), by)  # few bytes can be many pairs
+        return joined.where(meet & here).select(*[c for x in (a, b) for c in x.columns if c != "own"])
+
+    pairs = met(b, "b_", a, "a_", used["a"], True)
+    return pairs.unionByName(met(a, "a_", b, "b_", used["b"], False)) if used["a"] and used["b"] and used["b"][-1] > used["a"][0] else pairs
 
 
 def as_box(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -59,3 +59,11 @@ def test_mixed_sizes_meet_as_in_one_grid(spark):
     for cell, limit in ((5.0, 20_000), (5.0, 3), (500.0, 10)):
         assert pairs(mixed_pairs(a, b, cell, limit)) == want
     assert mixed_pairs(a, b.limit(0), 5.0).count() == 0
+
+
+def test_small_boxes_do_not_meet_in_the_cells_of_large_ones(spark):
+    small = spark.range(40_000).selectExpr("id", "id % 200 * 10D AS x0", "id div 200 * 10D AS y0").selectExpr("id", "x0", "y0", "x0 + 9 AS x1", "y0 + 9 AS y1")
+    boxes = small.unionByName(spark.range(1).selectExpr("-1L AS id", "0D AS x0", "0D AS y0", "2000D AS x1", "2000D AS y1"))
+    pairs = mixed_pairs(boxes, boxes, 10.0)  # 1.6 billion pairs in the large box's cell
+    assert pairs.where("a_id < b_id").groupBy("a_id").count().collect() == [(-1, 40_000)]
+    assert pairs.count() == 3 * 40_000 + 1
