@@ -213,3 +213,21 @@ def test_cells_settle_stacked_boxes_without_pairs(spark):
     assert got == {2999: 3000.0}
     held = o.covered_areas(df, df.where("fid < 2"), "fid", 40.0).groupBy("area").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, held.collect())) == [(1.0, 10), (2.0, n - 10)]
+
+
+def test_kinds_of_polygons_share_what_the_general_way_finds(spark):
+    import pyarrow as pa
+
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    ring = lambda points: [{"x": float(x), "y": float(y)} for x, y in points]
+    part = lambda shell, *holes: {"shell": ring(shell), "holes": [ring(h) for h in holes]}
+    shapes = [
+        [part(box(0, 0, 10, 10))], [part(box(2, 2, 8, 8)[::-1])], [part(box(1, 1, 9, 9), box(3, 3, 6, 6))], [part(box(0, 0, 4, 4)), part(box(900, 0, 906, 4))],
+        [part(box(3, 3, 12, 5)), part(box(901, 1, 903, 9))], [part([(5, 0), (10, 5), (5, 10), (0, 5), (5, 0)])], [part([(902, 2), (905, 2), (902, 5), (902, 2)])],
+    ]
+    layer = p.with_bounds(spark.createDataFrame(list(enumerate(shapes)), f"i long, parts {fp.PARTS}"))
+    got = {(r.a_i, r.b_i): r.shared for r in p.polygon_pairs(layer, layer, "i", "i", 5.0).collect()}
+    rows, kind = [(i, j) for i in range(7) for j in range(7)], pa.array([shapes[0]], fp._PIECE).type
+    want = dict(zip(rows, fp.intersection_areas(pa.array([shapes[i] for i, _ in rows], kind), pa.array([shapes[j] for _, j in rows], kind))))
+    assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want) and set(got) <= set(want)
+    assert (3, 0) in got and (6, 0) not in got and got[3, 4] == pytest.approx(1 + 6)
