@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.shapes import RING, crosses_itself
+from fieldloom.functions.shapes import RING, crossing_rings
 
 PARTS = f"array<struct<shell:{RING},holes:array<{RING}>>>"
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -366,11 +366,13 @@ def valid_parts(parts: Column) -> Column:
             size, points = _lists(rings)
             axes = _fields(points)
             xy = np.stack([axes[c].to_numpy(zero_copy_only=False) for c in ("x", "y")], 1) if len(points) else np.zeros((0, 2))
-            end = np.cumsum(size)
-            for k in range(len(size)):
-                ring = xy[end[k] - size[k] : end[k]]
-                ok = len(ring) > 3 and (ring[0] == ring[-1]).all() and not crosses_itself(ring[:-1]) and signed_areas(ring[:-1], np.array([len(ring) - 1]))[0] != 0
-                good[of[k]] &= ok
+            begin, ok = np.cumsum(size) - size, np.zeros(len(size), bool)
+            for n in np.unique(size[size > 3]):
+                at = np.flatnonzero(size == n)
+                same = xy[begin[at][:, None] + np.arange(n)]
+                area = signed_areas(same[:, :-1].reshape(-1, 2), np.full(len(at), n - 1))
+                ok[at] = (same[:, 0] == same[:, -1]).all(1) & (area != 0) & ~crossing_rings(same[:, :-1])
+            np.logical_and.at(good, of, ok)
         return pa.array(good)
 
     return run(parts)

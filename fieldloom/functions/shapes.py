@@ -192,6 +192,35 @@ def crosses_itself(points: np.ndarray) -> bool:
     return False
 
 
+def crossing_rings(rings: np.ndarray) -> np.ndarray:
+    """``crosses_itself`` of rings with equally many vertices (rings, vertices, 2): all pairs of edges of a block at once."""
+    m, n = rings.shape[:2]
+    if n < 3 or n > 64:
+        return np.array([crosses_itself(r) for r in rings], bool)
+    i, j = np.triu_indices(n, 1)
+    near, back_near = j == i + 1, (i == 0) & (j == n - 1)
+    out, step = np.zeros(m, bool), max(1, (1 << 17) // len(i))
+    for at in range(0, m, step):
+        a = rings[at : at + step]
+        b = np.roll(a, -1, 1)
+        low = np.minimum(a[..., 0], b[..., 0])
+        swap = low[:, j] < low[:, i]
+        first, second = np.where(swap, j, i), np.where(swap, i, j)
+        row = np.arange(len(a))[:, None]
+        p, q, r, s = a[row, first], b[row, first], a[row, second], b[row, second]
+        side = lambda u, v, w: (v[..., 0] - u[..., 0]) * (w[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (w[..., 0] - u[..., 0])
+        one, two, three, four = side(p, q, r), side(p, q, s), side(r, s, p), side(r, s, q)
+        boxes = ((np.minimum(p, q) <= np.maximum(r, s)) & (np.minimum(r, s) <= np.maximum(p, q))).all(-1)
+        touch = boxes & (np.sign(one) * np.sign(two) <= 0) & (np.sign(three) * np.sign(four) <= 0)
+        beside = near | back_near
+        turns = (one == 0) & (two == 0) & (((p - q) * (s - r)).sum(-1) > 0)
+        found = (touch & (~beside | turns)).any(1)
+        for k in np.flatnonzero((a == b).all(-1).any(1)):  # repeated vertices
+            found[k] = crosses_itself(a[k])
+        out[at : at + step] = found
+    return out
+
+
 def _size(points: np.ndarray) -> float:
     x, y = points.T
     return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
@@ -245,22 +274,22 @@ def snap_edges(ring: Column, within: float = 10.0) -> Column:
     return _each_ring(ring, lambda points: snapped(points, within))
 
 
-def squared(points: np.ndarray, low: float, high: float) -> np.ndarray | None:
-    """Vertices after corners between two angles have been made square; None where the ring should stay."""
-    if crosses_itself(points):
-        return None
-    back, ahead = np.roll(points, 1, 0) - points, np.roll(points, -1, 0) - points
-    reach = np.hypot(*ahead.T)
-    back, to = back / (np.hypot(*back.T)[:, None] + 1e-10), ahead / (reach[:, None] + 1e-10)
-    cosine = (back * to).sum(1)
+def squared(rings: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Rings (rings, vertices, 2) after corners between two angles have been made square; those that should stay as they are."""
+    length = lambda v: np.hypot(v[..., 0], v[..., 1])
+    back, ahead = np.roll(rings, 1, 1) - rings, np.roll(rings, -1, 1) - rings
+    reach = length(ahead)
+    back, to = back / (length(back)[..., None] + 1e-10), ahead / (reach[..., None] + 1e-10)
+    cosine = (back * to).sum(-1)
     angle = np.degrees(np.arccos(np.clip(cosine, -1, 1)))
-    square = to - cosine[:, None] * back
-    square /= np.hypot(*square.T)[:, None] + 1e-10
-    moves = (low < angle) & (angle < high)
-    new = points.copy()
-    moved, target = np.roll(moves, 1), np.roll(points + square * reach[:, None], 1, 0)
-    new[moved] = target[moved]
-    return None if crosses_itself(new) or _size(new) == 0 else new
+    square = to - cosine[..., None] * back
+    square /= length(square)[..., None] + 1e-10
+    moved = np.roll((low < angle) & (angle < high), 1, 1)[..., None]
+    new = np.where(moved, np.roll(rings + square * reach[..., None], 1, 1), rings)
+    ahead = np.roll(new, -1, 1)
+    flat = (new[..., 0] * ahead[..., 1]).sum(1) == (new[..., 1] * ahead[..., 0]).sum(1)
+    stay = flat | crossing_rings(rings) | crossing_rings(new)
+    return np.where(stay[:, None, None], rings, new)
 
 
 def square_corners(ring: Column, low: float = 70.0, high: float = 110.0) -> Column:
@@ -269,7 +298,20 @@ def square_corners(ring: Column, low: float = 70.0, high: float = 110.0) -> Colu
     All angles are those of the given ring, whatever moves. Rings that cross themselves stay as they are, as do those that
     would.
     """
-    return _each_ring(ring, lambda points: squared(points, low, high))
+
+    def run(rings: pd.Series) -> pd.Series:
+        out, by_size = rings.copy(), {}
+        for k, rows in enumerate(rings):
+            if rows is not None and len(rows) >= 5:
+                by_size.setdefault(len(rows), []).append(k)
+        for size, places in by_size.items():
+            given = np.stack([_points(rings.iat[k]) for k in places])[:, :-1]
+            new = squared(given, low, high)
+            for k in np.flatnonzero((new != given).any((1, 2))):
+                out.iat[places[k]] = _rows(np.vstack([new[k], new[k, :1]]))
+        return out
+
+    return F.pandas_udf(run, RING)(ring)
 
 
 def chunk_text(text: Column, size: int = 500, overlap: int = 50) -> Column:

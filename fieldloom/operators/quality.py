@@ -13,7 +13,7 @@ from fieldloom.functions.shapes import RING, from_utm, into_utm, rectangle_direc
 from fieldloom.operators.grid import box_area
 from fieldloom.operators.polygons import flatten_polygons, overlap_pairs_exact, topology_rules, with_bounds
 from fieldloom.operators.vector import greedy_suppress, near_duplicate_points
-from fieldloom.session import cut
+from fieldloom.session import cut, shuffle_partitions
 
 ISSUE = ["fid", "fid_2", "error_type", "severity", "auto_fixable", "overlap_ratio"]
 
@@ -199,10 +199,11 @@ def postprocess_layer(rings: DataFrame, tolerance: float = 0.5, smooth: int = 1,
 
     With ``kind``, a column of class names, only rows of class ``building`` are squared.
     """
-    df = rings.withColumn("ring", simplify(F.col("ring"), tolerance)).withColumn("ring", g.chaikin(F.col("ring"), smooth))
+    spread = rings.repartition(shuffle_partitions(rings.sparkSession))  # few bytes are much work
+    df = spread.withColumn("ring", simplify(F.col("ring"), tolerance)).withColumn("ring", g.chaikin(F.col("ring"), smooth))
     squared = square_corners(F.col("ring"))
     squared = squared if kind is None else F.when(F.col(kind) == "building", squared).otherwise(F.col("ring"))
-    df = df.withColumn("ring", squared).where(g.area(F.col("ring")) >= min_area)
+    df = cut(df.withColumn("ring", squared)).where(g.area(F.col("ring")) >= min_area)  # what uses the ring doesn't make it anew
     ring = F.col("ring")
     return df.select("fid", *([kind] if kind else []), "ring", g.area(ring).alias("area"), g.perimeter(ring).alias("perimeter"), g.compactness(ring).alias("compactness"))
 

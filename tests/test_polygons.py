@@ -231,3 +231,13 @@ def test_kinds_of_polygons_share_what_the_general_way_finds(spark):
     want = dict(zip(rows, fp.intersection_areas(pa.array([shapes[i] for i, _ in rows], kind), pa.array([shapes[j] for _, j in rows], kind))))
     assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want) and set(got) <= set(want)
     assert (3, 0) in got and (6, 0) not in got and got[3, 4] == pytest.approx(1 + 6)
+
+
+def test_rings_of_a_batch_are_told_as_single_ones():
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 5, 8):
+        rings = np.r_[rng.uniform(0, 9, (150, n, 2)), rng.integers(0, 4, (300, n, 2)).astype(float)]
+        told = shapes.crossing_rings(rings)
+        assert told.tolist() == [shapes.crosses_itself(r) for r in rings] and told.any()
+        assert shapes.squared(rings, 70, 110) == pytest.approx(np.stack([shapes.squared(r[None], 70, 110)[0] for r in rings]))
+    assert shapes.crossing_rings(np.zeros((0, 4, 2))).tolist() == []
