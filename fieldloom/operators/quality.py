@@ -104,11 +104,11 @@ def repair_layer(layer: DataFrame, cell: float, above: float = 0.4, sliver: floa
         log.append((len(log) + 1, name, df.count()))
         return df
 
-    fixed = F.transform("parts", lambda p: F.struct(_untied(_closed(p["shell"])).alias("shell"), p["holes"].alias("holes")))
-    df = layer.withColumn("parts", fixed)
-    crossing = F.exists("parts", lambda p: g.self_intersects(p["shell"]))
-    quarantine = cut(df.where(crossing))
-    df = step("invalid", df.where(~crossing))
+    changed = lambda df, change: df.withColumn("parts", F.transform("parts", lambda p: F.struct(change(p["shell"]).alias("shell"), p["holes"].alias("holes"))))
+    df = changed(layer.repartition(shuffle_partitions(spark)), _closed)  # few bytes are much work
+    df = cut(changed(df, _untied).withColumn("crossing", F.exists("parts", lambda p: g.self_intersects(p["shell"]))))
+    quarantine = df.where("crossing").drop("crossing")
+    df = step("invalid", df.where("not crossing").drop("crossing"))
     df = step("holes", df.withColumn("parts", F.transform("parts", lambda p: F.struct(p["shell"].alias("shell"), g.fill_holes(p["holes"], None).alias("holes")))))
     if overlaps not in ("area", "clip"):
         raise ValueError(f"unknown way {overlaps}")

@@ -319,9 +319,14 @@ def drop_duplicate_geometry(df: DataFrame, key: str, geometry: list[str]) -> Dat
 def greedy_suppress(boxes: DataFrame, key: str, cell: float, above: float, inclusive: bool = False) -> DataFrame:
     """Boxes by falling area (smallest key first on ties); a kept box drops later ones with IoU > (or >=) ``above``.
 
-    Rounds: a box stays once all higher-ranked neighbours are dropped, and goes once one of them stays.
+    Rounds: a box stays once all higher-ranked neighbours are dropped, and goes once one of them stays. Of equal boxes the
+    one with the smallest key stands for all: either it stays, or what drops it drops the others too.
     """
-    pairs = candidate_pairs(boxes, boxes, cell).where(F.col(f"a_{key}") != F.col(f"b_{key}"))
+    alike = above < 1 or (inclusive and above == 1)
+    solid = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.lit(False))
+    slim = boxes.where(solid).select(key, "x0", "y0", "x1", "y1")
+    firsts = cut(slim.groupBy("x0", "y0", "x1", "y1").agg(F.min(key).alias(key)) if alike else slim)
+    pairs = candidate_pairs(firsts, firsts, cell).where(F.col(f"a_{key}") != F.col(f"b_{key}"))
     iou = overlap_area() / (box_area("a_") + box_area("b_") - overlap_area())
     higher = (box_area("a_") > box_area("b_")) | ((box_area("a_") == box_area("b_")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
     hit = (iou >= above) if inclusive else (iou > above)
@@ -336,7 +341,8 @@ def greedy_suppress(boxes: DataFrame, key: str, cell: float, above: float, inclu
             break
         dropped = gone if dropped is None else cut(dropped.union(gone))
         edges = cut(edges.join(gone.withColumnRenamed("n", "hi"), "hi", "left_anti").join(gone.withColumnRenamed("n", "lo"), "lo", "left_anti"))
-    return boxes if dropped is None else boxes.join(dropped.withColumnRenamed("n", key), key, "left_anti")
+    stay = firsts.select(key) if dropped is None else firsts.select(key).join(dropped.withColumnRenamed("n", key), key, "left_anti")
+    return boxes.where(solid).join(stay, key, "left_semi").select(*boxes.columns).unionByName(boxes.where(~solid))
 
 
 def requested_count(text: Column, default: int = 30) -> Column:
